@@ -7,6 +7,12 @@ nearest splitting planes first, until it has visited its budget of leaves. Leaf
 queries that visit the leaf meet in a grouped join; distances to the original vectors are exact,
 in double precision, and each leaf sends at most ``k`` rows per query onwards.
 
+How many leaves to visit is measured: within the sample, ``tuning_queries`` of its points are
+searched for their true neighbours, and the budget is the smallest at which ``recall`` of them lie
+in the leaves visited. Where the data have few dimensions of their own this is a small share of
+the leaves; where they have many, as for independent random components, no forest can avoid a
+large share, and the budget says so instead of losing neighbours.
+
 Equal vectors are collapsed before the forest: at distance ties the smaller id wins, so the k + 1
 smallest ids of a vector stand for all of its rows without loss, and a vector that a third of all
 rows share is one row.
@@ -87,6 +93,24 @@ def fit_forest(sample: np.ndarray, trees: int, depth: int, seed: int = 7) -> For
     return Forest(planes, offsets, depth)
 
 
+def tune_budget(forest: Forest, sample: np.ndarray, k: int, recall: float, queries: int, seed: int = 11) -> int:
+    """Leaves to visit so that ``recall`` of the true neighbours within the sample are reached."""
+    trees, everything = len(forest.planes), len(forest.planes) * 2**forest.depth
+    if forest.depth == 0:
+        return 1
+    leaf_of = np.stack([forest.leaves(sample, tree) for tree in range(trees)])
+    visited_at: list[np.ndarray] = []
+    for i in np.random.default_rng(seed).choice(len(sample), min(queries, len(sample)), replace=False):
+        squares = np.square(sample - sample[i]).sum(1)
+        squares[i] = np.inf
+        near = np.argpartition(squares, min(k, len(squares) - 1))[:k]
+        place = np.full((trees, 2**forest.depth), everything)
+        for at, (tree, leaf) in enumerate(forest.search(sample[i], everything)):
+            place[tree, leaf] = at
+        visited_at.append(place[np.arange(trees)[:, None], leaf_of[:, near]].min(0))
+    return int(np.quantile(np.concatenate(visited_at), recall, method="higher")) + 1
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
 
@@ -121,11 +145,13 @@ def nearest_neighbours(
     rows: DataFrame,
     every: int = 100,
     k: int = 10,
-    trees: int = 8,
-    leaf_rows: int = 256,
-    budget: int = 48,
-    sample_rows: int = 200_000,
+    trees: int = 6,
+    leaf_rows: int = 1024,
+    recall: float = 0.95,
+    sample_rows: int = 100_000,
+    tuning_queries: int = 100,
     exact_rows: int = 4096,
+    query_block: int = 4096,
 ) -> DataFrame:
     """query_id, rank, vec_id and score for the rows whose id is divisible by ``every``."""
     space = Workspace(spark, "ann")
@@ -142,7 +168,10 @@ def nearest_neighbours(
     depth = 0 if n <= exact_rows else max(1, int(np.ceil(np.log2(n / leaf_rows))))
     share = min(1.0, sample_rows / n)
     sample = unique.filter(F.xxhash64("own", F.lit(3)).bitwiseAND(F.lit((1 << 30) - 1)) < int(share * (1 << 30)))
-    fitted = fit_forest(_matrix(sample.orderBy("own").select("v").toArrow().column("v").combine_chunks(), width), trees if depth else 1, depth)
+    points = _matrix(sample.orderBy("own").select("v").toArrow().column("v").combine_chunks(), width)
+    fitted = fit_forest(points, trees if depth else 1, depth)
+    budget = tune_budget(fitted, points, k, recall, tuning_queries)
+    blocks = max(1, -(-queries.count() // query_block))
     forest = spark.sparkContext.broadcast(fitted)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +189,9 @@ def nearest_neighbours(
             yield pa.RecordBatch.from_arrays([tree, leaf, batch.column("vec_id").take(at), batch.column("v").take(at)], ["tree", "leaf", "query_id", "v"])
 
     members = unique.select("ids", "v").mapInArrow(route, "tree long, leaf long, ids array<long>, v array<double>")
+    members = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     visits = queries.mapInArrow(walk, "tree long, leaf long, query_id long, v array<double>")
+    visits = visits.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
 
     def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -175,7 +206,7 @@ def nearest_neighbours(
                 out += [(query, x, d) for d, x in pairs]
         return pa.table({c: pa.array(list(x), t) for c, x, t in zip(("query_id", "vec_id", "score"), zip(*out) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.float64()))})
 
-    met = visits.groupBy("tree", "leaf").cogroup(members.groupBy("tree", "leaf")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    met = visits.groupBy("tree", "leaf", "block").cogroup(members.groupBy("tree", "leaf", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
     # A pair found in several trees has one distance; the ten nearest of a query are few rows.
     found = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("near"))
