@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann, byte_bpe, mixing, quality_outliers, secrets, substring_dedup, suffix_dedup, toxicity, warc
+from tidemark.llm import ann, byte_bpe, jaccard_join, mixing, quality_outliers, secrets, substring_dedup, suffix_dedup, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicate_classes(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(spark, table(spark, sf_dir, "embeddings"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op2_secret_scans": op2_secret_scans,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_source_mixing": op7_source_mixing,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
