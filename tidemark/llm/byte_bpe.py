@@ -249,21 +249,28 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(batches, "doc_id long, ids binary")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk: int = 1 << 16) -> DataFrame:
-    """Encodes and decodes in one pass: doc_id, n_tokens and the digests of ids and decoded text."""
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk: int = 1 << 16, keep_ids: bool = False) -> DataFrame:
+    """Encodes and decodes in one pass: doc_id, n_tokens and the digests of ids and decoded text;
+    with ``keep_ids`` the packed ids too."""
     path, pattern = _default(path, pattern)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in rows:
-            counts, encoded, decoded = [], [], []
+            counts, encoded, decoded, packed = [], [], [], []
             for text in batch.column("text"):
                 ids, digest = own.encode(text.as_py() or ""), hashlib.sha256()
                 for part in decode_stream(own, (ids[i : i + chunk] for i in range(0, len(ids), chunk))):
                     digest.update(part.encode())
+                packed.append(ids)
                 counts.append(len(ids) // 4)
                 encoded.append(hashlib.sha256(ids).hexdigest())
                 decoded.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(batches, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            arrays = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if keep_ids:
+                arrays, names = [*arrays, pa.array(packed, pa.binary())], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(batches, schema)

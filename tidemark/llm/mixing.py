@@ -105,6 +105,7 @@ def label_weights(labels: DataFrame) -> DataFrame:
 def mix_documents(spark: SparkSession, docs: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
     """The documents of the mix, a row for each copy that it takes. doc_id is taken to be a key."""
     taken = mix_sizes(spark, docs, quality, **options).filter("copies > 0").select("doc_id", "copies")
-    joined = docs.join(taken.groupBy("doc_id").agg(F.max("copies").alias("copies")), "doc_id")
-    repeated = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*docs.columns)
+    taken = taken.groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("taken_copies"))
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"]))
+    repeated = joined.withColumn("taken_copy", F.explode(F.sequence(F.lit(1), F.col("taken_copies").cast("int"))))
+    return repeated.select(*[docs[c] for c in docs.columns])

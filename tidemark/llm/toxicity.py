@@ -247,3 +247,16 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, thre
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), near], ["doc_id", "score", "predicted", "evidence"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, "doc_id long, score double, predicted int, evidence array<long>")
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score is below ``threshold``."""
+    ready = spark.sparkContext.broadcast(fit(spark, docs, labels, **options))
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = ready.value
+        for batch in rows:
+            kept = [scorer is None or scorer.score(scorer.vote(t.as_py() or "")[0]) < threshold for t in batch.column("text")]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(batches, docs.schema)
