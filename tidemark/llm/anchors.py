@@ -36,46 +36,50 @@ def block_of(blocks: int) -> F.Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(blocks)).cast("int")
 
 
-def shared_anchors(space: Workspace, docs: DataFrame, anchors: Anchors, blocks: int, across_documents: bool) -> DataFrame:
-    """(block, a) for anchors that occur in two documents, or twice if not ``across_documents``."""
+def anchor_rows(docs: DataFrame, anchors: Anchors, blocks: int, across_documents: bool) -> DataFrame:
+    """(a, block, low, high, n): a row for each anchor of a run of documents and their block, with
+    its smallest and largest doc_id and its occurrences there."""
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts, _ in texts_of(batch):
+            for texts, rows in texts_of(batch):
                 found, places = anchors(texts)
-                ids = texts.ids[places]
-                order = np.lexsort((ids, found))
-                found, ids = found[order], ids[order]
+                ids, block = texts.ids[places], rows.column("block").to_numpy()[places]
+                order = np.lexsort((ids, block, found))
+                found, ids, block = found[order], ids[order], block[order]
                 first = np.ones(len(found), bool)
-                first[1:] = found[1:] != found[:-1]
+                first[1:] = (found[1:] != found[:-1]) | (block[1:] != block[:-1])
                 starts = np.flatnonzero(first)
                 if not len(starts):
                     continue
-                # One row for each anchor of the run: its smallest and largest id and its count.
                 ends = np.append(starts[1:], len(found))
-                yield pa.RecordBatch.from_arrays([pa.array(found[starts].view(np.int64)), pa.array(ids[starts]), pa.array(ids[ends - 1]), pa.array((ends - starts).astype(np.int32))], ["a", "low", "high", "n"])
+                columns = {"a": found[starts].view(np.int64), "block": block[starts]}
+                if across_documents:
+                    columns |= {"low": ids[starts], "high": ids[ends - 1]}
+                else:
+                    columns |= {"n": (ends - starts).astype(np.int32)}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    counted = "low long, high long" if across_documents else "n int"
+    return with_block(docs, blocks).mapInArrow(occurrences, f"a long, block int, {counted}")
+
+
+def shared_anchors(space: Workspace, docs: DataFrame, anchors: Anchors, blocks: int, across_documents: bool) -> DataFrame:
+    """(block, a) for anchors that occur in two documents, or twice if not ``across_documents``.
 
-    rows = docs.mapInArrow(occurrences, "a long, low long, high long, n int")
+    Where anchors are sparse (not ``across_documents``: byte anchors) their rows are kept and read
+    twice; dense ones would fill the disk and are found twice instead.
+    """
+    rows = anchor_rows(docs, anchors, blocks, across_documents)
     if across_documents:
         shared = rows.groupBy("a").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
     else:
-        shared = rows.select("a", "n").groupBy("a").agg(F.sum("n").alias("n")).filter("n > 1")
+        rows = space.save(rows, "occurrences")
+        shared = rows.groupBy("a").agg(F.sum("n").alias("n")).filter("n > 1")
     shared = space.save(shared.select("a"), "shared")
-
-    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for texts, rows_ in texts_of(batch):
-                found, places = anchors(texts)
-                block = rows_.column("block").to_numpy()[places]
-                order = np.lexsort((found, block))
-                found, block = found[order], block[order]
-                keep = np.ones(len(found), bool)
-                keep[1:] = (found[1:] != found[:-1]) | (block[1:] != block[:-1])
-                if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(block[keep])], ["a", "block"])
-
-    rows = docs.withColumn("block", block_of(blocks)).mapInArrow(by_block, "a long, block int")
-    return space.save(rows.join(shared.hint("shuffle_hash"), "a", "left_semi").select("block", "a"), "flags")
+    flags = space.save(rows.select("block", "a").join(shared.hint("shuffle_hash"), "a", "left_semi").select("block", "a"), "flags")
+    space.drop("occurrences", "shared")
+    return flags
 
 
 def with_block(docs: DataFrame, blocks: int) -> DataFrame:

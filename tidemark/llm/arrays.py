@@ -91,6 +91,14 @@ def texts_of(batch: pa.RecordBatch, extra: tuple[str, ...] = ()) -> Iterator[tup
         at = stop
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values. Sorting beats a hash table on the nearly sorted arrays met here."""
+    ordered = np.sort(values, kind="stable")
+    keep = np.ones(len(ordered), bool)
+    keep[1:] = ordered[1:] != ordered[:-1]
+    return ordered[keep]
+
+
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Order-sensitive hash of each run of ``width`` neighbouring values."""
     n = len(words) - width + 1

@@ -66,17 +66,19 @@ def smaller_type(text: np.ndarray) -> np.ndarray:
 
 
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Symbols that the suffixes at a and b share, counted up to ``depth``, by comparing them."""
+    """Symbols that the suffixes at a and b share, counted up to ``depth``, by comparing them.
+
+    ``text`` has ``depth`` more symbols than the places a and b can take.
+    """
     out = np.zeros(len(a), np.int16)
     open_, done = np.arange(len(a)), 0
-    padded = np.append(text, np.zeros(depth, text.dtype))
     for width in (8, 24, 96, depth):
         width = min(width, depth - done)
         if not len(open_) or width <= 0:
             break
         span, still = np.arange(width), []
         for part in np.array_split(open_, max(1, len(open_) * width // (4 << 20))):
-            differ = padded[(a[part] + done)[:, None] + span] != padded[(b[part] + done)[:, None] + span]
+            differ = text[(a[part] + done)[:, None] + span] != text[(b[part] + done)[:, None] + span]
             first = np.where(differ.any(1), differ.argmax(1), width)
             out[part] += first.astype(np.int16)
             still.append(part[first == width])
@@ -95,7 +97,7 @@ class RangeMinimum:
         """Minima over low..high, both included."""
         level = np.frexp((high - low + 1).astype(np.float64))[1] - 1
         out = np.empty(len(low), self.levels[0].dtype)
-        for k in np.unique(level):
+        for k in range(level.min(initial=0), level.max(initial=0) + 1):
             own = level == k
             out[own] = np.minimum(self.levels[k][low[own]], self.levels[k][high[own] - 2**k + 1])
         return out
@@ -104,6 +106,7 @@ class RangeMinimum:
 class Induction:
     def __init__(self, text: np.ndarray, depth: int, memory: int = 256 << 20):
         self.text, self.depth, self.memory = text, depth, memory
+        self.padded = np.append(text, np.zeros(depth, text.dtype))
         self.small = smaller_type(text)
         left = self.small.copy()
         left[1:] &= ~self.small[:-1]
@@ -149,7 +152,7 @@ class Induction:
         return own
 
     def seam(self, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        return common_prefix(self.text, upper, lower, self.depth)
+        return common_prefix(self.padded, upper, lower, self.depth)
 
     def order(self, seeds: np.ndarray, seed_common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All suffixes in order from sorted seeds, with the common prefix of each and the one
@@ -217,7 +220,7 @@ class Induction:
         same = np.zeros(len(ordered), bool)
         alike = np.flatnonzero(own[1:] == own[:-1]) + 1
         cap = np.minimum(own[alike], self.depth)
-        shared = common_prefix(self.text, ordered[alike - 1], ordered[alike], self.depth)
+        shared = common_prefix(self.padded, ordered[alike - 1], ordered[alike], self.depth)
         same[alike] = shared >= cap
         names = np.zeros(len(self.left), np.int64)
         names[place[ordered]] = np.cumsum(~same)
@@ -248,7 +251,7 @@ class Induction:
         seeds = self.sorted_left()
         common = np.zeros(len(seeds), np.int16)
         if len(seeds) > 1:
-            common[1:] = common_prefix(self.text, seeds[:-1], seeds[1:], self.depth)
+            common[1:] = common_prefix(self.padded, seeds[:-1], seeds[1:], self.depth)
         return self.order(seeds, common)
 
 

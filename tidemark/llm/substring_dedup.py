@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.anchors import block_count, block_texts, known_ids, shared_anchors, with_block
-from tidemark.llm.arrays import Texts, inside_documents, window_hashes, window_minima
+from tidemark.llm.arrays import Texts, distinct, inside_documents, window_hashes, window_minima
 from tidemark.llm.storage import Workspace
 from tidemark.llm.words import SPACE
 
@@ -51,7 +51,7 @@ class Windows:
         self.documents = np.repeat(np.arange(len(texts.ids)), np.diff(self.firsts))
 
     def anchor_occurrences(self) -> tuple[np.ndarray, np.ndarray]:
-        places = np.unique(self.anchor_places[self.inside])
+        places = distinct(self.anchor_places[self.inside])
         at = np.searchsorted(self.anchor_places, places) if len(places) else places
         # anchor places never decrease from window to window, so the first hit has the anchor
         return (self.anchors[at] if len(places) else self.anchors[:0]), self.documents[places]
@@ -66,7 +66,7 @@ class Windows:
 
 def block_index(docs: pa.Table, flags: pa.Table, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """Sorted window hashes of a block, the smallest document and position of each, and the runs."""
-    shared = np.unique(flags.column("a").to_numpy().view(np.uint64)) if flags.num_rows else np.zeros(0, np.uint64)
+    shared = distinct(flags.column("a").to_numpy().view(np.uint64)) if flags.num_rows else np.zeros(0, np.uint64)
     runs, hashes, ids, positions = [], [], [], []
     for texts in block_texts(docs):
         windows = Windows(texts, width, gram)

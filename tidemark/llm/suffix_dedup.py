@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.anchors import block_count, block_texts, shared_anchors
-from tidemark.llm.arrays import Texts, mix
+from tidemark.llm.arrays import Texts, distinct, mix
 from tidemark.llm.induced_sort import join_strings, repeated_starts
 from tidemark.llm.storage import Workspace
 
@@ -54,7 +54,7 @@ class Runs:
         data, offsets = texts.data, texts.offsets
         inside = (data != 32) & ((data < 9) | (data > 13))
         starts, _, _ = texts.words()
-        grams = np.unique(np.concatenate([starts, stretches(inside, GRAM)]))
+        grams = distinct(np.concatenate([starts, stretches(inside, GRAM)]))
         grams = grams[grams + GRAM <= len(data)]
         empty = np.zeros(0, np.int64)
         self.document = self.first = self.last = self.place = empty
@@ -65,7 +65,7 @@ class Runs:
         hashes = texts.range_hashes(grams, grams + GRAM)
         reach = width - GRAM
         # The grams in reach of a window change only where one enters or leaves, or a text starts.
-        points = np.unique(np.concatenate([offsets[:-1][long], grams, np.maximum(grams - reach, 0)]))
+        points = distinct(np.concatenate([grams, np.maximum(grams - reach, 0), offsets[:-1][long]]))
         owner = np.searchsorted(offsets, points, "right") - 1
         valid = points + width <= offsets[owner + 1]
         ends = np.append(points[1:], len(data)) - 1
@@ -91,7 +91,7 @@ def leftmost_minimum(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> n
         levels.append(np.where(values[b] < values[a], b, a))
     out = np.empty(len(low), np.int64)
     size = np.frexp((high - low + 1).astype(np.float64))[1] - 1
-    for k in np.unique(size):
+    for k in range(size.min(initial=0), size.max(initial=0) + 1):
         own = size == k
         a, b = levels[k][low[own]], levels[k][high[own] - 2**k + 1]
         out[own] = np.where(values[b] < values[a], b, a)
@@ -138,7 +138,7 @@ def remove_long_repeats(spark: SparkSession, docs: DataFrame, width: int = 400,
     dealt = rows.withColumn("block", block)
 
     def contents(key: tuple, texts: pa.Table, own: pa.Table) -> pa.Table:
-        shared = np.unique(own.column("a").to_numpy().view(np.uint64)) if own.num_rows else np.zeros(0, np.uint64)
+        shared = distinct(own.column("a").to_numpy().view(np.uint64)) if own.num_rows else np.zeros(0, np.uint64)
         found: dict[tuple[int, int], list] = {}
         for run_texts in block_texts(texts):
             runs = Runs(run_texts, width)
