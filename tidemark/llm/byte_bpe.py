@@ -29,8 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MOST_TRANSITIONS = 1_000_000
-MOST_PIECES = 300_000
+MOST_TRANSITIONS = 250_000
+MOST_PIECES = 800_000
 NEVER = 1 << 60
 
 State = tuple[int, bytes]  # the last token emitted (-1: none), and the bytes not yet covered
@@ -142,12 +142,14 @@ class Transducer:
         before, pending = state[0], state[1] + bytes((byte,))
         known, size = self.lasts(state), len(pending)
         last = [*known, self.last_token(known, pending)]
-        starts = [i for i in range(max(0, size - self.longest), size) if last[i] is not None and pending[i:] in self.prefixes] + [size]
-        common = self.path(last, starts[0])
-        for start in starts[1:] if common else ():
-            own = self.path(last, start)
-            n = next((i for i, (a, b) in enumerate(zip(common, own)) if a != b), min(len(common), len(own)))
-            common = common[:n]
+        common: list[int] = []
+        if pending not in self.prefixes:  # else a token may yet start where the last one ended
+            starts = [i for i in range(max(0, size - self.longest), size) if last[i] is not None and pending[i:] in self.prefixes] + [size]
+            common = self.path(last, starts[0])
+            for start in starts[1:] if common else ():
+                own = self.path(last, start)
+                n = next((i for i, (a, b) in enumerate(zip(common, own)) if a != b), min(len(common), len(own)))
+                common = common[:n]
         if not common:
             after, out = (before, pending), ()
         else:
