@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.storage import Workspace
-from tidemark.llm.words import WORD
 
 BLOCK = 256
+MOST_VOTES = 50_000
 STRIP = ".,;:!?\"'()[]"
 BEGINNINGS = (4, 5, 6)
 
@@ -45,28 +45,41 @@ def terms_of(word: str) -> list[str]:
 class Vocabulary:
     """Places of the chosen terms; what each word of the text adds is looked up once."""
 
-    most_words = 300_000
+    most_words = 500_000
 
     def __init__(self, terms: list[str]):
         self.places = {term: i for i, term in enumerate(terms)}
-        self._words: dict[str, tuple[int, ...]] = {}
+        self._with: dict[str, tuple[int, ...]] = {}
+        self._without: set[str] = set()
 
     def __len__(self) -> int:
         return len(self.places)
 
-    def places_of(self, word: str) -> tuple[int, ...]:
-        if (known := self._words.get(word)) is None:
-            if len(self._words) >= self.most_words:
-                self._words.clear()
-            known = self._words[word] = tuple(i for t in terms_of(word) if (i := self.places.get(t)) is not None)
-        return known
+    def words_with_terms(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        """The distinct words that add terms, with the places of those."""
+        found = {}
+        for word in set(words) - self._without:
+            known = self._with.get(word)
+            if known is None:
+                known = tuple(i for t in terms_of(word) if (i := self.places.get(t)) is not None)
+                store = self._with if known else self._without
+                if len(store) >= self.most_words:
+                    store.clear()
+                if known:
+                    self._with[word] = known
+                else:
+                    self._without.add(word)
+                    continue
+            found[word] = known
+        return found
 
     def counts(self, text: str) -> dict[int, int]:
-        counts: dict[int, int] = {}
-        for word, n in Counter(WORD.findall(text.lower())).items():
-            for place in self.places_of(word):
+        words, counts = text.lower().split(), {}
+        for word, places in self.words_with_terms(words).items():
+            n = words.count(word)
+            for place in places:
                 counts[place] = counts.get(place, 0) + n
-        return counts
+        return dict(sorted(counts.items()))
 
 
 class BlockMaxIndex:
@@ -79,33 +92,38 @@ class BlockMaxIndex:
                 postings.setdefault(term, []).append((example, weight))
         self.size = len(vectors)
         self.blocks = -(-self.size // BLOCK)
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for term, pairs in postings.items():
-            ids = np.array([p[0] for p in pairs])
+            ids = np.array([p[0] for p in pairs], np.int32)
             weights = np.array([p[1] for p in pairs])
-            blocks, starts = np.unique(ids // BLOCK, return_index=True)
-            self.postings[term] = (ids, weights, blocks, np.append(starts, len(ids)), np.maximum.reduceat(weights, starts))
+            starts = np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK).astype(np.int32)
+            largest = np.zeros(self.blocks)
+            held = np.flatnonzero(np.diff(starts))
+            largest[held] = np.maximum.reduceat(weights, starts[held])
+            self.postings[term] = (ids % BLOCK, weights, starts, largest)
 
     def nearest(self, vector: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine, largest first, ties to the smaller place."""
         lists = [(self.postings[t], w) for t, w in vector.items() if t in self.postings]
         bounds = np.zeros(self.blocks)
-        for (_, _, blocks, _, largest), weight in lists:
-            bounds[blocks] += weight * largest
+        for (_, _, _, largest), weight in lists:
+            bounds += weight * largest
         best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
+        for block in np.argsort(-bounds, kind="stable").tolist():
             if bounds[block] <= 0 or len(best) == k and bounds[block] < best[-1][0] - 1e-12:
                 break
             scores = np.zeros(BLOCK)
-            for (ids, weights, blocks, starts, _), weight in lists:
-                at = np.searchsorted(blocks, block)
-                if at < len(blocks) and blocks[at] == block:
-                    own = slice(starts[at], starts[at + 1])
-                    scores[ids[own] - block * BLOCK] += weight * weights[own]
+            for (ids, weights, starts, _), weight in lists:
+                low, high = starts[block], starts[block + 1]
+                if low < high:
+                    scores[ids[low:high]] += weight * weights[low:high]
             if 0 <= without - block * BLOCK < BLOCK:
                 scores[without - block * BLOCK] = 0
-            found = np.flatnonzero(scores > 0)
-            best = sorted([*best, *((float(scores[i]), int(i + block * BLOCK)) for i in found)], key=lambda s: (-s[0], s[1]))[:k]
+            least = best[-1][0] - 1e-12 if len(best) == k else 0.0
+            found = np.flatnonzero(scores > least)
+            if len(found) > k:
+                found = found[np.argsort(-scores[found], kind="stable")[:k]]
+            best = sorted([*best, *((float(scores[i]), int(i + block * BLOCK)) for i in found)], key=lambda s: (-round(s[0], 12), s[1]))[:k]
         return best
 
 
@@ -116,13 +134,24 @@ class Scorer:
         self.prior = sum(self.labels) / max(1, len(self.labels))
         self.place = {own: i for i, own in enumerate(self.ids)}
         self.index = BlockMaxIndex([e[2] for e in examples])
+        self._votes: dict[tuple, tuple[float, list[int]]] = {}
         self.steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def vote(self, text: str, without: int | None = None) -> tuple[float, list[int]]:
         """Distance-weighted share of toxic neighbours, drawn to the prior by one distant vote; -1
         for a text without neighbours."""
         vector = weigh(self.vocabulary.counts(text), self.idf)
-        near = self.index.nearest(vector, self.k, self.place.get(without, -1) if without is not None else -1) if vector else []
+        if not vector:
+            return -1.0, []
+        key = (tuple(vector.items()), without)
+        if (known := self._votes.get(key)) is None:
+            if len(self._votes) >= MOST_VOTES:
+                self._votes.clear()
+            known = self._votes[key] = self._vote(vector, without)
+        return known
+
+    def _vote(self, vector: dict[int, float], without: int | None) -> tuple[float, list[int]]:
+        near = self.index.nearest(vector, self.k, self.place.get(without, -1) if without is not None else -1)
         if not near:
             return -1.0, []
         votes = [(1 / (1.05 - min(1.0, s)), self.labels[i]) for s, i in near]
@@ -183,7 +212,7 @@ def fit(
         for batch in batches:
             counts: dict[str, list[int]] = {}
             for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
-                for term in {"", *(t for word in set(WORD.findall((text.as_py() or "").lower())) for t in terms_of(word))}:
+                for term in {"", *(t for word in set((text.as_py() or "").lower().split()) for t in terms_of(word))}:
                     counts.setdefault(term, [0, 0])[int(label > 0)] += 1
             yield pa.RecordBatch.from_arrays([pa.array(counts), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1))], ["term", "clean", "toxic"])
 
@@ -205,7 +234,7 @@ def fit(
         for batch in batches:
             for text in batch.column("text"):
                 counts[-1] += 1
-                counts.update({i for word in set(WORD.findall((text.as_py() or "").lower())) for i in shared.value.places_of(word)})
+                counts.update({i for own in shared.value.words_with_terms((text.as_py() or "").lower().split()).values() for i in own})
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
     found = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
