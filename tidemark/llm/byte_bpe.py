@@ -24,6 +24,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -207,7 +208,8 @@ class Codec:
                 ids = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
                 if len(piece) <= 64:
                     if len(known) >= MOST_PIECES:
-                        known.clear()
+                        for old in list(islice(known, MOST_PIECES // 2)):
+                            del known[old]
                     known[piece] = ids
             out.append(ids)
         return b"".join(out)
