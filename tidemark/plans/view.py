@@ -106,7 +106,7 @@ def _period_batches(catalog: Catalog, request: ViewRequest) -> list[tuple[DataFr
         for name, c in members:
             value = catalog.measures[c.measure].combine()
             if c.output.kind == "mean":
-                cells.append(F.round(F.avg(value), 4).alias(name))
+                cells.append(F.round(F.avg(value), 8).alias(name))
             else:
                 op, bound = c.output.threshold
                 cells.append(F.count(F.when(COMPARE[op](value, F.lit(bound)), 1)).alias(name))
