@@ -30,8 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MOST_TRANSITIONS = 250_000
-MOST_PIECES = 800_000
+MOST_TRANSITIONS = 100_000
+MOST_PIECES = 500_000
 NEVER = 1 << 60
 
 State = tuple[int, bytes]  # the last token emitted (-1: none), and the bytes not yet covered

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.llm.storage import Workspace
 
 BLOCK = 256
-MOST_VOTES = 50_000
+MOST_VOTES = 20_000
 STRIP = ".,;:!?\"'()[]"
 BEGINNINGS = (4, 5, 6)
 
@@ -45,7 +45,7 @@ def terms_of(word: str) -> list[str]:
 class Vocabulary:
     """Places of the chosen terms; what each word of the text adds is looked up once."""
 
-    most_words = 500_000
+    most_words = 200_000
 
     def __init__(self, terms: list[str]):
         self.places = {term: i for i, term in enumerate(terms)}
