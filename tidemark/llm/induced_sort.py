@@ -113,6 +113,7 @@ class Induction:
         left[0] = False
         self.left = np.flatnonzero(left).astype(np.int32)
         self.symbols = int(text.max()) + 1
+        self.tracking = True
 
     def scan(self, queues: Queues, places: np.ndarray, common: np.ndarray, small: bool, running: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sends the predecessors of a sorted batch to their queues and returns those that start
@@ -128,31 +129,36 @@ class Induction:
         at, symbol = at[order], symbol[order]
         again = np.zeros(len(at), bool)
         again[1:] = symbol[1:] == symbol[:-1]
+        starts = np.flatnonzero(~again)
+        value = self.carried(common, at, again, symbol, starts, running) if self.tracking else np.zeros(len(at), np.int16)
+        own, own_symbol = none, self.text[places[0]]
+        for s, e in zip(starts.tolist(), np.append(starts[1:], len(at)).tolist()):
+            part = before[at[s:e]].astype(np.int32), value[s:e]
+            if symbol[s] == own_symbol:
+                own = part
+            else:
+                queues.push(int(symbol[s]), *part)
+        return own
+
+    def carried(self, common: np.ndarray, at: np.ndarray, again: np.ndarray, symbol: np.ndarray, starts: np.ndarray, running: np.ndarray) -> np.ndarray:
+        """Common prefixes of the predecessors: one more than the least met between two tuples
+        that go to the same queue."""
         minimum = RangeMinimum(common)
         low = np.zeros(len(at), np.int64)
         low[again] = at[:-1][again[1:]] + 1
         value = minimum(low, at) if len(at) else np.zeros(0, np.int16)
         value[~again] = np.minimum(value[~again], running[symbol[~again]])
         np.minimum(running, common.min(), out=running)
-        starts = np.flatnonzero(~again)
         if len(starts):
             last = at[np.append(starts[1:], len(at)) - 1]
             tail = np.full(len(starts), self.depth, np.int16)
             more = last + 1 < len(common)
             tail[more] = minimum(last[more] + 1, np.full(more.sum(), len(common) - 1))
             running[symbol[starts]] = tail
-        value = np.minimum(value + 1, self.depth).astype(np.int16)
-        own, own_symbol = none, self.text[places[0]]
-        for s, e in zip(starts.tolist(), np.append(starts[1:], len(at)).tolist()):
-            part = before[at[s:e]].astype(np.int32), value[s:e]
-            if symbol[s] == own_symbol:
-                own = part
-            else:
-                queues.push(int(symbol[s]), *part)
-        return own
+        return np.minimum(value + 1, self.depth).astype(np.int16)
 
     def seam(self, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        return common_prefix(self.padded, upper, lower, self.depth)
+        return common_prefix(self.padded, upper, lower, self.depth) if self.tracking else np.zeros(len(upper), np.int16)
 
     def order(self, seeds: np.ndarray, seed_common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All suffixes in order from sorted seeds, with the common prefix of each and the one
@@ -209,7 +215,9 @@ class Induction:
     def named(self) -> tuple[np.ndarray, np.ndarray]:
         """Names of the leftmost-smaller substrings, in text order and in order of their contents."""
         rough = self.left[np.argsort(self.text[self.left], kind="stable")]
+        self.tracking = False
         order, _ = self.order(rough, np.zeros(len(rough), np.int16))
+        self.tracking = True
         is_left = np.zeros(len(self.text), bool)
         is_left[self.left] = True
         ordered = order[is_left[order]]

@@ -8,8 +8,9 @@ neighbours that share ``width`` bytes are repeated windows. A content that a blo
 that two blocks hold, is repeated as a whole and stands in its shard once. The repeated windows go
 back to the blocks, where documents are cut.
 
-Anchors are the smallest hashes of 64-byte grams that start at a word, or lie wholly inside a long
-word or a long stretch of white space; any window of ``width`` bytes has one.
+A window is anchored at its smallest 64-byte gram by hash, of those that start at a word, or lie
+wholly inside a long word or a long stretch of white space; any window of ``width`` bytes has one.
+The anchor is the gram with the bytes before or behind it that the window must hold as well.
 
 Edge cases: a null or empty text, or one shorter than ``width`` bytes, loses nothing. Matches never
 cross documents; matches within one count. Of a repeated text no copy stays: strings are judged on
@@ -76,9 +77,20 @@ class Runs:
         new = np.ones(len(points), bool)
         new[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1]) | (points[1:] != ends[:-1] + 1)
         begin = np.flatnonzero(new)
-        self.document, self.first, self.place = owner[begin], points[begin], grams[place[begin]]
-        self.last = ends[np.append(begin[1:], len(points)) - 1] if len(begin) else empty
-        self.anchor = hashes[place[begin]]
+        document, first, place = owner[begin], points[begin], grams[place[begin]]
+        last = ends[np.append(begin[1:], len(points)) - 1] if len(begin) else empty
+        # A window holds ``reach // 2`` more bytes on one side of its gram at least: those with
+        # fewer than that before it hold them behind it. The longer core is the anchor.
+        half = reach // 2
+        early, late = first < place - half, last >= place - half
+        cut = np.maximum(place - half, 0)
+        self.document = np.concatenate([document[early], document[late]])
+        self.first = np.concatenate([first[early], np.maximum(first, cut)[late]])
+        self.last = np.concatenate([np.minimum(last, cut - 1)[early], last[late]])
+        self.place = np.concatenate([place[early], place[late]])
+        start = np.concatenate([cut[early], place[late]])
+        side = np.repeat(np.array([1, 2], np.uint64), [early.sum(), late.sum()])
+        self.anchor = mix(texts.range_hashes(start, np.minimum(start + half + GRAM, len(data))) + side)
         self.content = mix(texts.range_hashes(self.first, self.last + width) + (self.place - self.first).astype(np.uint64))
 
 
@@ -126,12 +138,12 @@ def remove_long_repeats(spark: SparkSession, docs: DataFrame, width: int = 400,
     rows = docs.select(F.col("doc_id").cast("long").alias("real_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("doc_id", F.coalesce("real_id", F.xxhash64("text")))
     blocks = block_count(rows)
-    shards = 2 * blocks
+    shards = blocks
     block = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(blocks)).cast("int")
 
     def anchors(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         runs = Runs(texts, width)
-        _, one = np.unique(runs.place, return_index=True)
+        _, one = np.unique(np.stack([runs.place.astype(np.uint64), runs.anchor]), axis=1, return_index=True)
         return runs.anchor[one], runs.document[one]
 
     flags = shared_anchors(space, rows.select("doc_id", "text"), anchors, blocks, False)
