@@ -143,8 +143,7 @@ def remove_long_repeats(spark: SparkSession, docs: DataFrame, width: int = 400,
 
     def anchors(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         runs = Runs(texts, width)
-        _, one = np.unique(np.stack([runs.place.astype(np.uint64), runs.anchor]), axis=1, return_index=True)
-        return runs.anchor[one], runs.document[one]
+        return runs.anchor, runs.document
 
     flags = shared_anchors(space, rows.select("doc_id", "text"), anchors, blocks, False)
     dealt = rows.withColumn("block", block)
