@@ -3,10 +3,11 @@
 Merges by rank are compiled on demand into a transducer over the bytes of one pre-token. Its
 state is the last token emitted and the bytes read since: a token sequence is the encoding of its
 bytes exactly if each neighbouring pair is the encoding of its own bytes, so the last token of
-every prefix follows from the last tokens of shorter prefixes. Whatever part of the sequence all
-continuations share is emitted at once; no continuation reaches further back than the longest
-token that can still be completed, which bounds the lookahead. Transitions, and the outputs of
-whole pre-tokens, are kept in tables of bounded size.
+every prefix follows from the last tokens of shorter prefixes. A state keeps those as a row, which
+the states that follow it share, and is made when a text first leads there. Beyond a bounded
+lookahead, whatever part of the sequence all continuations share is emitted; no continuation
+reaches further back than the longest token that can still be completed. States, and the outputs
+of whole pre-tokens, are kept in tables of bounded size.
 
 Decoding joins the tokens' bytes and feeds them to an incremental UTF-8 decoder, which holds back
 an incomplete character until its last byte arrives.
@@ -30,13 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MOST_TRANSITIONS = 100_000
-MOST_PIECES = 500_000
+MOST_PAIRS = 500_000
+MOST_STATES = 400_000
+MOST_PIECES = 700_000
+LOOKAHEAD = 64
 NEVER = 1 << 60
 
-State = tuple[int, bytes]  # the last token emitted (-1: none), and the bytes not yet covered
-START: State = (-1, b"")
-
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
@@ -46,8 +46,7 @@ class Transducer:
         self.prefixes = {token[:n] for token in ranks for n in range(1, len(token))}
         self._edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._lasts: dict[State, list[int | None]] = {}
-        self._moves: dict[tuple[int, bytes, int], tuple[State, tuple[int, ...]]] = {}
+        self._rows: dict[bytes, list[int | None]] = {}
 
     def halves(self, token: bytes) -> tuple[bytes, bytes]:
         """The two parts that the last merge of a token joined."""
@@ -80,7 +79,7 @@ class Transducer:
             return True
         key = (left, right)
         if (known := self._pairs.get(key)) is None:
-            if len(self._pairs) >= MOST_TRANSITIONS:
+            if len(self._pairs) >= MOST_PAIRS:
                 self._pairs.clear()
             known = self._pairs[key] = self._border_holds(self.edge(left, 1), self.edge(right, 0))
         return known
@@ -100,20 +99,9 @@ class Transducer:
             else:
                 j += 1
 
-    def lasts(self, state: State) -> list[int | None]:
-        """For each length of the pending bytes, the last token of that prefix's encoding.
-
-        None where that encoding does not pass through the last token emitted: such a prefix is
-        no place where a later token can start.
-        """
-        if (known := self._lasts.get(state)) is None:
-            before, pending = state
-            known = [before]
-            for end in range(1, len(pending) + 1):
-                known.append(self.last_token(known, pending[:end]))
-        return known
-
     def last_token(self, last: list[int | None], pending: bytes) -> int | None:
+        """The last token of the encoding of ``pending``, from those of its prefixes; None where
+        that encoding does not pass through the last token emitted."""
         end = len(pending)
         for start in range(max(0, end - self.longest), end):
             token = self.ranks.get(pending[start:])
@@ -121,54 +109,51 @@ class Transducer:
                 return token
         return None
 
-    def path(self, last: list[int], end: int) -> list[int]:
-        """Ends of the tokens that cover pending[:end], in order."""
+    def path(self, last: list[int | None], end: int) -> list[int]:
+        """Ends of the tokens that cover the first ``end`` bytes, in order."""
         ends = []
         while end:
             ends.append(end)
             end -= len(self.tokens[last[end]])
         return ends[::-1]
 
-    def move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        key = (*state, byte)
-        if (known := self._moves.get(key)) is None:
-            if len(self._moves) >= MOST_TRANSITIONS:
-                self._moves.clear()
-                self._lasts.clear()
-            known = self._moves[key] = self._determinise(state, byte)
-        return known
-
-    def _determinise(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        """The next state: whatever all places where a later token may start have in common goes out."""
-        before, pending = state[0], state[1] + bytes((byte,))
-        known, size = self.lasts(state), len(pending)
-        last = [*known, self.last_token(known, pending)]
-        common: list[int] = []
-        if pending not in self.prefixes:  # else a token may yet start where the last one ended
-            starts = [i for i in range(max(0, size - self.longest), size) if last[i] is not None and pending[i:] in self.prefixes] + [size]
-            common = self.path(last, starts[0])
-            for start in starts[1:] if common else ():
-                own = self.path(last, start)
-                n = next((i for i, (a, b) in enumerate(zip(common, own)) if a != b), min(len(common), len(own)))
-                common = common[:n]
-        if not common:
-            after, out = (before, pending), ()
-        else:
-            out = tuple(last[end] for end in common)
-            after, last = (out[-1], pending[common[-1] :]), last[common[-1] :]
-        self._lasts[after] = last
-        return after, out
+    def settled(self, last: list[int | None], pending: bytes) -> list[int]:
+        """Ends of the tokens that all places where a later token may start have in common."""
+        size = len(pending)
+        starts = [i for i in range(max(0, size - self.longest), size) if last[i] is not None and pending[i:] in self.prefixes] + [size]
+        common = self.path(last, starts[0])
+        for start in starts[1:] if common else ():
+            own = self.path(last, start)
+            n = next((i for i, (a, b) in enumerate(zip(common, own)) if a != b), min(len(common), len(own)))
+            common = common[:n]
+        return common
+
+    def known_state(self, piece: bytes, limit: int) -> tuple[int, list[int | None]]:
+        """The longest prefix whose state has been made before, and its row of last tokens."""
+        for end in range(limit, 0, -1):
+            if (row := self._rows.get(piece[:end])) is not None:
+                return end, row[: end + 1]
+        return 0, [-1]
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        state, out = START, []
-        for byte in piece:
-            state, emitted = self.move(state, byte)
-            out += emitted
-        last = self.lasts(state)
-        return out + [last[end] for end in self.path(last, len(state[1]))]
+        limit = min(len(piece), LOOKAHEAD)
+        at, last = self.known_state(piece, limit)
+        if len(self._rows) >= MOST_STATES:
+            self._rows.clear()
+        for end in range(at + 1, limit + 1):
+            last.append(self.last_token(last, piece[:end]))
+            self._rows[piece[:end]] = last  # a longer prefix goes on in the same row
+        out, pending = [], piece[:limit]
+        for i in range(limit, len(piece)):
+            pending += piece[i : i + 1]
+            last.append(self.last_token(last, pending))
+            if len(pending) >= 2 * LOOKAHEAD and (ends := self.settled(last, pending)):
+                out += [last[end] for end in ends]
+                pending, last = pending[ends[-1] :], last[ends[-1] :]
+        return out + [last[end] for end in self.path(last, len(pending))]
 
 
 #: Texts of these characters alone are split by the faster pattern below, which agrees with the
