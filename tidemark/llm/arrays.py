@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 @lru_cache(1)
