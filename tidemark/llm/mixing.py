@@ -59,7 +59,7 @@ def mix_sizes(
     weights: tuple[float, ...] = SOURCE_WEIGHTS,
     most: int = MOST_EPOCHS,
     seed: int = 17,
-    bucket_rows: int = 20_000,
+    bucket_rows: int = 2_000,
 ) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken for each row of ``docs``.
 
