@@ -224,9 +224,9 @@ class JaccardJoin:
 
         pairs = self.space.save(pairs, f"{name}-pairs")
         ids = self.space.save(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), f"{name}-ids")
-        made = self.space.save(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, set binary").dropDuplicates(["id"]), f"{name}-sets")
+        made = self.space.save(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, set binary"), f"{name}-sets")
         both = pairs.join(made.select(F.col("id").alias("u"), F.col("set").alias("left")), "u").join(made.select(F.col("id").alias("v"), F.col("set").alias("right")), "v")
-        links = self.space.save(both.select("u", "v", "left", "right").mapInArrow(compare, "u long, v long"), f"{name}-links")
+        links = self.space.save(both.select("u", "v", "left", "right").mapInArrow(compare, "u long, v long").distinct(), f"{name}-links")
         self.space.drop(f"{name}-ids", f"{name}-sets")
         return links
 
@@ -237,17 +237,20 @@ class JaccardJoin:
         classes = self.space.save(filled.groupBy("identity").agg(F.min("doc_id").alias("id")), "classes")
         sets = filled.join(classes, "identity").filter("doc_id = id").dropDuplicates(["id"]).select("id", "n", "prefix", "small")
         sets = self.space.save(sets, "sets")
+        # Prefixes are the bulk of these tables; each goes as soon as the next holds what is needed.
+        described = self.space.save(described.select("doc_id", "n", F.when(F.col("n") > 0, F.col("identity")).alias("identity")), "own")
+        self.space.drop("described")
         sizes = {r["n"]: r["count"] for r in sets.filter(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()}
         boundary = choose_boundary(sizes, 1.0, self.percent)
         light = self.light_links(sets, boundary)
         lists = self.lists(sets, boundary)
+        self.space.drop("sets")
         links = light.unionByName(self.verified(known, self.leader_pairs(lists, boundary), "first"))
         links = self.space.save(links, "links")
         labels = connected_components(self.space, links, "first-labels")
         labels = self.remaining(known, lists, links, labels, boundary)
 
-        own = described.select("doc_id", "n", F.when(F.col("n") > 0, F.col("identity")).alias("identity"))
-        placed = own.join(classes, "identity", "left").join(labels.select("id", "label"), "id", "left")
+        placed = described.join(classes, "identity", "left").join(labels.select("id", "label"), "id", "left")
         result = placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "id", "doc_id").alias("component_id"))
         unknown = docs.filter("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
         return result.unionByName(self.sizes_only(unknown))
