@@ -199,6 +199,12 @@ class Codec:
             out.append(ids)
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Empties the tables; a worker process goes on to other work after a task."""
+        self._pieces.clear()
+        self.transducer._rows.clear()
+        self.transducer._pairs.clear()
+
     def decode_bytes(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -213,7 +219,7 @@ def decode_stream(codec: Codec, chunks: Iterable[bytes]) -> Iterator[str]:
 
 @lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
-    """One codec for each worker process; its tables outlive a task."""
+    """One codec for each worker process; its vocabulary outlives a task."""
     return Codec(path, pattern)
 
 
@@ -234,6 +240,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
         for batch in rows:
             ids = [own.encode(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        own.forget()
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(batches, "doc_id long, ids binary")
 
@@ -260,6 +267,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
             if keep_ids:
                 arrays, names = [*arrays, pa.array(packed, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
+        own.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(batches, schema)

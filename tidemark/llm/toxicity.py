@@ -55,6 +55,10 @@ class Vocabulary:
     def __len__(self) -> int:
         return len(self.places)
 
+    def forget(self) -> None:
+        self._with.clear()
+        self._without.clear()
+
     def words_with_terms(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """The distinct words that add terms, with the places of those."""
         found = {}
@@ -158,6 +162,11 @@ class Scorer:
         total = sum(w for w, _ in votes) + 1
         return (sum(w * y for w, y in votes) + self.prior) / total, [self.ids[i] for _, i in near]
 
+    def forget(self) -> None:
+        """Empties what a task remembered; the worker process goes on to other work."""
+        self._votes.clear()
+        self.vocabulary.forget()
+
     def score(self, vote: float) -> float:
         return float(np.interp(vote, *self.steps))
 
@@ -235,6 +244,7 @@ def fit(
             for text in batch.column("text"):
                 counts[-1] += 1
                 counts.update({i for own in shared.value.words_with_terms((text.as_py() or "").lower().split()).values() for i in own})
+        shared.value.forget()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
     found = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
@@ -274,6 +284,8 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, thre
             scores = [scorer.score(v) if scorer else 0.0 for v, _ in votes]
             near = pa.array([ids[:evidence] for _, ids in votes], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), near], ["doc_id", "score", "predicted", "evidence"])
+        if scorer:
+            scorer.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, "doc_id long, score double, predicted int, evidence array<long>")
 
@@ -287,5 +299,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshol
         for batch in rows:
             kept = [scorer is None or scorer.score(scorer.vote(t.as_py() or "")[0]) < threshold for t in batch.column("text")]
             yield batch.filter(pa.array(kept, pa.bool_()))
+        if scorer:
+            scorer.forget()
 
     return docs.mapInArrow(batches, docs.schema)
