@@ -46,8 +46,9 @@ def test_output_rules():
         Output("rate")
 
 
-def test_empty_filters_are_none():
-    assert Filter("a", "IN", ()).apply.__self__.column == "a"
+def test_empty_filters_are_none(spark):
+    assert all(Filter("a", "IN", v).apply() is None for v in ((), [], "", None))
+    assert Filter("a", "=", 0).apply() is not None
 
 
 def test_asof_without_match_and_with_ties(spark):

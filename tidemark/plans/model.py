@@ -60,7 +60,7 @@ class Filter:
         c, v = F.col(self.column), self.value
         if self.operator in ("IS NULL", "IS NOT NULL"):
             return c.isNull() if self.operator == "IS NULL" else c.isNotNull()
-        if v is None or v == "" or v == []:
+        if v is None or v == "" or (isinstance(v, (list, tuple)) and not v):
             return None
         simple = {"=": c == v, "!=": c != v, ">": c > v, ">=": c >= v, "<": c < v, "<=": c <= v} if not isinstance(v, (list, tuple)) else {}
         if self.operator in simple:
