@@ -31,3 +31,80 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     return F.try_divide(F.levenshtein(a, b).cast("double"), F.greatest(F.length(a), F.length(b)))
+
+
+def body_mass_index(weight: Column, height: Column) -> Column:
+    exact, height = weight.cast("decimal(18,4)"), height.cast("decimal(8,2)")  # decimals, so that halves round up
+    return F.when(height > 0, F.round(exact * 703 / (height * height), 2)).cast("double")
+
+
+def speed_score(weight: Column, forty: Column) -> Column:
+    exact, forty = weight.cast("decimal(18,4)"), forty.cast("decimal(6,2)")
+    return F.when(forty > 0, F.round(exact * 200 / (forty * forty * forty * forty), 2)).cast("double")
+
+
+def sum_of_known(*parts: Column) -> Column:
+    """Missing parts count 0, as in agility and burst scores."""
+    return sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0))
+
+
+def age_years(at: Column, born: Column) -> Column:
+    """Whole years, months by twelfths, the days left over by 365.25ths; two digits."""
+    at, born = at.cast("date"), born.cast("date")
+    months = (F.year(at) - F.year(born)) * 12 + F.month(at) - F.month(born)
+    days = F.dayofmonth(at) - F.dayofmonth(born)
+    short = days < 0  # a month is borrowed, with as many days as the month of birth has
+    months, days = months - short.cast("int"), days + F.when(short, F.dayofmonth(F.last_day(born))).otherwise(0)
+    return F.round(months / 12 + days / 365.25, 2)
+
+
+def clock_seconds(clock: Column) -> Column:
+    """Seconds of ``MM:SS``; 0 where it can't be read."""
+    minutes, seconds = (F.regexp_extract(F.trim(clock), r"^(\d+):(\d+)$", k).try_cast("int") for k in (1, 2))
+    return F.coalesce(minutes * 60 + seconds, F.lit(0))
+
+
+def game_progress(quarter: Column, clock: Column, final: Column) -> Column:
+    """Share of four quarters of 900 seconds that is over, within [0, 1]; overtime is 1."""
+    elapsed = ((quarter - 1) * 900 + 900 - clock_seconds(clock)) / 3600
+    return F.when(final, 1.0).when(quarter.isNull() | (quarter < 1), 0.0).when(quarter >= 5, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), elapsed)))
+
+
+def live_projection(so_far: Column, projection: Column, progress: Column) -> Column:
+    return F.coalesce(so_far, F.lit(0)) + F.coalesce(projection, F.lit(0)) * (1 - progress)
+
+
+def personnel_counts(text: Column) -> Column:
+    """``1 RB, 2 TE`` as a map of position to count."""
+    counts = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+) ([A-Z]+)"), F.lit(1)), lambda n: n.cast("int"))
+    return F.map_from_arrays(F.regexp_extract_all(text, F.lit(r"(\d+) ([A-Z]+)"), F.lit(2)), counts)
+
+
+def similar_names(a: Column, b: Column) -> Column:
+    """Equal, one inside the other, an edit ratio of at most 0.3 or a bigram distance of at most 0.4."""
+    a, b = F.lower(a), F.lower(b)
+    return (a == b) | F.contains(a, b) | F.contains(b, a) | (levenshtein_ratio(a, b) <= 0.3) | (1 - jaccard(ngrams(a), ngrams(b)) <= 0.4)
+
+
+def name_matches(text: Column, query: str) -> Column:
+    """Every word of ``query`` is a word of the text, letter case aside."""
+    words = F.split(F.lower(text), r"\W+")
+    found = F.lit(True)
+    for word in query.lower().split():
+        found = found & F.array_contains(words, word)
+    return found
+
+
+def rank_band(place: Column, pool: Column, bands: int) -> Column:
+    """Band of a row number in its pool, from 0."""
+    return F.floor((place - 1) * bands / pool).cast("int")
+
+
+def share_percent(part: Column, whole: Column, most: float = 999.99) -> Column:
+    return F.least(F.round(F.try_divide(part * 100.0, whole), 2), F.lit(most))
+
+
+def month_day(year: Column, month: int, day: int) -> Column:
+    """That day of the year, or the month's last one where it has fewer."""
+    first = F.make_date(year, F.lit(month), F.lit(1))
+    return F.least(F.date_add(first, day - 1), F.last_day(first))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -73,9 +75,26 @@ class Filter:
         if self.operator in ("LIKE", "NOT LIKE", "ILIKE", "NOT ILIKE"):
             found = c.ilike(f"%{v}%") if "ILIKE" in self.operator else c.like(f"%{v}%")
             return ~found if self.operator.startswith("NOT") else found
+        if self.operator == "OVERLAPS":  # an array column shares a value with the list
+            return F.arrays_overlap(c, F.array(*[F.lit(x) for x in v]))
+        if self.operator == "HAS":
+            return F.array_contains(c, v)
         raise ValueError(f"unknown operator {self.operator!r}")
 
 
+@dataclass(frozen=True)
+class Presets:
+    """One of several presets holds; a preset is a set of columns with the values they must have."""
+
+    presets: tuple[dict[str, object], ...]
+
+    def apply(self) -> Column | None:
+        if not self.presets:
+            return None
+        each = [reduce(and_, [F.col(c) == v for c, v in preset.items()], F.lit(True)) for preset in self.presets]
+        return reduce(or_, each)
+
+
 def filtered(df: DataFrame, filters: tuple[Filter, ...] | list[Filter]) -> DataFrame:
     for one in filters:
         predicate = one.apply()
@@ -108,6 +127,24 @@ class ViewColumn:
     filters: tuple[Filter, ...] = ()
     #: Years relative to the row's year whose accumulators are pooled, both ends included.
     year_offset: tuple[int, int] = (0, 0)
+    #: How the years of an offset become one value: pooled, or avg, min, max or latest of the years'.
+    offset_reduce: str = "pool"
+    #: Seasons or games of the subject's career, both ends included.
+    career_years: tuple[int, int] | None = None
+    career_games: tuple[int, int] | None = None
+    #: Years of the facts of this column, whatever the row's year.
+    pinned_years: tuple[int, ...] = ()
+
+    def __post_init__(self):
+        if self.offset_reduce not in ("pool", "avg", "min", "max", "latest"):
+            raise ValueError(f"unknown reduction {self.offset_reduce!r}")
+        if self.pinned_years and (self.output.kind != "total" or self.year_offset != (0, 0)):
+            raise ValueError("a column with years of its own is a total without an offset")
+
+    @property
+    def scope(self) -> tuple:
+        """What decides which facts the column reads; columns of one scope share an aggregation."""
+        return self.filters, self.year_offset, self.offset_reduce, self.career_years, self.career_games, self.pinned_years
 
 
 @dataclass(frozen=True)
@@ -121,6 +158,8 @@ class ViewRequest:
     sort: tuple[tuple[str, bool], ...] = ()  # output column, descending
     offset: int = 0
     limit: int | None = 500
+    #: Adds ``total_count``, the number of rows before the limit.
+    with_count: bool = False
 
 
 @dataclass

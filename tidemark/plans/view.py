@@ -12,7 +12,7 @@ from __future__ import annotations
 import operator
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.plans.model import Catalog, Filter, Output, ViewColumn, ViewRequest, filtered
 
@@ -56,30 +56,59 @@ def _with_subject(catalog: Catalog, request: ViewRequest, facts: DataFrame) -> D
     return facts.withColumn("subject", F.col(catalog.subjects[request.grain])).filter(F.col("subject").isNotNull())
 
 
-def _total_batches(catalog: Catalog, request: ViewRequest) -> list[tuple[DataFrame, dict[str, F.Column]]]:
-    """One aggregation for each distinct set of filters, offset and denominator."""
+def _career(catalog: Catalog, request: ViewRequest, years: tuple[int, int] | None, games: tuple[int, int] | None, facts: DataFrame) -> DataFrame:
+    """Facts of the subject's first to last season or game so and so; ordinals come from all facts,
+    one row for each subject and game, so no fact is ranked."""
+    whole = _with_subject(catalog, request, catalog.fact)
+    if years:
+        seasons = whole.select("subject", "year").distinct()
+        place = F.row_number().over(Window.partitionBy("subject").orderBy("year"))
+        facts = facts.join(seasons.withColumn("_n", place).filter(F.col("_n").between(*years)).drop("_n"), ["subject", "year"], "left_semi")
+    if games:
+        game = catalog.units["game"]
+        played = whole.groupBy("subject", F.expr(game).alias("_game")).agg(F.min(F.struct("year", "week")).alias("_when"))
+        place = F.row_number().over(Window.partitionBy("subject").orderBy("_when", "_game"))
+        chosen = played.withColumn("_n", place).filter(F.col("_n").between(*games)).select("subject", "_game")
+        facts = facts.withColumn("_game", F.expr(game)).join(chosen, ["subject", "_game"], "left_semi").drop("_game")
+    return facts
+
+
+REDUCTIONS = {"avg": F.avg, "min": F.min, "max": F.max, "latest": lambda c: F.max_by(c, "_from")}
+
+
+def _offset_batch(catalog: Catalog, request: ViewRequest, facts: DataFrame, members: list[tuple[str, ViewColumn]], needed: dict) -> tuple[DataFrame, dict[str, F.Column]]:
+    """Years are aggregated first and then moved to the rows that look back or ahead at them, so
+    the join of years is an equi join on pre-aggregated rows."""
+    if request.axes != ("year",) or any(a.kind == "count_distinct" for a in needed.values()):
+        raise ValueError("a year offset needs the year axis alone and additive accumulators")
+    (low, high), reduction = members[0][1].year_offset, members[0][1].offset_reduce
+    yearly = facts.groupBy("subject", F.col("year").alias("_from")).agg(*[a.column().alias(n) for n, a in needed.items()])
+    moved = yearly.withColumn("year", F.explode(F.sequence(F.col("_from") - high, F.col("_from") - low))).filter(F.col("year").isin(list(request.years)))
+    cells = {name: catalog.measures[c.measure].combine() for name, c in members}
+    if reduction == "pool":
+        return moved.groupBy("subject", "year").agg(*[F.sum(n).alias(n) for n in needed]), cells
+    reduced = [F.round(REDUCTIONS[reduction](cell), 8).alias(name) for name, cell in cells.items()]
+    return moved.groupBy("subject", "year").agg(*reduced), {name: F.col(name) for name in cells}
+
+
+def _total_batches(catalog: Catalog, request: ViewRequest) -> list[tuple[DataFrame, dict[str, F.Column], list[str]]]:
+    """One aggregation for each distinct scope: its rows, the cells over them and its join keys."""
     groups: dict[tuple, list[tuple[str, ViewColumn]]] = {}
     for name, column in zip(output_names(request), request.columns):
         if column.output.kind in ("total", "rate"):
-            groups.setdefault((column.filters, column.year_offset), []).append((name, column))
+            groups.setdefault(column.scope, []).append((name, column))
     out = []
-    for (filters, offset), members in groups.items():
+    for (filters, offset, _, years, games, pinned), members in groups.items():
         needed = {a.name: a for _, c in members for a in catalog.measures[c.measure].accumulators()}
-        spread = max(map(abs, offset))
-        facts = _with_subject(catalog, request, _scoped(catalog, request, filters, spread))
+        scoped = filtered(catalog.fact.filter(F.col("year").isin(list(pinned))), filters) if pinned else _scoped(catalog, request, filters, max(map(abs, offset)))
+        facts = _career(catalog, request, years, games, _with_subject(catalog, request, scoped))
+        # One pinned year repeats on each of the subject's rows; several follow the row's year.
+        keys = [k for k in _keys(request) if k != "year"] if len(pinned) == 1 else _keys(request)
         if offset == (0, 0):
-            batch = facts.groupBy(*_keys(request)).agg(*[a.column().alias(n) for n, a in needed.items()])
+            batch = facts.groupBy(*keys).agg(*[a.column().alias(n) for n, a in needed.items()])
+            out.append((batch, {name: catalog.measures[c.measure].combine() for name, c in members}, keys))
         else:
-            if request.axes != ("year",) or any(a.kind == "count_distinct" for a in needed.values()):
-                raise ValueError("a year offset needs the year axis alone and additive accumulators")
-            yearly = facts.groupBy("subject", "year").agg(*[a.column().alias(n) for n, a in needed.items()])
-            moved = yearly.withColumn("year", F.explode(F.sequence(F.col("year") - offset[1], F.col("year") - offset[0])))
-            batch = moved.filter(F.col("year").isin(list(request.years))).groupBy("subject", "year").agg(*[F.sum(n).alias(n) for n in needed])
-        cells = {name: catalog.measures[c.measure].combine() for name, c in members if c.output.kind == "total"}
-        for name, c in members:
-            if c.output.kind == "rate":
-                cells[name] = catalog.measures[c.measure].combine()
-        out.append((batch, cells))
+            out.append((*_offset_batch(catalog, request, facts, members, needed), keys))
     return out
 
 
@@ -96,11 +125,11 @@ def _period_batches(catalog: Catalog, request: ViewRequest) -> list[tuple[DataFr
     groups: dict[tuple, list[tuple[str, ViewColumn]]] = {}
     for name, column in zip(output_names(request), request.columns):
         if column.output.kind in ("count", "mean"):
-            groups.setdefault((column.filters, column.output.unit), []).append((name, column))
+            groups.setdefault((column.filters, column.output.unit, column.career_years, column.career_games), []).append((name, column))
     out = []
-    for (filters, unit), members in groups.items():
+    for (filters, unit, years, games), members in groups.items():
         needed = {a.name: a for _, c in members for a in catalog.measures[c.measure].accumulators()}
-        facts = _with_subject(catalog, request, _scoped(catalog, request, filters)).withColumn("period", F.expr(catalog.units[unit]))
+        facts = _career(catalog, request, years, games, _with_subject(catalog, request, _scoped(catalog, request, filters))).withColumn("period", F.expr(catalog.units[unit]))
         periods = facts.groupBy(*_keys(request), "period").agg(*[a.column().alias(n) for n, a in needed.items()])
         cells = []
         for name, c in members:
@@ -117,9 +146,8 @@ def _period_batches(catalog: Catalog, request: ViewRequest) -> list[tuple[DataFr
 def plan_view(catalog: Catalog, request: ViewRequest) -> DataFrame:
     keys, names = _keys(request), output_names(request)
     view = _spine(catalog, request)
-    for batch, cells in _total_batches(catalog, request):
-        ready = batch.select(*keys, *[c.alias(n) for n, c in cells.items()])
-        view = view.join(ready, keys, "left")
+    for batch, cells, own in _total_batches(catalog, request):
+        view = view.join(batch.select(*own, *[c.alias(n) for n, c in cells.items()]), own, "left")
     denominators = _rate_denominators(catalog, request)
     if denominators is not None:
         view = view.join(denominators, keys, "left")
@@ -131,6 +159,9 @@ def plan_view(catalog: Catalog, request: ViewRequest) -> DataFrame:
     view = filtered(view, request.having)
     attributes = catalog.dimensions[request.grain][2]
     view = view.select(*keys, *attributes, *names)
+    if request.with_count:
+        # The number of rows is one aggregation beside the view; a window over all rows would put them in one task.
+        view = view.crossJoin(F.broadcast(view.agg(F.count("*").alias("total_count"))))
     order = [(F.desc_nulls_last if down else F.asc_nulls_last)(c) for c, down in request.sort] + [F.asc(k) for k in keys]
     view = view.orderBy(*order)
     if request.offset:

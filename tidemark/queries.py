@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tidemark import queries_columns, queries_history, queries_scoring  # noqa: F401  (registers their queries)
 from tidemark.functions import scalar
 from tidemark.operators import joins
 from tidemark.plans.model import Filter, Output, ViewColumn, ViewRequest
 from tidemark.plans.view import option_counts, plan_view
+from tidemark.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  (the first two are read from here)
 from tidemark.sources.star import order_lines, star_catalog, table
 from tidemark.streaming import windows
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-#: Lines with their order's calendar, as every statement below reads them.
-LINES = """lines AS (
-  SELECT l.*, CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l_discount AS DECIMAL(18,2)) AS disc, CAST(l_quantity AS DECIMAL(18,2)) AS qty,
-         o_orderkey, o_custkey, o_orderdate, o_orderpriority, CAST(year(o_orderdate) AS INTEGER) AS year, CAST((dayofyear(o_orderdate) - 1) // 7 + 1 AS INTEGER) AS week, c_nationkey
-  FROM lineitem l JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey)"""
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql.replace("$LINES", LINES)
-        return f
-
-    return add
-
 
 @query("""WITH $LINES, y AS (SELECT unnest([1995, 1996]) AS year), s AS (SELECT c_custkey AS subject, CAST(year AS INTEGER) AS year, c_name, c_mktsegment FROM customer, y WHERE c_mktsegment = 'BUILDING'),
 m AS (SELECT o_custkey AS subject, year, CAST(sum(price) AS DOUBLE) AS revenue_0, round(100.0 * CAST(sum(price * disc) AS DOUBLE) / nullif(CAST(sum(price) AS DOUBLE), 0), 2) AS discount_share_0
@@ -265,9 +245,7 @@ def plays_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY ALL""")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # availableNow reads the files that are there; the directory listing is narrowed to one table.
-    stream = spark.readStream.schema(windows.EVENTS).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    return windows.drain(windows.tumbling_counts(stream.withColumn("ts", F.col("ts").cast("timestamp"))))
+    return windows.drain(windows.tumbling_counts(windows.table_stream(spark, sf_dir)))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS edge FROM events),
