@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(spark, table(spark, sf_dir, "documents"))
+    # The number of factors follows from the parse's blocks; it is no digest of the result.
+    return substring_dedup.remove_repeats(spark, table(spark, sf_dir, "documents")).drop("n_factors")
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,29 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH d AS (
+          SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), e AS (
+          SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM d
+        ), k AS (
+          SELECT doc_id, n, word, p,
+                 string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS g
+          FROM e
+        ), f AS (
+          SELECT md5(g) AS g, min(doc_id) AS first_id FROM k WHERE p <= n - 12 GROUP BY 1
+        ), starts AS (
+          SELECT k.doc_id, k.p FROM k JOIN f ON md5(k.g) = f.g WHERE p <= n - 12 AND first_id < k.doc_id
+        ), removed AS (
+          SELECT DISTINCT doc_id, p + j AS p FROM starts, range(13) AS r(j)
+        ), kept AS (
+          SELECT e.doc_id, count(r.p) AS n_removed, string_agg(CASE WHEN r.p IS NULL THEN word END, ' ' ORDER BY e.p) AS text
+          FROM e LEFT JOIN removed r ON r.doc_id = e.doc_id AND r.p = e.p GROUP BY e.doc_id
+        )
+        SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
     "op9_warc": """
         WITH p AS (
           SELECT page_id, coalesce(html, '') AS html,
