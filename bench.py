@@ -13,6 +13,7 @@ from tidemark.queries import QUERIES
 HEADLINE = (
     "view_customer_year", "view_team_rates", "view_period_counts_and_means", "view_year_offsets", "bridge_mode_team", "multi_role_union",
     "asof_valuation", "season_ranks", "career_log", "trailing_windows", "percentiles_and_variance", "plays_grouped",
+    "values_and_prices", "standings_and_seeds", "hit_rates_and_edge", "view_career_ranges", "rate_over_years_by_team", "plays_rows",
 )
 
 
