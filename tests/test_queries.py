@@ -124,3 +124,12 @@ def test_scalar_helpers(spark):
     assert row["progress"] == 0.375 and row["overtime"] == 1.0 and row["live"] == 25.0
     assert row["personnel"] == {"RB": 1, "TE": 2, "WR": 2}
     assert row["near"] and not row["far"] and row["day"] == "2023-02-28"
+
+
+def test_walk_reaches_depth_20_and_holds_the_roots(spark):
+    from tidemark.operators.joins import walk
+
+    nodes = spark.createDataFrame([(i,) for i in range(25)], "node long")
+    edges = spark.createDataFrame([(i, i + 1 if i < 23 else None, 0.5) for i in range(24)], "source long, target long, share double")
+    got = sorted((r["root"], r["node"], r["depth"], r["weight"]) for r in walk(nodes, edges).collect())
+    assert got == [(a, b, b - a, 0.5 ** (b - a)) for a in range(24) for b in range(a, min(a + 21, 24))] + [(24, 24, 0, 1.0)]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.llm.storage import Workspace
+
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, observed: str, values: list[str], within: str | None = None) -> DataFrame:
     """Each left row with the latest right row of its keys observed at or before ``at``.
@@ -69,3 +71,20 @@ def descendants(edges: DataFrame, depth: int) -> DataFrame:
         paths = reach.select("root", F.col("target").alias("node"), F.lit(step).alias("depth"), (F.col("weight") * F.col("share")).alias("weight"))
         found = found.unionByName(paths)
     return found
+
+
+def walk(nodes: DataFrame, edges: DataFrame, depth: int = 20) -> DataFrame:
+    """(root, node, depth, weight): every path from each of ``nodes`` (node) along ``edges`` (source,
+    target, share), beginning with the node itself at depth 0 and weight 1. Each step joins only the
+    last step's rows, which are written to the shared folder; it ends when there are none."""
+    space = Workspace(nodes.sparkSession, "walk")
+    edges = space.save(edges.filter("target is not null"), "edges")
+    paths = space.save(nodes.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.lit(1.0).alias("weight")), "step0")
+    found = paths
+    for step in range(1, depth + 1):
+        reach = paths.join(edges, paths["node"] == edges["source"])
+        paths = space.save(reach.select("root", F.col("target").alias("node"), F.lit(step).alias("depth"), (F.col("weight") * F.col("share").cast("double")).alias("weight")), f"step{step}")
+        if paths.isEmpty():
+            break
+        found = found.unionByName(paths)
+    return found

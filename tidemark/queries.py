@@ -235,6 +235,15 @@ def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.descendants(edges, 4)
 
 
+@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS source, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS target, 0.5 AS share FROM orders), p AS (
+SELECT o_orderkey AS root, o_orderkey AS node, 0 AS depth, CAST(1 AS DOUBLE) AS weight FROM orders UNION ALL SELECT root, e.target, depth + 1, weight * share FROM p JOIN e ON node = source WHERE e.target IS NOT NULL AND depth < 20) SELECT root, node, depth, weight FROM p""")
+def lineage_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    edges = orders.select(F.col("o_orderkey").alias("source"), F.lead("o_orderkey").over(order).alias("target"), F.lit(0.5).alias("share"))
+    return joins.walk(orders.select(F.col("o_orderkey").alias("node")), edges)
+
+
 @query("""WITH $LINES, b AS (SELECT l_returnflag, l_linestatus, year, week, price, qty, o_orderkey FROM lines WHERE qty BETWEEN 10 AND 40)
 SELECT l_returnflag, l_linestatus, year, count(*) AS plays, count(DISTINCT o_orderkey) AS games, CAST(sum(price) AS DOUBLE) AS total, round(CAST(sum(price) AS DOUBLE) / count(*), 4) AS per_play FROM b GROUP BY ALL""")
 def plays_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
