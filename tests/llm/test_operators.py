@@ -190,6 +190,28 @@ def test_toxicity_index_is_exact():
         assert np.allclose([s for s, _ in index.nearest(query, 15)], [s for s, _ in wanted])
 
 
+def test_toxicity_whole_vectors_find_the_nearest():
+    rng = np.random.default_rng(4)
+    at, times, idf = np.array([np.sort(rng.choice(900, 30, False)) for _ in range(400)]), rng.integers(1, 9, (400, 30)), rng.random(900) + 1
+    queries = [toxicity.weigh((a, n), idf) for a, n in zip(at, times)]
+    vectors = [dict(zip(a.tolist(), w.tolist())) for a, w in queries]
+    index, blocks = toxicity.CosineIndex(400, np.repeat(np.arange(400), 30), at.ravel(), times.ravel(), idf), toxicity.BlockMaxIndex(vectors)
+    queries = queries[:40]
+    for i, near in enumerate(index.nearest(queries, 15, [-1] * 20 + list(range(20, 40)))):
+        wanted = blocks.nearest(vectors[i], 15, i if i >= 20 else -1)
+        assert [j for _, j in near] == [j for _, j in wanted] and np.allclose([s for s, _ in near], [s for s, _ in wanted])
+
+
+def test_toxicity_finds_a_copy_of_rare_words(spark):
+    """No word of the copied example tells the labels apart; it is searched all the same."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"{'vile' if i % 2 else 'kind'}{j}" for j in rng.choice(30, 10)), i % 2) for i in range(200)]
+    rows.append((200, "quartz lattice hums under seven pale moons", 1))
+    docs = spark.createDataFrame([*((i, t) for i, t, _ in rows), (300, rows[-1][1] + " tonight")], "doc_id long, text string")
+    scored = toxicity.score_toxicity(spark, docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, label int"))
+    assert {r["doc_id"]: r["evidence"] for r in scored.filter("doc_id = 300").collect()} == {300: [200]}
+
+
 def test_toxicity_on_empty_tables(spark, docs, none):
     labels = spark.createDataFrame([], "doc_id long, label int")
     assert {r["score"] for r in toxicity.score_toxicity(spark, docs, labels).collect()} == {0.0}

@@ -1,17 +1,18 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine.
 
-A bounded sample of labelled rows (``sample_rows``, drawn by a hash of the id) gives the examples
-and the vocabulary: words and word beginnings whose document frequency differs between the labels
-(chi-squared of at least ``least_chi2`` and shares at least ``least_ratio`` apart; at most
-``most_terms`` of them). Copies of a text count once in the sample. Inverse document
-frequencies are counted over all documents. Every document then finds its nearest examples by an
-inverted index over blocks of examples: the largest weight of each term in each block bounds the
-cosine of any example in it, and blocks are opened in the order of their bounds until the k-th
-neighbour is as near as any unopened block could hold. Neighbours vote with weights that fall with
-distance; the votes of the sample itself, each row without its own example, calibrate the score by
-isotonic regression. A row's evidence is the ids of its nearest examples.
-
-Edge cases: a null or empty text, or one without any term of the vocabulary, has no neighbours and
+A bounded sample of labelled rows (``sample_rows``, drawn by a hash of the id) gives the examples.
+Their whole vocabulary enters the vectors: every word and word beginning of an example, known by a
+64-bit hash. Inverse document frequencies are counted over all documents; terms whose document
+frequency differs between the labels (chi-squared of at least ``least_chi2`` and shares at least
+``least_ratio`` apart; at most ``most_terms`` of them) weigh ``TELLING`` times as much, since without
+that weight the subject of a text drowns its tone. Copies of a text count once in the sample. Every
+document is compared with every example: the terms that most examples hold by one matrix product for
+a batch, the others by their postings. Bounds of blocks, as in BlockMaxIndex, hardly prune vectors of
+hundreds of terms and are not used. Neighbours vote with weights that fall with distance; the votes of
+the sample itself, each row without its own example, calibrate the score by isotonic regression. A
+row's evidence is the ids of its nearest examples.
+
+Edge cases: a null or empty text, or one that shares no term with any example, has no neighbours and
 gets the calibrated score of such texts. Labels that are null are left out; of several labels for
 one id the largest counts. Without usable labels of both kinds all scores are 0. Repeated rows are
 scored separately, and ties of similarity go to the smaller example. Whole texts are read, however
@@ -26,12 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tidemark.llm.storage import Workspace
+from tidemark.llm.storage import Workspace, shuffle_cleanup
 
 BLOCK = 256
-MOST_VOTES = 20_000
+TELLING = 3.0
+DENSE = 256
+BATCH = 32
 STRIP = ".,;:!?\"'()[]"
 BEGINNINGS = (4, 5, 6)
 
@@ -43,47 +47,109 @@ def terms_of(word: str) -> list[str]:
 
 
 class Vocabulary:
-    """Places of the chosen terms; what each word of the text adds is looked up once."""
+    """Places of the terms among their sorted codes; what each word of the text adds is looked up once.
+
+    A code is Python's hash of the term: PySpark gives all workers one seed, and only workers hash."""
 
     most_words = 200_000
 
-    def __init__(self, terms: list[str]):
-        self.places = {term: i for i, term in enumerate(terms)}
-        self._with: dict[str, tuple[int, ...]] = {}
-        self._without: set[str] = set()
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self._known: dict[str, tuple[int, ...]] = {}
 
     def __len__(self) -> int:
-        return len(self.places)
+        return len(self.codes)
 
     def forget(self) -> None:
-        self._with.clear()
-        self._without.clear()
-
-    def words_with_terms(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """The distinct words that add terms, with the places of those."""
-        found = {}
-        for word in set(words) - self._without:
-            known = self._with.get(word)
-            if known is None:
-                known = tuple(i for t in terms_of(word) if (i := self.places.get(t)) is not None)
-                store = self._with if known else self._without
-                if len(store) >= self.most_words:
-                    store.clear()
-                if known:
-                    self._with[word] = known
-                else:
-                    self._without.add(word)
-                    continue
-            found[word] = known
-        return found
-
-    def counts(self, text: str) -> dict[int, int]:
-        words, counts = text.lower().split(), {}
-        for word, places in self.words_with_terms(words).items():
-            n = words.count(word)
-            for place in places:
-                counts[place] = counts.get(place, 0) + n
-        return dict(sorted(counts.items()))
+        """Empties what a task remembered; the worker process goes on to other work."""
+        self._known.clear()
+
+    def _look_up(self, words: Counter[str] | set[str]) -> dict[str, tuple[int, ...]]:
+        missing = [w for w in words if w not in self._known]
+        if missing:
+            if len(self._known) + len(missing) > self.most_words:
+                self._known.clear()
+                missing = list(words)
+            terms = [terms_of(w) for w in missing]
+            codes = np.array([hash(t) for own in terms for t in own], np.int64)
+            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            places, low = np.where(self.codes[at] == codes, at, -1).tolist(), 0
+            for word, own in zip(missing, terms):
+                self._known[word] = tuple(i for i in places[low : low + len(own)] if i >= 0)
+                low += len(own)
+        return self._known
+
+    def places(self, text: str) -> list[int]:
+        """Places of the text's terms, some of them more than once."""
+        words = set(text.lower().split())
+        known = self._look_up(words)
+        return [i for word in words for i in known[word]]
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the text's terms, ascending, and how often each occurs."""
+        words = Counter(text.lower().split())
+        known = self._look_up(words)
+        at, sizes = [], []
+        for word in words:
+            at += known[word]
+            sizes.append(len(known[word]))
+        places, term = np.unique(np.array(at, np.int64), return_inverse=True)
+        return places, np.bincount(term, np.repeat(list(words.values()), sizes) if at else None, len(places))
+
+
+class CosineIndex:
+    """Exact cosines with all examples, given as postings by term; example ids are their places."""
+
+    def __init__(self, size: int, example: np.ndarray, at: np.ndarray, times: np.ndarray, idf: np.ndarray):
+        order = np.argsort(at, kind="stable")
+        small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+        self.size, self.idf, self.sizes = size, idf, small(np.bincount(at, minlength=len(idf)))
+        self.example, self.times = small(example)[order], small(times)[order]
+        self._ready: tuple[np.ndarray, ...] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_ready": None}
+
+    def ready(self) -> tuple[np.ndarray, ...]:
+        """First posting of each term, weights of the postings, the matrix row of each term (-1 for
+        most), and the weights of those terms in all examples."""
+        if self._ready is None:
+            starts = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
+            weights = np.repeat(self.idf, self.sizes)
+            weights *= 1 + np.log(self.times.astype(float))
+            norms = np.sqrt(np.bincount(self.example, weights * weights, self.size))
+            weights /= norms[self.example]
+            often = np.argsort(-self.sizes.astype(np.int64), kind="stable")[:DENSE]
+            row, matrix = np.full(len(self.sizes), -1, np.int32), np.zeros((len(often), self.size))
+            row[often] = np.arange(len(often))
+            for i, term in enumerate(often):
+                held = slice(starts[term], starts[term + 1])
+                matrix[i, self.example[held]] = weights[held]
+            self._ready = starts, weights, row, matrix
+        return self._ready
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> Iterator[list[tuple[float, int]]]:
+        """For each vector the k examples of largest positive cosine, largest first, ties to the smaller place."""
+        first, known, row, matrix = self.ready()
+        for low in range(0, len(vectors), BATCH):
+            part = vectors[low : low + BATCH]
+            query = np.zeros((len(part), len(matrix)))
+            for i, (at, weights) in enumerate(part):
+                dense = row[at] >= 0
+                query[i, row[at[dense]]] = weights[dense]
+            for i, scores in enumerate(query @ matrix):
+                at, weights = part[i]
+                rare = row[at] < 0
+                starts, sizes = first[at[rare]], first[at[rare] + 1] - first[at[rare]]
+                ends = np.cumsum(sizes)
+                if len(ends) and ends[-1]:
+                    places = np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])
+                    scores += np.bincount(self.example[places], known[places] * np.repeat(weights[rare], sizes), self.size)
+                if without[low + i] >= 0:
+                    scores[without[low + i]] = 0
+                least = np.partition(scores, self.size - k)[self.size - k] if k < self.size else 0.0
+                found = np.flatnonzero((scores > 0) & (scores >= least - 1e-12))
+                yield sorted(((float(scores[j]), int(j)) for j in found), key=lambda s: (-round(s[0], 12), s[1]))[:k]
 
 
 class BlockMaxIndex:
@@ -132,50 +198,30 @@ class BlockMaxIndex:
 
 
 class Scorer:
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, examples: list[tuple[int, int, dict[int, float]]], k: int):
-        self.vocabulary, self.idf, self.k = vocabulary, idf, k
-        self.ids, self.labels = [e[0] for e in examples], [e[1] for e in examples]
-        self.prior = sum(self.labels) / max(1, len(self.labels))
-        self.place = {own: i for i, own in enumerate(self.ids)}
-        self.index = BlockMaxIndex([e[2] for e in examples])
-        self._votes: dict[tuple, tuple[float, list[int]]] = {}
-        self.steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-
-    def vote(self, text: str, without: int | None = None) -> tuple[float, list[int]]:
-        """Distance-weighted share of toxic neighbours, drawn to the prior by one distant vote; -1
-        for a text without neighbours."""
-        vector = weigh(self.vocabulary.counts(text), self.idf)
-        if not vector:
-            return -1.0, []
-        key = (tuple(vector.items()), without)
-        if (known := self._votes.get(key)) is None:
-            if len(self._votes) >= MOST_VOTES:
-                self._votes.clear()
-            known = self._votes[key] = self._vote(vector, without)
-        return known
-
-    def _vote(self, vector: dict[int, float], without: int | None) -> tuple[float, list[int]]:
-        near = self.index.nearest(vector, self.k, self.place.get(without, -1) if without is not None else -1)
-        if not near:
-            return -1.0, []
-        votes = [(1 / (1.05 - min(1.0, s)), self.labels[i]) for s, i in near]
-        total = sum(w for w, _ in votes) + 1
-        return (sum(w * y for w, y in votes) + self.prior) / total, [self.ids[i] for _, i in near]
-
-    def forget(self) -> None:
-        """Empties what a task remembered; the worker process goes on to other work."""
-        self._votes.clear()
-        self.vocabulary.forget()
-
-    def score(self, vote: float) -> float:
-        return float(np.interp(vote, *self.steps))
-
-
-def weigh(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
+    def __init__(self, ids: list[int], labels: list[int], index: CosineIndex, k: int):
+        self.k, self.ids, self.labels, self.index = k, ids, labels, index
+        self.prior = sum(labels) / max(1, len(labels))
+        self.place = {own: i for i, own in enumerate(ids)}
+
+    def votes(self, vocabulary: Vocabulary, texts: list[str], without: list[int] | None = None) -> list[tuple[float, list[int]]]:
+        """Distance-weighted share of toxic neighbours for each text, drawn to the prior by one distant
+        vote, and the neighbours; -1 for a text without neighbours. Equal texts are searched once."""
+        keys = list(zip(texts, without or [None] * len(texts)))
+        found: dict[tuple, tuple[float, list[int]]] = {}
+        distinct = list(dict.fromkeys(keys))
+        vectors = [weigh(vocabulary.counts(text), self.index.idf) for text, _ in distinct]
+        for key, near in zip(distinct, self.index.nearest(vectors, self.k, [self.place.get(own, -1) for _, own in distinct])):
+            votes = [(1 / (1.05 - min(1.0, s)), self.labels[i]) for s, i in near]
+            total = sum(w for w, _ in votes) + 1
+            found[key] = ((sum(w * y for w, y in votes) + self.prior) / total if near else -1.0, [self.ids[i] for _, i in near])
+        return [found[key] for key in keys]
+
+
+def weigh(counts: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit vector of (1 + ln tf) * idf over the vocabulary."""
-    raw = {i: (1 + math.log(n)) * float(idf[i]) for i, n in counts.items()}
-    norm = math.sqrt(sum(w * w for w in raw.values()))
-    return {i: w / norm for i, w in raw.items()}
+    at, n = counts
+    raw = (1 + np.log(n)) * idf[at]
+    return at, raw / math.sqrt(float(raw @ raw)) if len(at) else raw
 
 
 def isotonic_steps(votes: list[tuple[float, int]], strength: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
@@ -206,8 +252,9 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(
     spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_terms: int = 50_000, least_chi2: float = 20.0, least_df: int = 3, least_ratio: float = 4.0, k: int = 15
-) -> Scorer | None:
-    """A scorer from a bounded sample of ``labels`` (doc_id, label); None without both labels."""
+) -> tuple[Broadcast, Broadcast, tuple[np.ndarray, np.ndarray]] | None:
+    """The broadcast vocabulary and scorer from a bounded sample of ``labels`` (doc_id, label), and the
+    steps from votes to scores; None without both labels."""
     usable = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     n_labels = usable.count()
     if not n_labels:
@@ -219,87 +266,108 @@ def fit(
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[str, list[int]] = {}
+            counts: dict[str, list[int]] = {"": [0, 0]}
             for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
                 for term in {"", *(t for word in set((text.as_py() or "").lower().split()) for t in terms_of(word))}:
                     counts.setdefault(term, [0, 0])[int(label > 0)] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(counts), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1))], ["term", "clean", "toxic"])
-
-    per_term = rows.select("text", "label").mapInArrow(spread, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
-    totals = per_term.filter("term = ''").first()
-    if totals is None or not totals["a"] or not totals["b"]:
+            yield pa.RecordBatch.from_arrays([pa.array([hash(t) for t in counts], pa.int64()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1))], ["term", "clean", "toxic"])
+
+    per_term = rows.select("text", "label").mapInArrow(spread, "term long, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
+    with shuffle_cleanup(spark):
+        terms = per_term.toArrow()
+    codes, a, b = (terms.column(c).to_numpy() for c in ("term", "a", "b"))
+    everything = codes == hash("")
+    n_a, n_b = float(a[everything].sum()), float(b[everything].sum())
+    if not n_a or not n_b:
         return None
-    n_a, n_b = float(totals["a"]), float(totals["b"])
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi2 = (n_a + n_b) * F.pow(a * (n_b - b) - b * (n_a - a), 2) / (n_a * n_b * (a + b) * F.greatest(n_a + n_b - a - b, F.lit(0.5)))
-    odds = F.abs(F.log((b + 0.5) / (n_b + 1)) - F.log((a + 0.5) / (n_a + 1)))
-    chosen = per_term.filter((F.col("term") != "") & (F.col("a") + F.col("b") >= least_df)).withColumn("chi2", chi2)
-    chosen = chosen.filter((F.col("chi2") >= least_chi2) & (odds >= math.log(least_ratio)))
-    vocabulary = Vocabulary([r["term"] for r in chosen.orderBy(F.desc("chi2"), "term").limit(most_terms).select("term").collect()])
+    order = np.argsort(codes[~everything])
+    codes, a, b = (x[~everything][order] for x in (codes, a.astype(float), b.astype(float)))
+    if not len(codes):
+        return None
+    chi2 = (n_a + n_b) * (a * (n_b - b) - b * (n_a - a)) ** 2 / (n_a * n_b * (a + b) * np.maximum(n_a + n_b - a - b, 0.5))
+    odds = np.abs(np.log((b + 0.5) / (n_b + 1)) - np.log((a + 0.5) / (n_a + 1)))
+    telling = np.flatnonzero((a + b >= least_df) & (chi2 >= least_chi2) & (odds >= math.log(least_ratio)))
+    telling = telling[np.argsort(-chi2[telling], kind="stable")[:most_terms]]
+    vocabulary = Vocabulary(codes)
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[int] = Counter()
+        counts, rows = np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
+            rows += batch.num_rows
             for text in batch.column("text"):
-                counts[-1] += 1
-                counts.update({i for own in shared.value.words_with_terms((text.as_py() or "").lower().split()).values() for i in own})
+                counts[shared.value.places(text.as_py() or "")] += 1
         shared.value.forget()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
-
-    found = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n_docs = found.get(-1, 0)
-    idf = np.array([math.log((1 + n_docs) / (1 + found.get(i, 0))) + 1 for i in range(len(vocabulary))])
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.flatnonzero(counts)
+        for low in range(0, len(held), 50_000):
+            part = held[low : low + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([rows], pa.int64())], ["term", "n"])
+
+    with shuffle_cleanup(spark):
+        found = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, n = found.column("term").to_numpy(), found.column("n").to_numpy()
+    in_docs = np.zeros(len(vocabulary))
+    in_docs[at[at >= 0]] = n[at >= 0]
+    idf = np.log((1 + n[at < 0].sum()) / (1 + in_docs)) + 1
+    idf[telling] *= TELLING
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            weighed = [weigh(shared.value.counts(t.as_py() or ""), idf) for t in batch.column("text")]
-            at = pa.array([list(v) for v in weighed], pa.list_(pa.int32()))
-            weights = pa.array([list(v.values()) for v in weighed], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), at, weights], ["doc_id", "label", "at", "weights"])
+            counts = [shared.value.counts(t.as_py() or "") for t in batch.column("text")]
+            at, times = (pa.array([c[i] for c in counts], pa.list_(pa.int32())) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), at, times], ["doc_id", "label", "at", "times"])
+        shared.value.forget()
 
-    made = rows.select("doc_id", "text", "label").mapInArrow(vectors, "doc_id long, label int, at array<int>, weights array<double>")
-    examples = sorted({r["doc_id"]: (r["doc_id"], int(r["label"] > 0), dict(zip(r["at"], r["weights"]))) for r in made.collect()}.values(), key=lambda e: e[0])
-    scorer = Scorer(vocabulary, idf, examples, k)
-    ready = spark.sparkContext.broadcast(scorer)
+    with shuffle_cleanup(spark):
+        made = rows.select("doc_id", "text", "label").dropDuplicates(["doc_id"]).mapInArrow(counted, "doc_id long, label int, at array<int>, times array<int>").toArrow()
+    own = made.column("doc_id").to_numpy()
+    order = np.argsort(own, kind="stable")
+    places = np.argsort(order, kind="stable").astype(np.int32)
+    lengths = np.concatenate([c.value_lengths().to_numpy() for c in made.column("at").chunks])
+    at, times = (np.concatenate([c.flatten().to_numpy() for c in made.column(name).chunks]) for name in ("at", "times"))
+    labelled = (made.column("label").to_numpy()[order] > 0).astype(int).tolist()
+    del made
+    index = CosineIndex(len(own), np.repeat(places, lengths), at, times, idf)
+    ready = spark.sparkContext.broadcast(Scorer(own[order].tolist(), labelled, index, k))
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [ready.value.vote(t.as_py() or "", own)[0] for t, own in zip(batch.column("text"), batch.column("doc_id").to_pylist())]
+            out = [v for v, _ in ready.value.votes(shared.value, [t.as_py() or "" for t in batch.column("text")], batch.column("doc_id").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), batch.column("label")], ["vote", "label"])
+        shared.value.forget()
 
     left_out = [(r["vote"], int(r["label"] > 0)) for r in rows.select("doc_id", "text", "label").mapInArrow(votes, "vote double, label int").collect()]
-    scorer.steps = isotonic_steps(left_out)
-    return scorer
+    return shared, ready, isotonic_steps(left_out)
 
 
 def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.7, evidence: int = 3, **options) -> DataFrame:
     """doc_id, score, predicted and evidence; ``labels`` are doc_id and label, rows to learn from."""
-    ready = spark.sparkContext.broadcast(fit(spark, docs, labels, **options))
+    shared, ready, steps = fit(spark, docs, labels, **options) or (None, None, None)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = ready.value
+        scorer = ready.value if ready else None
         for batch in rows:
-            votes = [scorer.vote(t.as_py() or "") if scorer else (0.0, []) for t in batch.column("text")]
-            scores = [scorer.score(v) if scorer else 0.0 for v, _ in votes]
+            votes = scorer.votes(shared.value, [t.as_py() or "" for t in batch.column("text")]) if scorer else [(0.0, [])] * batch.num_rows
+            scores = [float(np.interp(v, *steps)) if scorer else 0.0 for v, _ in votes]
             near = pa.array([ids[:evidence] for _, ids in votes], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), near], ["doc_id", "score", "predicted", "evidence"])
         if scorer:
-            scorer.forget()
+            shared.value.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, "doc_id long, score double, predicted int, evidence array<long>")
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose score is below ``threshold``."""
-    ready = spark.sparkContext.broadcast(fit(spark, docs, labels, **options))
+    shared, ready, steps = fit(spark, docs, labels, **options) or (None, None, None)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = ready.value
+        scorer = ready.value if ready else None
         for batch in rows:
-            kept = [scorer is None or scorer.score(scorer.vote(t.as_py() or "")[0]) < threshold for t in batch.column("text")]
+            kept = [float(np.interp(v, *steps)) < threshold for v, _ in scorer.votes(shared.value, [t.as_py() or "" for t in batch.column("text")])] if scorer else [True] * batch.num_rows
             yield batch.filter(pa.array(kept, pa.bool_()))
         if scorer:
-            scorer.forget()
+            shared.value.forget()
 
     return docs.mapInArrow(batches, docs.schema)
