@@ -133,3 +133,11 @@ def test_walk_reaches_depth_20_and_holds_the_roots(spark):
     edges = spark.createDataFrame([(i, i + 1 if i < 23 else None, 0.5) for i in range(24)], "source long, target long, share double")
     got = sorted((r["root"], r["node"], r["depth"], r["weight"]) for r in walk(nodes, edges).collect())
     assert got == [(a, b, b - a, 0.5 ** (b - a)) for a in range(24) for b in range(a, min(a + 21, 24))] + [(24, 24, 0, 1.0)]
+
+
+@pytest.mark.parametrize("name", ["stream_deduplicated", "stream_open_close", "stream_tumbling", "stream_sliding", "stream_static_join"])
+def test_drained_streams_are_files_in_the_shared_folder(spark, name):
+    from tidemark.llm.storage import shared_root
+
+    files = QUERIES[name](spark, SF).inputFiles()
+    assert files and all(f"{shared_root(spark).removeprefix('file://')}/drained-" in f for f in files)

@@ -5,10 +5,10 @@ A drained stream must hold what the batch query gives, which is how these are te
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm.storage import Workspace
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -63,8 +63,16 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
 
 
 def drain(result: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what its source holds now and returns its result table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = result.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs a stream over what its source holds now and returns its result table, which is kept as
+    Parquet in the shared folder beside the stream's checkpoint. In complete mode each batch replaces
+    the table, so that a batch that is run again leaves the same one."""
+    space = Workspace(result.sparkSession, "drained")
+    path = space.path("rows")
+    result.sparkSession.createDataFrame([], result.schema).write.parquet(path)  # a source without files runs no batch
+    writer = result.writeStream.outputMode(mode).option("checkpointLocation", space.path("checkpoint")).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", path).start()
+    else:
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
     query.awaitTermination()
-    return result.sparkSession.table(name)
+    return result.sparkSession.read.schema(result.schema).parquet(path)
