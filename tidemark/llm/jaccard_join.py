@@ -5,14 +5,23 @@ found by enumerating, for both sizes, all subsets of just the size that their ov
 shared subset is a link. Larger sets are heavy: they scan inverted lists of prefix tokens, the
 fewest tokens of which two linked sets share one, together with the light sets near the boundary.
 The boundary is the one of least cost, from the number of sets of each size, the subsets that a
-size needs, and the length of the inverted lists.
+size needs, and the measured length of the lists that light sets would scan.
 
-Equal sets are one set throughout, so copies are never paired. Tokens that are frequent in some
-part of the corpus come last in the order of a prefix: a common passage is in a prefix only if the
-rest of the text is common too. Within a list, sets are first compared with one leader for each
-band of sizes. Links found so far merge sets into components, and what is left to compare is the
-pairs of a list in different components; lists that lie in one component are done. So a large
-group of near copies costs a comparison for each member, and no link between components is lost.
+Of a linked pair the smaller set has its shared token within the prefix that a partner of its own
+size needs (it is indexed there), the larger one within the longer prefix for its smallest partner
+(it probes with that). Tokens that are frequent in some part of the corpus come last in the order
+of a prefix. A template that many texts share is therefore indexed only where it makes up so much
+of them that they link.
+
+Equal sets are one set throughout, so copies are never paired. Within a list, sets are first
+compared with one leader for each band of sizes. Links found so far merge sets into components,
+and what is left to compare is the pairs of a list in different components; lists that lie in one
+component are done. So a large group of near copies costs a comparison for each member, and no
+link between components is lost.
+
+A candidate pair is ids first. It meets the bitmaps of its two sets, a bit or two for each
+shingle: bits in which they differ are shingles in which the sets differ, so most pairs end there
+without loss. Only the rest have their sets made anew from the texts and counted.
 
 Edge cases: a null or empty text has an empty set and is linked with nothing; a text of fewer than
 ``width`` words is one shingle. Repeated rows link like copies. Rows with a null doc_id come back
@@ -36,10 +45,19 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.storage import Workspace
 
 LARGEST_LIGHT = 16
+#: Up to so many ids (16 MB) are broadcast to pick documents out; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 #: Bound of the broadcast order of frequent tokens (8 bytes each); others keep their hash order.
 MOST_FREQUENT = 500_000
 
 
+def is_among(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def shingle_sets(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     """All sets of a run: sorted distinct hashes, joined, and where each document's set starts."""
     starts, ends, firsts = texts.words()
@@ -70,21 +88,54 @@ def least_partner(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def light_keys(tokens: np.ndarray, largest: int, percent: int) -> Iterator[tuple[int, int]]:
-    """Hashes of the subsets that a light set enumerates, with the side it takes in each pair of
-    sizes (0: the smaller, 1: the larger, 2: both are equal)."""
+def index_length(n: int, percent: int) -> int:
+    """Tokens by which a set is found by sets of its size or larger."""
+    return n - least_overlap(n, n, percent) + 1 if n else 0
+
+
+def probe_length(n: int, percent: int) -> int:
+    """Tokens by which a set finds sets of its size or smaller."""
+    return n - least_partner(n, percent) + 1 if n else 0
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for each token, in a power of two of at least as many bits as there are tokens."""
+    size = 1 << max(6, (max(1, len(tokens)) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def may_link(a: bytes, b: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether two bitmaps differ in no more bits than the sets may differ in elements."""
+    if len(a) < len(b):
+        a, b = b, a
+    left, right = int.from_bytes(a), int.from_bytes(b)
+    size = 8 * len(a)
+    while size > 8 * len(b):
+        size //= 2
+        left = (left >> size) | (left & ((1 << size) - 1))
+    return (left ^ right).bit_count() <= n + m - 2 * least_overlap(n, m, percent)
+
+
+def light_keys(tokens: np.ndarray, largest: int, percent: int) -> Iterator[tuple[int, int, int]]:
+    """128-bit hashes of the subsets that a light set enumerates, with the side it takes in each
+    pair of sizes (0: the smaller, 1: the larger, 2: both are equal)."""
     n = len(tokens)
     for m in range(least_partner(n, percent), min(largest, 100 * n // percent) + 1):
         size, low, high = least_overlap(n, m, percent), min(n, m), max(n, m)
         if size > low:
             continue
         chosen = np.array(list(combinations(range(n), size)), np.int64)
-        keys = np.zeros(len(chosen), np.uint64)
-        for column in range(size):
-            keys = keys * np.uint64(0x5851F42D4C957F2D) + tokens[chosen[:, column]]
+        halves = []
+        for factor in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D):
+            keys = np.zeros(len(chosen), np.uint64)
+            for column in range(size):
+                keys = mix(keys * np.uint64(factor) + tokens[chosen[:, column]])
+            halves.append(mix(keys + np.uint64(low * 1024 + high)).view(np.int64).tolist())
         side = 2 if n == m else int(n == high)
-        for key in mix(keys + np.uint64(low * 1024 + high)).view(np.int64).tolist():
-            yield key, side
+        for key, more in zip(*halves):
+            yield key, more, side
 
 
 def choose_boundary(sizes: dict[int, int], list_rows: float, percent: int) -> int:
@@ -96,7 +147,7 @@ def choose_boundary(sizes: dict[int, int], list_rows: float, percent: int) -> in
     best, chosen, saved = 0.0, 0, 0.0
     for n in range(1, LARGEST_LIGHT + 1):
         subsets = sum(math.comb(n, least_overlap(n, m, percent)) for m in range(least_partner(n, percent), 100 * n // percent + 1) if least_overlap(n, m, percent) <= min(n, m))
-        saved += sizes.get(n, 0) * ((n - least_partner(n, percent) + 1) * (1 + list_rows) - subsets)
+        saved += sizes.get(n, 0) * (probe_length(n, percent) * (1 + list_rows) - subsets)
         if saved > best:
             best, chosen = saved, n
     return chosen
@@ -127,7 +178,7 @@ class JaccardJoin:
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
     def described(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n, a 128-bit identity of the set, its prefix and, if it is small, the set."""
+        """doc_id, n, a 128-bit identity of the set, its bitmap, its prefix and, if small, the set."""
         width, percent = self.width, self.percent
         frequent = self.spark.sparkContext.broadcast(frequent_tokens(docs, width))
 
@@ -136,22 +187,24 @@ class JaccardJoin:
             for batch in batches:
                 for texts, _ in texts_of(batch):
                     values, firsts = shingle_sets(texts, width)
-                    common = last[np.minimum(np.searchsorted(last, values), len(last) - 1)] == values if len(last) else np.zeros(len(values), bool)
+                    common = is_among(last, values)
                     sums = [np.append(np.uint64(0), np.cumsum(mix(values ^ np.uint64(salt)))) for salt in (0x51, 0xA3D70A3D)]
                     n = np.diff(firsts)
                     identity = [(s[firsts[1:]] - s[firsts[:-1]]) for s in sums]
-                    prefixes, smalls = [], []
+                    prefixes, smalls, bits = [], [], []
                     for i, size in enumerate(n.tolist()):
                         own, often = values[firsts[i] : firsts[i + 1]], common[firsts[i] : firsts[i + 1]]
-                        length = size - least_partner(size, percent) + 1 if size else 0
+                        length = probe_length(size, percent)
                         rare = own[~often][:length]
                         prefixes.append(rare.tobytes() + own[often][: length - len(rare)].tobytes())
                         smalls.append(own.tobytes() if size <= LARGEST_LIGHT else None)
+                        bits.append(bitmap(own))
                     keys = [a.tobytes() + b.tobytes() for a, b in zip(*identity)]
-                    yield pa.RecordBatch.from_arrays([pa.array(texts.ids), pa.array(n.astype(np.int64)), pa.array(keys, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(smalls, pa.binary())], ["doc_id", "n", "identity", "prefix", "small"])
+                    arrays = [pa.array(texts.ids), pa.array(n.astype(np.int64)), *(pa.array(x, pa.binary()) for x in (keys, prefixes, smalls, bits))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "identity", "prefix", "small", "bits"])
 
         self.frequent = frequent
-        return self.space.save(docs.mapInArrow(describe, "doc_id long, n long, identity binary, prefix binary, small binary"), "described")
+        return self.space.save(docs.mapInArrow(describe, "doc_id long, n long, identity binary, prefix binary, small binary, bits binary"), "described")
 
     def light_links(self, sets: DataFrame, boundary: int) -> DataFrame:
         """(u, v) for light pairs: each set with the smallest id across each shared subset."""
@@ -159,38 +212,47 @@ class JaccardJoin:
 
         def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(own, key, side) for own, small in zip(batch.column("id").to_pylist(), batch.column("small").to_pylist()) for key, side in light_keys(np.frombuffer(small, np.uint64), boundary, percent)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 3, (pa.int64(), pa.int64(), pa.int32()))], ["id", "key", "side"])
+                rows = [(own, *key) for own, small in zip(batch.column("id").to_pylist(), batch.column("small").to_pylist()) for key in light_keys(np.frombuffer(small, np.uint64), boundary, percent)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["id", "key", "more", "side"])
 
-        rows = self.space.save(sets.filter(F.col("n").between(1, boundary)).select("id", "small").mapInArrow(subsets, "id long, key long, side int"), "subsets")
-        across = rows.select("id", "key", F.when(F.col("side") < 2, 1 - F.col("side")).otherwise(F.col("side")).alias("side"))
-        firsts = self.space.save(rows.groupBy("key", "side").agg(F.min("id").alias("first")), "subset-firsts")
-        return across.join(firsts, ["key", "side"]).filter("id != first").select(F.least("id", "first").alias("u"), F.greatest("id", "first").alias("v")).distinct()
+        rows = self.space.save(sets.filter(F.col("n").between(1, boundary)).select("id", "small").mapInArrow(subsets, "id long, key long, more long, side int"), "subsets")
+        across = rows.select("id", "key", "more", F.when(F.col("side") < 2, 1 - F.col("side")).otherwise(F.col("side")).alias("side"))
+        firsts = self.space.save(rows.groupBy("key", "more", "side").agg(F.min("id").alias("first")), "subset-firsts")
+        links = across.join(firsts, ["key", "more", "side"]).filter("id != first")
+        return self.space.save(links.select(F.least("id", "first").alias("u"), F.greatest("id", "first").alias("v")).distinct(), "light-links")
 
-    def lists(self, sets: DataFrame, boundary: int) -> DataFrame:
-        """(token, id, n): inverted lists of prefix tokens that hold two sets or more."""
-        frequent = self.frequent
+    def lists(self, sets: DataFrame) -> DataFrame:
+        """(token, id, n, indexed): inverted lists of prefix tokens that hold two sets, one of them
+        indexed there."""
+        frequent, percent = self.frequent, self.percent
 
         def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last = frequent.value
             for batch in batches:
                 arrays = [np.frombuffer(p, np.uint64) for p in batch.column("prefix").to_pylist()]
                 sizes = np.array([len(a) for a in arrays], np.int64)
                 values = np.concatenate(arrays) if len(arrays) else np.zeros(0, np.uint64)
-                common = last[np.minimum(np.searchsorted(last, values), len(last) - 1)] == values if len(last) else np.zeros(len(values), bool)
-                at = pa.array(np.repeat(np.arange(len(arrays)), sizes))
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), batch.column("id").take(at), batch.column("n").take(at), pa.array(common)], ["token", "id", "n", "often"])
-
-        # A light set joins the lists only if a heavy one can be near it in size.
-        least = least_partner(boundary + 1, self.percent)
-        rows = sets.filter(F.col("n") >= max(1, least)).select("id", "n", "prefix").mapInArrow(tokens, "token long, id long, n long, often boolean")
-        rare = rows.filter("not often").withColumn("many", F.count("*").over(Window.partitionBy("token"))).filter("many > 1").drop("many")
+                at = np.repeat(np.arange(len(arrays)), sizes)
+                place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                held = np.array([index_length(n, percent) for n in batch.column("n").to_pylist()], np.int64)
+                columns = [pa.array(values.view(np.int64)), batch.column("id").take(pa.array(at)), batch.column("n").take(pa.array(at)), pa.array(place < held[at]), pa.array(is_among(frequent.value, values))]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "id", "n", "indexed", "often"])
+
+        rows = sets.filter("n > 0").select("id", "n", "prefix").mapInArrow(tokens, "token long, id long, n long, indexed boolean, often boolean")
+        own = Window.partitionBy("token")
+        rare = rows.filter("not often").withColumns({"many": F.count("*").over(own), "held": F.max("indexed").over(own)}).filter("many > 1 and held").drop("many", "held")
         return self.space.save(rare.unionByName(rows.filter("often")).drop("often"), "lists")
 
+    def list_rows(self, lists: DataFrame) -> float:
+        """Mean length of the list that a token of a set of light size stands in."""
+        own = lists.groupBy("token").agg(F.count("*").cast("double").alias("all"), F.count(F.when(F.col("n") <= LARGEST_LIGHT, 1)).alias("light"))
+        found = own.agg(F.sum(F.col("all") * F.col("light")).alias("met"), F.sum("light").alias("asked")).first()
+        return found["met"] / found["asked"] if found["asked"] else 0.0
+
     def leader_pairs(self, lists: DataFrame, boundary: int) -> DataFrame:
+        """Each set with an indexed one of its band of sizes and of the band below, that of the smallest id."""
         band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent)).cast("int")
         banded = lists.withColumn("band", band)
-        leaders = self.space.save(banded.groupBy("token", "band").agg(F.min(F.struct("id", "n")).alias("leader")), "leaders")
+        leaders = self.space.save(banded.filter("indexed").groupBy("token", "band").agg(F.min(F.struct("id", "n")).alias("leader")), "leaders")
         asked = banded.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
         met = asked.join(leaders, ["token", "band"]).select("id", "n", F.col("leader.id").alias("other"), F.col("leader.n").alias("m"))
         return self.pairs(met, boundary)
@@ -200,6 +262,21 @@ class JaccardJoin:
         fit = met.filter((F.col("id") != F.col("other")) & self.compatible("n", "m") & (F.greatest("n", "m") > boundary))
         return fit.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct()
 
+    def screened(self, pairs: DataFrame, bitmaps: DataFrame, name: str) -> DataFrame:
+        """The pairs that their bitmaps do not part."""
+        percent = self.percent
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                near = [may_link(*row, percent) for row in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "m")))]
+                yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+        pairs = self.space.save(pairs, f"{name}-pairs")
+        left = bitmaps.select(F.col("id").alias("u"), F.col("n"), F.col("bits").alias("a"))
+        right = bitmaps.select(F.col("id").alias("v"), F.col("n").alias("m"), F.col("bits").alias("b"))
+        met = pairs.join(left, "u").join(right, "v").select("u", "v", "n", "m", "a", "b")
+        return self.space.save(met.mapInArrow(keep, "u long, v long"), f"{name}-near")
+
     def verified(self, docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs whose sets are near enough; sets are made anew for the documents in question."""
         width, percent = self.width, self.percent
@@ -216,15 +293,13 @@ class JaccardJoin:
                 near = []
                 for left, right in zip(batch.column("left"), batch.column("right")):
                     a, b = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-                    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                    overlap = int((b[at] == a).sum())
+                    overlap = int(is_among(b, a).sum())
                     near.append(100 * overlap >= percent * (len(a) + len(b) - overlap))
-                kept = batch.filter(pa.array(near, pa.bool_()))
-                yield kept.select(["u", "v"])
+                yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-        pairs = self.space.save(pairs, f"{name}-pairs")
         ids = self.space.save(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), f"{name}-ids")
-        made = self.space.save(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, set binary"), f"{name}-sets")
+        picked = docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi")
+        made = self.space.save(picked.mapInArrow(sets, "id long, set binary"), f"{name}-sets")
         both = pairs.join(made.select(F.col("id").alias("u"), F.col("set").alias("left")), "u").join(made.select(F.col("id").alias("v"), F.col("set").alias("right")), "v")
         links = self.space.save(both.select("u", "v", "left", "right").mapInArrow(compare, "u long, v long").distinct(), f"{name}-links")
         self.space.drop(f"{name}-ids", f"{name}-sets")
@@ -235,40 +310,45 @@ class JaccardJoin:
         described = self.described(known)
         filled = described.filter("n > 0")
         classes = self.space.save(filled.groupBy("identity").agg(F.min("doc_id").alias("id")), "classes")
-        sets = filled.join(classes, "identity").filter("doc_id = id").dropDuplicates(["id"]).select("id", "n", "prefix", "small")
-        sets = self.space.save(sets, "sets")
+        own = self.space.save(described.select("doc_id", "n", F.when(F.col("n") > 0, F.col("identity")).alias("identity")), "own")
+        chosen = filled.join(classes.select("id"), filled["doc_id"] == classes["id"], "left_semi").dropDuplicates(["doc_id"])
+        sets = self.space.save(chosen.select(F.col("doc_id").alias("id"), "n", "prefix", "small", "bits"), "sets")
         # Prefixes are the bulk of these tables; each goes as soon as the next holds what is needed.
-        described = self.space.save(described.select("doc_id", "n", F.when(F.col("n") > 0, F.col("identity")).alias("identity")), "own")
         self.space.drop("described")
-        sizes = {r["n"]: r["count"] for r in sets.filter(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()}
-        boundary = choose_boundary(sizes, 1.0, self.percent)
-        light = self.light_links(sets, boundary)
-        lists = self.lists(sets, boundary)
+        lists = self.lists(sets)
+        bitmaps = self.space.save(sets.select("id", "n", "bits"), "bitmaps")
+        small = self.space.save(sets.filter(F.col("n") <= LARGEST_LIGHT).select("id", "n", "small"), "small")
         self.space.drop("sets")
-        links = light.unionByName(self.verified(known, self.leader_pairs(lists, boundary), "first"))
-        links = self.space.save(links, "links")
+        sizes = {r["n"]: r["count"] for r in small.groupBy("n").count().collect()}
+        boundary = choose_boundary(sizes, self.list_rows(lists), self.percent)
+        light = self.light_links(small, boundary)
+        # A light set scans lists only if a heavy one can be near it in size.
+        lists = lists.filter(F.col("n") >= max(1, least_partner(boundary + 1, self.percent)))
+        near = self.screened(self.leader_pairs(lists, boundary), bitmaps, "first")
+        links = self.space.save(light.unionByName(self.verified(known, near, "first")), "links")
         labels = connected_components(self.space, links, "first-labels")
-        labels = self.remaining(known, lists, links, labels, boundary)
+        labels = self.remaining(known, bitmaps, lists, links, labels, boundary)
 
-        placed = described.join(classes, "identity", "left").join(labels.select("id", "label"), "id", "left")
+        placed = own.join(classes, "identity", "left").join(labels.select("id", "label"), "id", "left")
         result = placed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "id", "doc_id").alias("component_id"))
         unknown = docs.filter("doc_id is null").select(F.lit(0).cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        return result.unionByName(self.sizes_only(unknown))
+        return self.space.finish(result.unionByName(self.sizes_only(unknown)))
 
-    def remaining(self, docs: DataFrame, lists: DataFrame, links: DataFrame, labels: DataFrame, boundary: int) -> DataFrame:
+    def remaining(self, docs: DataFrame, bitmaps: DataFrame, lists: DataFrame, links: DataFrame, labels: DataFrame, boundary: int) -> DataFrame:
         """Compares what the leaders left open: pairs of a list in different components."""
-        placed = lists.join(labels, "id", "left").select("token", "id", "n", F.coalesce("label", "id").alias("label"))
+        placed = lists.join(labels, "id", "left").select("token", "id", "n", "indexed", F.coalesce("label", "id").alias("label"))
         placed = self.space.save(placed, "placed")
         mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("token")
-        mixed = self.space.save(mixed, "mixed")
-        open_ = self.space.save(placed.join(mixed, "token", "left_semi"), "open")
-        other = open_.select("token", F.col("id").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"))
-        crossing = open_.join(other, (open_["token"] == other["token"]) & (F.col("id") < F.col("other")) & (F.col("label") != F.col("other_label")) & self.compatible("n", "m"))
+        open_ = self.space.save(placed.join(self.space.save(mixed, "mixed"), "token", "left_semi"), "open")
+        self.space.drop("placed", "mixed")
+        held = open_.filter("indexed").select(F.col("token").alias("of"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"))
+        crossing = open_.join(held, (F.col("token") == F.col("of")) & (F.col("label") != F.col("other_label")) & (F.col("m") <= F.col("n")) & self.compatible("n", "m"))
         tried = self.spark.read.parquet(self.space.path("first-pairs"))
         pairs = self.pairs(crossing.select("id", "n", "other", "m"), boundary).join(tried, ["u", "v"], "left_anti")
-        more = self.verified(docs, pairs, "second")
-        if not more.limit(1).count():
+        near = self.screened(pairs, bitmaps, "second")
+        if not near.limit(1).count():
             return labels
+        more = self.verified(docs, near, "second")
         return connected_components(self.space, links.unionByName(more), "second-labels")
 
     def sizes_only(self, docs: DataFrame) -> DataFrame:

@@ -12,9 +12,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
+    """The cluster's shared folder; a temporary one only in local mode, where one process is all."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -43,6 +45,15 @@ class Workspace:
         for table in tables:
             delete(self.spark, self.path(table))
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Writes the operator's result and drops every other table of this workspace."""
+        out = self.save(df, "result")
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        for entry in root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root):
+            if entry.getPath().getName() != "result":
+                delete(self.spark, entry.getPath().toString())
+        return out
+
 
 @contextmanager
 def shuffle_cleanup(spark: SparkSession):
