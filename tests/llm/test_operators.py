@@ -112,6 +112,59 @@ def test_jaccard_join(spark, docs, none):
     assert jaccard_join.near_duplicate_classes(spark, none).count() == 0
 
 
+def test_jaccard_join_on_light_and_templated_sets(spark):
+    """Sets small enough to enumerate subsets, and long texts that share most of their words."""
+    rng = np.random.default_rng(8)
+    rows, template = [], [f"t{i}" for i in range(300)]
+    for i in range(60):
+        words = [f"x{j}" for j in rng.integers(0, 9, int(rng.integers(5, 14)))] * 2
+        rows.append((i, " ".join(words[: int(rng.integers(8, len(words) + 1))])))
+        rows.append((100 + i, rows[-1][1] + " end" * (i % 2)))
+    for i in range(60):
+        own = [f"o{i}_{j}" for j in range(int(rng.integers(10, 70)))]
+        rows.append((200 + i, " ".join(template + own)))
+    sets = {d: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for d, t in rows for w in [t.split()]}
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    join = jaccard_join.JaccardJoin(spark, 5, 80)
+    got = {r["doc_id"]: r["component_id"] for r in join.run(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: root(d) for d in sets} and len(set(got.values())) < len(rows) - 20
+
+
+def test_light_pairs_come_from_shared_subsets(spark):
+    rng = np.random.default_rng(9)
+    sets = {i: np.unique(rng.choice(18, int(rng.integers(3, 13)))).astype(np.uint64) for i in range(120)}
+    sets = {i: v for i, v in sets.items() if not any(j < i and np.array_equal(v, w) for j, w in sets.items())}
+    join = jaccard_join.JaccardJoin(spark, 5, 80)
+    table = spark.createDataFrame([(i, len(v), bytearray(v.tobytes())) for i, v in sets.items()], "id long, n long, small binary")
+    links = {(r["u"], r["v"]) for r in join.light_links(table, 12).collect()}
+    near = {(a, b) for a in sets for b in sets if a < b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert links <= near and near and jaccard_join.choose_boundary({n: 100 for n in range(3, 13)}, 50.0, 80) > 8
+    reach = lambda pairs, a: {a} | {y for p in pairs if a in p for y in p}
+    for _ in range(8):
+        links = links | {(min(a, c), max(a, c)) for a, b in links for d, c in links if d == b and a != c} | {(min(a, c), max(a, c)) for b, a in links for d, c in links if d == b and a != c}
+    assert all(b in reach(links, a) for a, b in near)
+
+
+def test_bitmaps_never_part_linked_sets():
+    rng = np.random.default_rng(10)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 400))).astype(np.uint64))
+        b = np.unique(np.append(a[rng.random(len(a)) < rng.uniform(0.7, 1)], rng.integers(0, 1 << 62, int(rng.integers(0, 60))).astype(np.uint64)))
+        if len(b) and 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+            assert jaccard_join.may_link(jaccard_join.bitmap(a), jaccard_join.bitmap(b), len(a), len(b), 80)
+
+
 def test_byte_bpe(docs, none):
     import public_tokenizers as public
     import tiktoken
@@ -181,25 +234,68 @@ def test_neighbours(spark):
     assert ann.nearest_neighbours(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_toxicity_index_is_exact():
-    rng = np.random.default_rng(2)
-    vectors = [{int(t): float(w) for t, w in zip(rng.choice(40, 4, False), rng.random(4))} for _ in range(900)]
-    index = toxicity.BlockMaxIndex(vectors)
-    for query in vectors[:40]:
-        wanted = sorted(((sum(w * v.get(t, 0) for t, w in query.items()), i) for i, v in enumerate(vectors)), key=lambda x: (-round(x[0], 12), x[1]))[:15]
-        assert np.allclose([s for s, _ in index.nearest(query, 15)], [s for s, _ in wanted])
-
-
-def test_toxicity_whole_vectors_find_the_nearest():
+def test_toxicity_index_is_exact(monkeypatch):
+    """Several blocks of examples, matrix rows beside inverted lists, and examples left out."""
+    for name, value in (("BLOCK", 32), ("DENSE", 8), ("SEEDS", 5)):
+        monkeypatch.setattr(toxicity, name, value)
     rng = np.random.default_rng(4)
-    at, times, idf = np.array([np.sort(rng.choice(900, 30, False)) for _ in range(400)]), rng.integers(1, 9, (400, 30)), rng.random(900) + 1
-    queries = [toxicity.weigh((a, n), idf) for a, n in zip(at, times)]
-    vectors = [dict(zip(a.tolist(), w.tolist())) for a, w in queries]
-    index, blocks = toxicity.CosineIndex(400, np.repeat(np.arange(400), 30), at.ravel(), times.ravel(), idf), toxicity.BlockMaxIndex(vectors)
-    queries = queries[:40]
-    for i, near in enumerate(index.nearest(queries, 15, [-1] * 20 + list(range(20, 40)))):
-        wanted = blocks.nearest(vectors[i], 15, i if i >= 20 else -1)
-        assert [j for _, j in near] == [j for _, j in wanted] and np.allclose([s for s, _ in near], [s for s, _ in wanted])
+    at = np.array([np.sort(rng.choice(np.arange(300) + 300 * (i % 3), 30, False)) for i in range(401)])
+    times, idf = rng.integers(1, 9, (401, 30)), rng.random(900) + 0.1
+    vectors = [toxicity.weigh((a, n), idf) for a, n in zip(at, times)]
+    whole = np.zeros((401, 900))
+    for i, (a, w) in enumerate(vectors):
+        whole[i, a] = w
+    index = toxicity.BlockMaxIndex(401, np.repeat(np.arange(401), 30), at.ravel(), times.ravel(), idf)
+    without = [-1] * 50 + list(range(50, 100))
+    for i, near in enumerate(index.nearest(vectors[:100], 15, without)):
+        cosines = whole @ whole[i]
+        wanted = sorted(((float(c), j) for j, c in enumerate(cosines) if c > 0 and j != without[i]), key=lambda x: (-round(x[0], 12), x[1]))[:15]
+        assert [j for _, j in near] == [j for _, j in wanted] and np.allclose([c for c, _ in near], [c for c, _ in wanted])
+
+
+def test_toxicity_against_brute_force(spark):
+    """Evidence and scores of a whole run, with conflicting labels, copies, null and empty texts."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"{'Vile,' if i % 3 == 0 and rng.random() < 0.4 else 'kind'}{j}" for j in rng.choice(60, int(rng.integers(1, 25))))) for i in range(220)]
+    rows += [(220, rows[3][1]), (221, None), (222, ""), (223, ", ."), (None, rows[5][1]), (7, rows[7][1])]
+    labels = {i: int(i % 3 == 0) for i in range(160)} | {220: 0}
+    terms = lambda text: Counter(t for w in (text or "").lower().split() if (t := w.strip(toxicity.STRIP)))
+    examples: dict[tuple, int] = {}
+    for i, text in sorted((r for r in rows if r[0] in labels), key=lambda r: r[0]):
+        examples.setdefault((text, labels[i]), i)
+    df, per = Counter(), {0: Counter(), 1: Counter()}
+    for _, text in rows:
+        df.update(set(terms(text)))
+    for text, y in examples:
+        per[y].update(set(terms(text)))
+    n0, n1 = (sum(y == v for _, y in examples) for v in (0, 1))
+    idf = {}
+    for t in per[0].keys() | per[1].keys():
+        a, b = per[0][t], per[1][t]
+        chi2 = (n0 + n1) * (a * (n1 - b) - b * (n0 - a)) ** 2 / (n0 * n1 * (a + b) * max(n0 + n1 - a - b, 0.5))
+        odds = abs(np.log((b + 0.5) / (n1 + 1)) - np.log((a + 0.5) / (n0 + 1)))
+        idf[t] = np.log((1 + len(rows)) / (1 + df[t])) * (3 if a + b >= 3 and chi2 >= 20 and odds >= np.log(4) else 1)
+
+    def vector(text):
+        v = {t: (1 + np.log(n)) * idf[t] for t, n in terms(text).items() if t in idf}
+        length = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / length for t, x in v.items()}
+
+    known = sorted((i, y, vector(text)) for (text, y), i in examples.items())
+    prior = sum(y for _, y, _ in known) / len(known)
+
+    def vote(doc_id, text):
+        own = vector(text)
+        near = sorted(((sum(x * v.get(t, 0) for t, x in own.items()), i, y) for i, y, v in known if i != doc_id), key=lambda s: (-round(s[0], 12), s[1]))
+        near = [s for s in near if s[0] > 0][:15]
+        votes = [(1 / (1.05 - min(1.0, c)), y) for c, _, y in near]
+        return ((sum(w * y for w, y in votes) + prior) / (sum(w for w, _ in votes) + 1) if near else -1.0), [i for _, i, _ in near]
+
+    steps = toxicity.isotonic_steps([(vote(i, text)[0], y) for (text, y), i in examples.items()])
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, score int")
+    got = Counter((r["doc_id"], round(r["score"], 9), tuple(r["evidence"])) for r in toxicity.score_toxicity(spark, docs, spark.createDataFrame(list(labels.items()), "doc_id long, label int"), evidence=15).collect())
+    wanted = [(i, *vote(i, t)) for i, t in rows]
+    assert got == Counter((i, round(float(np.interp(v, *steps)), 9), tuple(near)) for i, v, near in wanted)
 
 
 def test_toxicity_finds_a_copy_of_rare_words(spark):

@@ -1,21 +1,20 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine.
 
 A bounded sample of labelled rows (``sample_rows``, drawn by a hash of the id) gives the examples.
-Their whole vocabulary enters the vectors: every word and word beginning of an example, known by a
-64-bit hash. Inverse document frequencies are counted over all documents; terms whose document
-frequency differs between the labels (chi-squared of at least ``least_chi2`` and shares at least
-``least_ratio`` apart; at most ``most_terms`` of them) weigh ``TELLING`` times as much, since without
-that weight the subject of a text drowns its tone. Copies of a text count once in the sample. Every
-document is compared with every example: the terms that most examples hold by one matrix product for
-a batch, the others by their postings. Bounds of blocks, as in BlockMaxIndex, hardly prune vectors of
-hundreds of terms and are not used. Neighbours vote with weights that fall with distance; the votes of
-the sample itself, each row without its own example, calibrate the score by isotonic regression. A
-row's evidence is the ids of its nearest examples.
+Their whole vocabulary enters the vectors: every word of an example without the punctuation around
+it, known by a 64-bit hash. Inverse document frequencies are counted over all documents; terms whose
+document frequency differs between the labels (chi-squared of at least ``least_chi2`` and shares at
+least ``least_ratio`` apart; at most ``most_terms`` of them) weigh ``TELLING`` times as much, since
+without that weight the subject of a text drowns its tone. Equal texts of one label are one example,
+under their smallest id. The search (``BlockMaxIndex``) is exact. Neighbours vote with weights that
+fall with distance; the votes of the sample itself calibrate the score by isotonic regression. A row
+that is an example never votes for itself, neither there nor when it is scored. A row's evidence is
+the ids of its nearest examples.
 
 Edge cases: a null or empty text, or one that shares no term with any example, has no neighbours and
 gets the calibrated score of such texts. Labels that are null are left out; of several labels for
-one id the largest counts. Without usable labels of both kinds all scores are 0. Repeated rows are
-scored separately, and ties of similarity go to the smaller example. Whole texts are read, however
+one id the largest counts. Without usable labels of both kinds all scores are 0. Rows with a null
+doc_id are scored like others. Repeated rows are scored separately, and ties of similarity go to the smaller example. Whole texts are read, however
 long. An empty table gives an empty result. Columns but doc_id and text are never read.
 """
 
@@ -32,18 +31,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.storage import Workspace, shuffle_cleanup
 
-BLOCK = 256
-TELLING = 3.0
+BLOCK = 512
+FIRST_BLOCKS = 2
 DENSE = 256
-BATCH = 32
+BATCH = 64
+SEEDS = 64
+TELLING = 3.0
 STRIP = ".,;:!?\"'()[]"
-BEGINNINGS = (4, 5, 6)
 
 
-def terms_of(word: str) -> list[str]:
-    """The terms of one folded word: itself without punctuation, and its beginnings."""
-    word = word.strip(STRIP)
-    return [word, *(f"^{word[:size]}" for size in BEGINNINGS if len(word) > size)] if word else []
+def term_of(word: str) -> str:
+    """A folded word without the punctuation around it."""
+    return word.strip(STRIP)
 
 
 class Vocabulary:
@@ -55,7 +54,7 @@ class Vocabulary:
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str, int] = {}
 
     def __len__(self) -> int:
         return len(self.codes)
@@ -64,153 +63,161 @@ class Vocabulary:
         """Empties what a task remembered; the worker process goes on to other work."""
         self._known.clear()
 
-    def _look_up(self, words: Counter[str] | set[str]) -> dict[str, tuple[int, ...]]:
+    def _look_up(self, words: Counter[str] | set[str]) -> dict[str, int]:
         missing = [w for w in words if w not in self._known]
         if missing:
             if len(self._known) + len(missing) > self.most_words:
                 self._known.clear()
                 missing = list(words)
-            terms = [terms_of(w) for w in missing]
-            codes = np.array([hash(t) for own in terms for t in own], np.int64)
+            codes = np.array([hash(term_of(w)) for w in missing], np.int64)
             at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            places, low = np.where(self.codes[at] == codes, at, -1).tolist(), 0
-            for word, own in zip(missing, terms):
-                self._known[word] = tuple(i for i in places[low : low + len(own)] if i >= 0)
-                low += len(own)
+            self._known.update(zip(missing, np.where(self.codes[at] == codes, at, -1).tolist()))
         return self._known
 
-    def places(self, text: str) -> list[int]:
-        """Places of the text's terms, some of them more than once."""
-        words = set(text.lower().split())
-        known = self._look_up(words)
-        return [i for word in words for i in known[word]]
-
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Places of the text's terms, ascending, and how often each occurs."""
         words = Counter(text.lower().split())
         known = self._look_up(words)
-        at, sizes = [], []
-        for word in words:
-            at += known[word]
-            sizes.append(len(known[word]))
-        places, term = np.unique(np.array(at, np.int64), return_inverse=True)
-        return places, np.bincount(term, np.repeat(list(words.values()), sizes) if at else None, len(places))
+        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        places, term = np.unique(at, return_inverse=True)
+        n = np.bincount(term, np.fromiter(words.values(), np.int64, len(words)), len(places))
+        return (places[1:], n[1:]) if len(places) and places[0] < 0 else (places, n)
+
+    def places(self, text: str) -> set[int]:
+        """Places of the text's terms."""
+        words = set(text.lower().split())
+        known = self._look_up(words)
+        return {known[word] for word in words} - {-1}
+
 
+class BlockMaxIndex:
+    """Exact cosines with all examples over inverted lists cut into blocks; example ids are places.
 
-class CosineIndex:
-    """Exact cosines with all examples, given as postings by term; example ids are their places."""
+    Examples stand in an order in which similar ones are neighbours, so that a block of them is of
+    one language and kind. The longest lists are rows of a matrix, which a batch of queries is
+    multiplied with; of the others each keeps its largest weight in each block. A block's largest
+    product so far and these maxima bound every cosine in it: the blocks of largest bound are scored
+    first, and then those whose bound reaches the k-th best cosine found. No other block can change
+    the result.
+    """
 
     def __init__(self, size: int, example: np.ndarray, at: np.ndarray, times: np.ndarray, idf: np.ndarray):
         order = np.argsort(at, kind="stable")
         small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
         self.size, self.idf, self.sizes = size, idf, small(np.bincount(at, minlength=len(idf)))
         self.example, self.times = small(example)[order], small(times)[order]
-        self._ready: tuple[np.ndarray, ...] | None = None
+        self.blocks = -(-size // BLOCK)
+        self._ready: dict[str, np.ndarray] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_ready": None}
-
-    def ready(self) -> tuple[np.ndarray, ...]:
-        """First posting of each term, weights of the postings, the matrix row of each term (-1 for
-        most), and the weights of those terms in all examples."""
-        if self._ready is None:
+        return self.__dict__ | {"_ready": {}}
+
+    def neighbourly(self, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The place of each example in an order by the nearest of a few examples spread over all."""
+        by_example = np.argsort(self.example, kind="stable")
+        terms = np.repeat(np.arange(len(self.sizes)), self.sizes)[by_example]
+        own, bounds = weights[by_example], np.searchsorted(self.example[by_example], np.arange(self.size + 1))
+        near, group = np.full(self.size, -1.0), np.zeros(self.size, np.int64)
+        for i, seed in enumerate(np.linspace(0, self.size - 1, min(self.size, SEEDS)).astype(int).tolist()):
+            held = slice(bounds[seed], bounds[seed + 1])
+            places, repeated = spans(starts[terms[held]], self.sizes[terms[held]].astype(np.int64), own[held])
+            cosines = np.bincount(self.example[places], weights[places] * repeated, self.size)
+            closer = cosines > near
+            near[closer], group[closer] = cosines[closer], i
+        place = np.empty(self.size, np.int64)
+        place[np.lexsort((-near, group))] = np.arange(self.size)
+        return place
+
+    def ready(self) -> dict[str, np.ndarray]:
+        """The lists as they are searched, laid out once in each process."""
+        if not self._ready:
             starts = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
             weights = np.repeat(self.idf, self.sizes)
             weights *= 1 + np.log(self.times.astype(float))
-            norms = np.sqrt(np.bincount(self.example, weights * weights, self.size))
-            weights /= norms[self.example]
+            weights /= np.maximum(np.sqrt(np.bincount(self.example, weights * weights, self.size)), 1e-300)[self.example]
+            place = self.neighbourly(starts, weights)
+            at = place[self.example].astype(np.int32)
             often = np.argsort(-self.sizes.astype(np.int64), kind="stable")[:DENSE]
-            row, matrix = np.full(len(self.sizes), -1, np.int32), np.zeros((len(often), self.size))
+            row, matrix = np.full(len(self.sizes), -1, np.int32), np.zeros((len(often), self.blocks * BLOCK))
             row[often] = np.arange(len(often))
             for i, term in enumerate(often):
-                held = slice(starts[term], starts[term + 1])
-                matrix[i, self.example[held]] = weights[held]
-            self._ready = starts, weights, row, matrix
+                own = slice(starts[term], starts[term + 1])
+                matrix[i, at[own]] = weights[own]
+            term = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+            rare = row[term] < 0
+            at, term, weights = at[rare], term[rare], weights[rare]
+            order = np.lexsort((at, term))
+            at, term, weights = at[order], term[order], weights[order]
+            block = at // BLOCK
+            new = np.ones(len(at), bool)
+            new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+            entries = np.flatnonzero(new)
+            original = np.empty(self.size, np.int64)
+            original[place] = np.arange(self.size)
+            self._ready = {
+                "row": row, "matrix": matrix, "original": original, "place": place, "at": at, "weight": weights, "first": np.searchsorted(term[entries], np.arange(len(self.sizes) + 1)),
+                "block": block[entries].astype(np.int64), "largest": np.maximum.reduceat(weights, entries) if len(entries) else weights, "posting": np.append(entries, len(at)),
+            }
         return self._ready
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> Iterator[list[tuple[float, int]]]:
-        """For each vector the k examples of largest positive cosine, largest first, ties to the smaller place."""
-        first, known, row, matrix = self.ready()
+        """For each vector the k examples of largest positive cosine but the one at ``without``,
+        largest first, ties to the smaller place."""
+        ready = self.ready()
+        row, matrix = ready["row"], ready["matrix"]
         for low in range(0, len(vectors), BATCH):
             part = vectors[low : low + BATCH]
             query = np.zeros((len(part), len(matrix)))
-            for i, (at, weights) in enumerate(part):
-                dense = row[at] >= 0
-                query[i, row[at[dense]]] = weights[dense]
+            for i, (terms, weights) in enumerate(part):
+                dense = row[terms] >= 0
+                query[i, row[terms[dense]]] = weights[dense]
             for i, scores in enumerate(query @ matrix):
-                at, weights = part[i]
-                rare = row[at] < 0
-                starts, sizes = first[at[rare]], first[at[rare] + 1] - first[at[rare]]
-                ends = np.cumsum(sizes)
-                if len(ends) and ends[-1]:
-                    places = np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])
-                    scores += np.bincount(self.example[places], known[places] * np.repeat(weights[rare], sizes), self.size)
-                if without[low + i] >= 0:
-                    scores[without[low + i]] = 0
-                least = np.partition(scores, self.size - k)[self.size - k] if k < self.size else 0.0
-                found = np.flatnonzero((scores > 0) & (scores >= least - 1e-12))
-                yield sorted(((float(scores[j]), int(j)) for j in found), key=lambda s: (-round(s[0], 12), s[1]))[:k]
-
-
-class BlockMaxIndex:
-    """Exact cosine search over sparse unit vectors; example ids are their places."""
-
-    def __init__(self, vectors: list[dict[int, float]]):
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for example, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                postings.setdefault(term, []).append((example, weight))
-        self.size = len(vectors)
-        self.blocks = -(-self.size // BLOCK)
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for term, pairs in postings.items():
-            ids = np.array([p[0] for p in pairs], np.int32)
-            weights = np.array([p[1] for p in pairs])
-            starts = np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK).astype(np.int32)
-            largest = np.zeros(self.blocks)
-            held = np.flatnonzero(np.diff(starts))
-            largest[held] = np.maximum.reduceat(weights, starts[held])
-            self.postings[term] = (ids % BLOCK, weights, starts, largest)
-
-    def nearest(self, vector: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest positive cosine, largest first, ties to the smaller place."""
-        lists = [(self.postings[t], w) for t, w in vector.items() if t in self.postings]
-        bounds = np.zeros(self.blocks)
-        for (_, _, _, largest), weight in lists:
-            bounds += weight * largest
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < best[-1][0] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for (ids, weights, starts, _), weight in lists:
-                low, high = starts[block], starts[block + 1]
-                if low < high:
-                    scores[ids[low:high]] += weight * weights[low:high]
-            if 0 <= without - block * BLOCK < BLOCK:
-                scores[without - block * BLOCK] = 0
-            least = best[-1][0] - 1e-12 if len(best) == k else 0.0
-            found = np.flatnonzero(scores > least)
-            if len(found) > k:
-                found = found[np.argsort(-scores[found], kind="stable")[:k]]
-            best = sorted([*best, *((float(scores[i]), int(i + block * BLOCK)) for i in found)], key=lambda s: (-round(s[0], 12), s[1]))[:k]
-        return best
+                terms, weights = part[i]
+                rare = row[terms] < 0
+                yield self._best(ready, scores, terms[rare], weights[rare], k, without[low + i])
+
+    def _best(self, ready: dict[str, np.ndarray], scores: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
+        first, posting = ready["first"], ready["posting"]
+        entries, factors = spans(first[terms], first[terms + 1] - first[terms], weights)
+        block = ready["block"][entries]
+        bounds = scores.reshape(self.blocks, BLOCK).max(1) + np.bincount(block, factors * ready["largest"][entries], self.blocks)
+        done, least = np.zeros(self.blocks, bool), 0.0
+        for many in (min(FIRST_BLOCKS, self.blocks), self.blocks):
+            chosen = (bounds >= np.partition(bounds, -many)[-many]) & (bounds >= least - 1e-12) & ~done
+            done |= chosen
+            held = chosen[block]
+            own = entries[held]
+            places, repeated = spans(posting[own], posting[own + 1] - posting[own], factors[held])
+            scores += np.bincount(ready["at"][places], ready["weight"][places] * repeated, len(scores))
+            if without >= 0:
+                scores[ready["place"][without]] = 0
+            # Scores of blocks not yet done lack their rare terms and only make this bound smaller.
+            least = np.partition(scores, -k)[-k] if k < len(scores) else 0.0
+        found = np.flatnonzero((scores > 0) & (scores >= least - 1e-12))
+        return sorted(zip(scores[found].tolist(), ready["original"][found].tolist()), key=lambda s: (-round(s[0], 12), s[1]))[:k]
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of ranges given by start and size, joined, and each range's value at its places."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(total), np.repeat(values, sizes)
 
 
 class Scorer:
-    def __init__(self, ids: list[int], labels: list[int], index: CosineIndex, k: int):
+    def __init__(self, ids: list[int], labels: list[int], index: BlockMaxIndex, k: int):
         self.k, self.ids, self.labels, self.index = k, ids, labels, index
         self.prior = sum(labels) / max(1, len(labels))
         self.place = {own: i for i, own in enumerate(ids)}
 
-    def votes(self, vocabulary: Vocabulary, texts: list[str], without: list[int] | None = None) -> list[tuple[float, list[int]]]:
+    def votes(self, vocabulary: Vocabulary, texts: list[str], without: list[int | None]) -> list[tuple[float, list[int]]]:
         """Distance-weighted share of toxic neighbours for each text, drawn to the prior by one distant
         vote, and the neighbours; -1 for a text without neighbours. Equal texts are searched once."""
-        keys = list(zip(texts, without or [None] * len(texts)))
+        keys = [(text, self.place.get(own, -1)) for text, own in zip(texts, without)]
         found: dict[tuple, tuple[float, list[int]]] = {}
         distinct = list(dict.fromkeys(keys))
         vectors = [weigh(vocabulary.counts(text), self.index.idf) for text, _ in distinct]
-        for key, near in zip(distinct, self.index.nearest(vectors, self.k, [self.place.get(own, -1) for _, own in distinct])):
+        for key, near in zip(distinct, self.index.nearest(vectors, self.k, [own for _, own in distinct])):
             votes = [(1 / (1.05 - min(1.0, s)), self.labels[i]) for s, i in near]
             total = sum(w for w, _ in votes) + 1
             found[key] = ((sum(w * y for w, y in votes) + self.prior) / total if near else -1.0, [self.ids[i] for _, i in near])
@@ -221,7 +228,8 @@ def weigh(counts: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.nd
     """Unit vector of (1 + ln tf) * idf over the vocabulary."""
     at, n = counts
     raw = (1 + np.log(n)) * idf[at]
-    return at, raw / math.sqrt(float(raw @ raw)) if len(at) else raw
+    length = math.sqrt(float(raw @ raw))
+    return at, raw / length if length else raw
 
 
 def isotonic_steps(votes: list[tuple[float, int]], strength: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
@@ -247,11 +255,12 @@ def isotonic_steps(votes: list[tuple[float, int]], strength: float = 2.0) -> tup
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
+    """Whether crc32 of the id as text leaves 1 modulo 3; a null id is not held out."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def fit(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_terms: int = 50_000, least_chi2: float = 20.0, least_df: int = 3, least_ratio: float = 4.0, k: int = 15
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, most_terms: int = 50_000, least_chi2: float = 20.0, least_df: int = 3, least_ratio: float = 4.0, k: int = 15
 ) -> tuple[Broadcast, Broadcast, tuple[np.ndarray, np.ndarray]] | None:
     """The broadcast vocabulary and scorer from a bounded sample of ``labels`` (doc_id, label), and the
     steps from votes to scores; None without both labels."""
@@ -262,13 +271,15 @@ def fit(
     cut = int(min(1.0, sample_rows / n_labels) * (1 << 30))
     sample = usable.filter(F.xxhash64("doc_id", F.lit(5)).bitwiseAND(F.lit((1 << 30) - 1)) < cut)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select(F.col("doc_id").cast("long").alias("doc_id"), "label")), "doc_id")
-    rows = Workspace(spark, "toxicity").save(rows.dropDuplicates(["text", "label"]), "sample")
+    rows = rows.groupBy("text", "label").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("one"))
+    space = Workspace(spark, "toxicity")
+    rows = space.save(rows.select("doc_id", "one.text", "one.label"), "sample")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, list[int]] = {"": [0, 0]}
             for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
-                for term in {"", *(t for word in set((text.as_py() or "").lower().split()) for t in terms_of(word))}:
+                for term in {"", *map(term_of, set((text.as_py() or "").lower().split()))}:
                     counts.setdefault(term, [0, 0])[int(label > 0)] += 1
             yield pa.RecordBatch.from_arrays([pa.array([hash(t) for t in counts], pa.int64()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1))], ["term", "clean", "toxic"])
 
@@ -296,7 +307,7 @@ def fit(
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column("text"):
-                counts[shared.value.places(text.as_py() or "")] += 1
+                counts[list(shared.value.places(text.as_py() or ""))] += 1
         shared.value.forget()
         held = np.flatnonzero(counts)
         for low in range(0, len(held), 50_000):
@@ -309,7 +320,7 @@ def fit(
     at, n = found.column("term").to_numpy(), found.column("n").to_numpy()
     in_docs = np.zeros(len(vocabulary))
     in_docs[at[at >= 0]] = n[at >= 0]
-    idf = np.log((1 + n[at < 0].sum()) / (1 + in_docs)) + 1
+    idf = np.log((1 + n[at < 0].sum()) / (1 + in_docs))
     idf[telling] *= TELLING
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +331,7 @@ def fit(
         shared.value.forget()
 
     with shuffle_cleanup(spark):
-        made = rows.select("doc_id", "text", "label").dropDuplicates(["doc_id"]).mapInArrow(counted, "doc_id long, label int, at array<int>, times array<int>").toArrow()
+        made = rows.select("doc_id", "text", "label").mapInArrow(counted, "doc_id long, label int, at array<int>, times array<int>").toArrow()
     own = made.column("doc_id").to_numpy()
     order = np.argsort(own, kind="stable")
     places = np.argsort(order, kind="stable").astype(np.int32)
@@ -328,7 +339,7 @@ def fit(
     at, times = (np.concatenate([c.flatten().to_numpy() for c in made.column(name).chunks]) for name in ("at", "times"))
     labelled = (made.column("label").to_numpy()[order] > 0).astype(int).tolist()
     del made
-    index = CosineIndex(len(own), np.repeat(places, lengths), at, times, idf)
+    index = BlockMaxIndex(len(own), np.repeat(places, lengths), at, times, idf)
     ready = spark.sparkContext.broadcast(Scorer(own[order].tolist(), labelled, index, k))
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,6 +349,7 @@ def fit(
         shared.value.forget()
 
     left_out = [(r["vote"], int(r["label"] > 0)) for r in rows.select("doc_id", "text", "label").mapInArrow(votes, "vote double, label int").collect()]
+    space.drop("sample")
     return shared, ready, isotonic_steps(left_out)
 
 
@@ -348,7 +360,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, thre
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = ready.value if ready else None
         for batch in rows:
-            votes = scorer.votes(shared.value, [t.as_py() or "" for t in batch.column("text")]) if scorer else [(0.0, [])] * batch.num_rows
+            votes = scorer.votes(shared.value, [t.as_py() or "" for t in batch.column("text")], batch.column("doc_id").to_pylist()) if scorer else [(0.0, [])] * batch.num_rows
             scores = [float(np.interp(v, *steps)) if scorer else 0.0 for v, _ in votes]
             near = pa.array([ids[:evidence] for _, ids in votes], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), near], ["doc_id", "score", "predicted", "evidence"])
