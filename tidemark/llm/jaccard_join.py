@@ -19,9 +19,10 @@ and what is left to compare is the pairs of a list in different components; list
 component are done. So a large group of near copies costs a comparison for each member, and no
 link between components is lost.
 
-A candidate pair is ids first. It meets the bitmaps of its two sets, a bit or two for each
+A candidate pair is ids first. It meets the bitmaps of its two sets, four to eight bits for each
 shingle: bits in which they differ are shingles in which the sets differ, so most pairs end there
-without loss. Only the rest have their sets made anew from the texts and counted.
+without loss. Between components the bitmaps, folded to a few words, are compared within the join
+of the lists, so that sets just short of the bound do not become pairs. Only the rest have their sets made anew from the texts and counted.
 
 Edge cases: a null or empty text has an empty set and is linked with nothing; a text of fewer than
 ``width`` words is one shingle. Repeated rows link like copies. Rows with a null doc_id come back
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -45,6 +47,8 @@ from tidemark.llm.components import connected_components
 from tidemark.llm.storage import Workspace
 
 LARGEST_LIGHT = 16
+#: Words of 64 bits that stand for a set inside the join of long lists.
+SKETCH = 8
 #: Up to so many ids (16 MB) are broadcast to pick documents out; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Bound of the broadcast order of frequent tokens (8 bytes each); others keep their hash order.
@@ -88,24 +92,24 @@ def least_partner(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def index_length(n: int, percent: int) -> int:
-    """Tokens by which a set is found by sets of its size or larger."""
-    return n - least_overlap(n, n, percent) + 1 if n else 0
-
-
 def probe_length(n: int, percent: int) -> int:
     """Tokens by which a set finds sets of its size or smaller."""
     return n - least_partner(n, percent) + 1 if n else 0
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """A bit for each token, in a power of two of at least as many bits as there are tokens."""
-    size = 1 << max(6, (max(1, len(tokens)) - 1).bit_length())
+    """A bit for each token, in a power of two of at least four times as many bits as tokens."""
+    size = max(64 * SKETCH, 4 << (max(1, len(tokens)) - 1).bit_length())
     bits = np.zeros(size, bool)
     bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
+def sketch(bits: bytes) -> np.ndarray:
+    """A bitmap folded to ``SKETCH`` words of 64 bits."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.int64).reshape(-1, SKETCH), axis=0)
+
+
 def may_link(a: bytes, b: bytes, n: int, m: int, percent: int) -> bool:
     """Whether two bitmaps differ in no more bits than the sets may differ in elements."""
     if len(a) < len(b):
@@ -177,6 +181,15 @@ class JaccardJoin:
     def compatible(self, a: str, b: str) -> F.Column:
         return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
 
+    def overlap(self, a: str, b: str) -> F.Column:
+        """``least_overlap`` of two columns; a quotient that is whole is exact."""
+        return F.ceil(self.percent * (F.col(a) + F.col(b)) / (100 + self.percent))
+
+    def reaches(self, n: str, m: str, at: str) -> F.Column:
+        """Whether a set of n elements needs its token at that place to meet one of m elements: the
+        first shared token of a linked pair has as many others behind it as the overlap asks for."""
+        return F.col(at) + self.overlap(n, m) <= F.col(n)
+
     def described(self, docs: DataFrame) -> DataFrame:
         """doc_id, n, a 128-bit identity of the set, its bitmap, its prefix and, if small, the set."""
         width, percent = self.width, self.percent
@@ -200,11 +213,11 @@ class JaccardJoin:
                         smalls.append(own.tobytes() if size <= LARGEST_LIGHT else None)
                         bits.append(bitmap(own))
                     keys = [a.tobytes() + b.tobytes() for a, b in zip(*identity)]
-                    arrays = [pa.array(texts.ids), pa.array(n.astype(np.int64)), *(pa.array(x, pa.binary()) for x in (keys, prefixes, smalls, bits))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "identity", "prefix", "small", "bits"])
+                    arrays = [pa.array(texts.ids), pa.array(n.astype(np.int64)), *(pa.array(x, pa.binary()) for x in (keys, prefixes, smalls, bits)), pa.array([sketch(b) for b in bits], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "identity", "prefix", "small", "bits", "sketch"])
 
         self.frequent = frequent
-        return self.space.save(docs.mapInArrow(describe, "doc_id long, n long, identity binary, prefix binary, small binary, bits binary"), "described")
+        return self.space.save(docs.mapInArrow(describe, "doc_id long, n long, identity binary, prefix binary, small binary, bits binary, sketch array<long>"), "described")
 
     def light_links(self, sets: DataFrame, boundary: int) -> DataFrame:
         """(u, v) for light pairs: each set with the smallest id across each shared subset."""
@@ -222,9 +235,9 @@ class JaccardJoin:
         return self.space.save(links.select(F.least("id", "first").alias("u"), F.greatest("id", "first").alias("v")).distinct(), "light-links")
 
     def lists(self, sets: DataFrame) -> DataFrame:
-        """(token, id, n, indexed): inverted lists of prefix tokens that hold two sets, one of them
-        indexed there."""
-        frequent, percent = self.frequent, self.percent
+        """(token, id, n, at): inverted lists of prefix tokens, with the token's place in the prefix;
+        those that hold two sets, one of them indexed there."""
+        frequent = self.frequent
 
         def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -233,13 +246,12 @@ class JaccardJoin:
                 values = np.concatenate(arrays) if len(arrays) else np.zeros(0, np.uint64)
                 at = np.repeat(np.arange(len(arrays)), sizes)
                 place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                held = np.array([index_length(n, percent) for n in batch.column("n").to_pylist()], np.int64)
-                columns = [pa.array(values.view(np.int64)), batch.column("id").take(pa.array(at)), batch.column("n").take(pa.array(at)), pa.array(place < held[at]), pa.array(is_among(frequent.value, values))]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "id", "n", "indexed", "often"])
+                columns = [pa.array(values.view(np.int64)), batch.column("id").take(pa.array(at)), batch.column("n").take(pa.array(at)), pa.array(place), pa.array(is_among(frequent.value, values))]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "id", "n", "at", "often"])
 
-        rows = sets.filter("n > 0").select("id", "n", "prefix").mapInArrow(tokens, "token long, id long, n long, indexed boolean, often boolean")
+        rows = sets.filter("n > 0").select("id", "n", "prefix").mapInArrow(tokens, "token long, id long, n long, at long, often boolean")
         own = Window.partitionBy("token")
-        rare = rows.filter("not often").withColumns({"many": F.count("*").over(own), "held": F.max("indexed").over(own)}).filter("many > 1 and held").drop("many", "held")
+        rare = rows.filter("not often").withColumns({"many": F.count("*").over(own), "held": F.max(self.reaches("n", "n", "at")).over(own)}).filter("many > 1 and held").drop("many", "held")
         return self.space.save(rare.unionByName(rows.filter("often")).drop("often"), "lists")
 
     def list_rows(self, lists: DataFrame) -> float:
@@ -252,7 +264,7 @@ class JaccardJoin:
         """Each set with an indexed one of its band of sizes and of the band below, that of the smallest id."""
         band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent)).cast("int")
         banded = lists.withColumn("band", band)
-        leaders = self.space.save(banded.filter("indexed").groupBy("token", "band").agg(F.min(F.struct("id", "n")).alias("leader")), "leaders")
+        leaders = self.space.save(banded.filter(self.reaches("n", "n", "at")).groupBy("token", "band").agg(F.min(F.struct("id", "n")).alias("leader")), "leaders")
         asked = banded.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
         met = asked.join(leaders, ["token", "band"]).select("id", "n", F.col("leader.id").alias("other"), F.col("leader.n").alias("m"))
         return self.pairs(met, boundary)
@@ -312,11 +324,11 @@ class JaccardJoin:
         classes = self.space.save(filled.groupBy("identity").agg(F.min("doc_id").alias("id")), "classes")
         own = self.space.save(described.select("doc_id", "n", F.when(F.col("n") > 0, F.col("identity")).alias("identity")), "own")
         chosen = filled.join(classes.select("id"), filled["doc_id"] == classes["id"], "left_semi").dropDuplicates(["doc_id"])
-        sets = self.space.save(chosen.select(F.col("doc_id").alias("id"), "n", "prefix", "small", "bits"), "sets")
+        sets = self.space.save(chosen.select(F.col("doc_id").alias("id"), "n", "prefix", "small", "bits", "sketch"), "sets")
         # Prefixes are the bulk of these tables; each goes as soon as the next holds what is needed.
         self.space.drop("described")
         lists = self.lists(sets)
-        bitmaps = self.space.save(sets.select("id", "n", "bits"), "bitmaps")
+        bitmaps = self.space.save(sets.select("id", "n", "bits", "sketch"), "bitmaps")
         small = self.space.save(sets.filter(F.col("n") <= LARGEST_LIGHT).select("id", "n", "small"), "small")
         self.space.drop("sets")
         sizes = {r["n"]: r["count"] for r in small.groupBy("n").count().collect()}
@@ -336,13 +348,19 @@ class JaccardJoin:
 
     def remaining(self, docs: DataFrame, bitmaps: DataFrame, lists: DataFrame, links: DataFrame, labels: DataFrame, boundary: int) -> DataFrame:
         """Compares what the leaders left open: pairs of a list in different components."""
-        placed = lists.join(labels, "id", "left").select("token", "id", "n", "indexed", F.coalesce("label", "id").alias("label"))
+        placed = lists.join(labels, "id", "left").select("token", "id", "n", "at", F.coalesce("label", "id").alias("label"))
         placed = self.space.save(placed, "placed")
         mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("token")
-        open_ = self.space.save(placed.join(self.space.save(mixed, "mixed"), "token", "left_semi"), "open")
+        open_ = placed.join(self.space.save(mixed, "mixed"), "token", "left_semi")
+        folded = bitmaps.select("id", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
+        open_ = self.space.save(open_.join(folded, "id"), "open")
         self.space.drop("placed", "mixed")
-        held = open_.filter("indexed").select(F.col("token").alias("of"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"))
-        crossing = open_.join(held, (F.col("token") == F.col("of")) & (F.col("label") != F.col("other_label")) & (F.col("m") <= F.col("n")) & self.compatible("n", "m"))
+        held = open_.filter(self.reaches("n", "n", "at")).select(
+            F.col("token").alias("of"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("at").alias("other_at"), F.col("label").alias("other_label"), *[F.col(f"s{i}").alias(f"t{i}") for i in range(SKETCH)]
+        )
+        differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SKETCH)])
+        near = (F.col("m") <= F.col("n")) & self.compatible("n", "m") & self.reaches("n", "m", "at") & self.reaches("m", "n", "other_at") & (differ <= F.col("n") + F.col("m") - 2 * self.overlap("n", "m"))
+        crossing = open_.join(held, (F.col("token") == F.col("of")) & (F.col("label") != F.col("other_label")) & near)
         tried = self.spark.read.parquet(self.space.path("first-pairs"))
         pairs = self.pairs(crossing.select("id", "n", "other", "m"), boundary).join(tried, ["u", "v"], "left_anti")
         near = self.screened(pairs, bitmaps, "second")
