@@ -33,7 +33,7 @@ from tidemark.llm.storage import Workspace, shuffle_cleanup
 
 BLOCK = 512
 FIRST_BLOCKS = 2
-DENSE = 256
+DENSE = 512
 BATCH = 64
 SEEDS = 64
 TELLING = 3.0
@@ -63,32 +63,25 @@ class Vocabulary:
         """Empties what a task remembered; the worker process goes on to other work."""
         self._known.clear()
 
-    def _look_up(self, words: Counter[str] | set[str]) -> dict[str, int]:
-        missing = [w for w in words if w not in self._known]
-        if missing:
+    def look_up(self, words: dict[str, int]) -> np.ndarray:
+        """Places of the words' terms, -1 for words that are no term."""
+        known = self._known
+        if missing := [w for w in words if w not in known]:
             if len(self._known) + len(missing) > self.most_words:
                 self._known.clear()
                 missing = list(words)
             codes = np.array([hash(term_of(w)) for w in missing], np.int64)
             at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
             self._known.update(zip(missing, np.where(self.codes[at] == codes, at, -1).tolist()))
-        return self._known
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Places of the text's terms, ascending, and how often each occurs."""
         words = Counter(text.lower().split())
-        known = self._look_up(words)
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        places, term = np.unique(at, return_inverse=True)
+        places, term = np.unique(self.look_up(words), return_inverse=True)
         n = np.bincount(term, np.fromiter(words.values(), np.int64, len(words)), len(places))
         return (places[1:], n[1:]) if len(places) and places[0] < 0 else (places, n)
 
-    def places(self, text: str) -> set[int]:
-        """Places of the text's terms."""
-        words = set(text.lower().split())
-        known = self._look_up(words)
-        return {known[word] for word in words} - {-1}
-
 
 class BlockMaxIndex:
     """Exact cosines with all examples over inverted lists cut into blocks; example ids are places.
@@ -260,7 +253,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, most_terms: int = 50_000, least_chi2: float = 20.0, least_df: int = 3, least_ratio: float = 4.0, k: int = 15
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = 5_000, most_terms: int = 50_000, least_chi2: float = 20.0, least_df: int = 3, least_ratio: float = 4.0, k: int = 15
 ) -> tuple[Broadcast, Broadcast, tuple[np.ndarray, np.ndarray]] | None:
     """The broadcast vocabulary and scorer from a bounded sample of ``labels`` (doc_id, label), and the
     steps from votes to scores; None without both labels."""
@@ -303,11 +296,18 @@ def fit(
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, rows = np.zeros(len(shared.value), np.int64), 0
+        counts, rows, words = np.zeros(len(shared.value) + 1, np.int64), 0, Counter()
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column("text"):
-                counts[list(shared.value.places(text.as_py() or ""))] += 1
+                own = set(text.as_py().lower().split()) if text.is_valid else ()
+                # Two words of a text that are one term, as a word with and without a full stop, count once.
+                words.update({term_of(w) for w in own})
+            if len(words) > shared.value.most_words:
+                np.add.at(counts, shared.value.look_up(words), np.fromiter(words.values(), np.int64, len(words)))
+                words.clear()
+        np.add.at(counts, shared.value.look_up(words), np.fromiter(words.values(), np.int64, len(words)))
+        counts = counts[:-1]
         shared.value.forget()
         held = np.flatnonzero(counts)
         for low in range(0, len(held), 50_000):
