@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import ann, byte_bpe, induced_sort, jaccard_join, mixing, quality_outliers, secrets, substring_dedup, suffix_dedup, toxicity, warc
 
@@ -210,6 +211,37 @@ def test_mixing(spark, docs, none):
     assert mixing.mix_sizes(spark, none).count() == 0 and mixing.mix_documents(spark, docs).columns == docs.columns
 
 
+def test_mixing_rows_that_share_ids_and_clashing_columns(spark):
+    """Rows of one id in two sources, equal rows, null ids and columns named like helpers."""
+    rows = [(1, "a b c", "x", 0, 0), (1, "a b c", "y", 0, 0), (2, "d e f g", "x", 1, 0), (2, "d e f g", "x", 2, 0), (None, "h i", "y", 0, 0), (None, "j k", "y", 0, 0), (None, "h i", "y", 0, 0), (3, "l " * 40, None, 0, 0), (4, None, "x", 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, identity int")
+    sizes = mixing.mix_sizes(spark, docs).collect()
+    mixed = mixing.mix_documents(spark, docs)
+    assert mixed.columns == docs.columns and len(sizes) == len(rows)
+    wanted, got = Counter(), Counter()
+    for r in sizes:
+        wanted[r["doc_id"], r["size"], r["source_size"]] += r["copies"]
+    per = defaultdict(int)
+    for r in rows:
+        per[r[2]] += len(WORD.findall(r[1] or ""))
+    for r in mixed.collect():
+        got[r["doc_id"], len(WORD.findall(r["text"])), per[r["source"]]] += 1
+    assert +wanted == got
+
+
+def test_mixing_follows_the_exponential_keys(spark):
+    """The fractional epoch takes the smallest keys of -ln(u) / weight, whatever the buckets."""
+    docs = spark.range(3000).selectExpr("id doc_id", "'w' text", "if(id % 3 = 0, 'a', 'b') source")
+    quality = spark.range(3000).selectExpr("id doc_id", "if(id % 5 = 0, 4.0D, if(id % 5 = 1, 0.3D, 1.0D)) weight")
+    keys = docs.join(quality, "doc_id").withColumn("key", mixing.exponential_key(mixing.identity(17), F.col("weight"))).collect()
+    copies = {r["doc_id"]: (r["copies"], r["target"], r["source_size"]) for r in mixing.mix_sizes(spark, docs, quality, bucket_rows=50).collect()}
+    for source in "ab":
+        order = [r["doc_id"] for r in sorted(keys, key=lambda r: r["key"]) if r["source"] == source]
+        whole, target, size = min(copies[d][0] for d in order), copies[order[0]][1], copies[order[0]][2]
+        many = [copies[d][0] - whole for d in order]
+        assert many == sorted(many, reverse=True) and abs(whole * size + sum(many) - target) <= 1
+
+
 def test_quality(spark, docs, none):
     got = {r["doc_id"]: r for r in quality_outliers.quality_rules(spark, docs).collect()}
     for doc_id, text, *_ in texts():
@@ -222,6 +254,35 @@ def test_quality(spark, docs, none):
     assert quality_outliers.quality_rules(spark, none).count() == 0
 
 
+def test_chi_square():
+    for share, degrees, wanted in ((0.975, 5, 12.8325), (0.75, 5, 6.6257), (0.95, 1, 3.8415), (0.9999, 5, 25.7448)):
+        assert abs(quality_outliers.chi_square_quantile(share, degrees) - wanted) < 1e-3
+    rng = np.random.default_rng(0)
+    d2 = np.sort(np.square(rng.standard_normal((200_000, 5))).sum(1))
+    assert abs(quality_outliers.consistency(0.75, 5) * d2[:150_000].mean() / 5 - 1) < 0.02
+
+
+def test_robust_outliers_go_and_clean_rows_stay(spark):
+    """A fifth of one group lies together far off, which would drag a plain mean and covariance along."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((400, 5)) @ np.array([[1, 0.5, 0, 0, 0.2], [0, 1, 0.3, 0, 0], [0, 0, 1, 0, 0], [0, 0, 0, 1, 0.6], [0, 0, 0, 0, 1]]) + 5
+    base[:80] = rng.standard_normal((80, 5)) * 0.5 + [16, -9, 17, -8, 15]
+    names = list(quality_outliers.FEATURES)
+    rows = [(i, "en" if i % 2 else None, "s", 100, *map(float, v)) for i, v in enumerate(base)] + [(1000 + i, "xx", "few", 100, *map(float, v)) for i, v in enumerate(base[:20])]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, " + ", ".join(f"{n} double" for n in names))
+    space = quality_outliers.Workspace(spark, "test")
+    got = {r["doc_id"]: r for r in quality_outliers.mcd_outliers(space, table).collect()}
+    assert all(got[i]["outlier"] for i in range(80)) and not any(got[i]["outlier"] for i in range(1000, 1020))
+    assert sum(got[i]["outlier"] for i in range(80, 400)) <= 3
+    clean = base[81::2]
+    away = np.linalg.inv(np.cov(clean.T))
+    plain = [float((base[i] - clean.mean(0)) @ away @ (base[i] - clean.mean(0))) for i in range(81, 400, 2)]
+    assert np.corrcoef(plain, [got[i]["distance2"] for i in range(81, 400, 2)])[0, 1] > 0.97
+    # Equal rows at the bound of a core are all in it, and a group without spread gives no verdict.
+    flat = spark.createDataFrame([(i, "en", "s", 100, 1.0, 1.0, 0.0, 0.0, 0.0) for i in range(60)], table.schema)
+    assert not any(r["outlier"] for r in quality_outliers.mcd_outliers(space, flat).collect())
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     vectors = [(i, rng.standard_normal(8).tolist()) for i in range(300)]
