@@ -60,6 +60,21 @@ def test_substring_dedup(spark, docs, none):
     assert substring_dedup.remove_repeats(spark, none).count() == 0
 
 
+def test_substring_factors_across_blocks(spark, docs):
+    """Every factor holds the words of its reference, and the factors of five blocks cover the same
+    words as those of one."""
+    words = {d: WORD.findall(t or "") for d, t, *_ in texts()}
+    found = substring_dedup.factors(spark, docs, blocks=5).collect()
+    assert len(found) > 20
+    for r in found:
+        assert r["end"] - r["start"] >= 13 and r["ref"] < r["doc_id"]
+        assert words[r["doc_id"]][r["start"] : r["end"]] == words[r["ref"]][r["ref_start"] : r["ref_start"] + r["end"] - r["start"]]
+    rows = lambda n: sorted((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(spark, docs, blocks=n).collect())
+    assert rows(1) == rows(5)
+    cover = Counter(d for d, i in {(r["doc_id"], i) for r in found for i in range(r["start"], r["end"])})
+    assert [cover[d] for d, _, _ in rows(1)] == [n for _, n, _ in rows(1)]
+
+
 def test_suffix_dedup(spark, docs, none):
     width, seen = 400, Counter()
     for _, text, *_ in texts():

@@ -5,9 +5,14 @@ of ``width`` words: window hash to the smallest document and position in the blo
 all blocks meet by hash, so that each block learns which of its windows start in a smaller
 document anywhere, and where first. Each document is then parsed greedily from left to right: a
 factor starts at a window that the reference holds and grows for as long as the next word
-continues the same reference position; where it ends, the window that straddles the boundary is
-looked up by itself, so a passage pieced together from several reference documents is found too.
-The union of the factors, each at least ``width`` words long, is what the document repeats.
+continues the same reference position. Where it ends, the windows that straddle its boundary are
+looked up by themselves and start factors of their own, which may overlap it: a passage pieced
+together from several reference documents, or of which a later part has another first place, is
+found too. A factor is at least ``width`` words long, and the factors' extents are what goes.
+``factors`` returns them with their references.
+
+A window is known by 64 bits. Two different windows of n in all that are compared share them with a
+probability of n * n / 2**65, some 1 in 40 for 10**9 windows that have shared anchors.
 
 Windows without a shared anchor (see ``anchors``) are never indexed. A block sends each window
 once however many of its documents hold it, so a passage in a third of all documents is a row per
@@ -22,7 +27,8 @@ empty table gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +39,6 @@ from tidemark.llm.arrays import Texts, distinct, inside_documents, window_hashes
 from tidemark.llm.storage import Workspace
 from tidemark.llm.words import SPACE
 
-RESULT = "doc_id long, n_words long, n_removed long, n_factors long, kept_sha256 string"
-
 
 class Windows:
     """Word windows of a run of documents, with the anchor of each."""
@@ -85,26 +89,41 @@ def block_index(docs: pa.Table, flags: pa.Table, width: int, gram: int) -> tuple
     return h[first], d[first], p[first], runs
 
 
-def parse_document(at: np.ndarray, source: np.ndarray, position: np.ndarray, n_words: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy factors of one document from its repeated windows: their starts and the cover.
+def parse_document(at: np.ndarray, source: np.ndarray, position: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors of one document: starts, ends, reference documents and positions there.
 
-    ``at`` are window starts within the document, with the reference document and position of
-    each. A window that continues the reference of the one before it extends its factor.
+    ``at`` are the window starts within the document that the reference holds, with the reference
+    document and position of each. A window that continues the reference of the one before it
+    extends its factor by a word; any other starts a factor.
     """
     goes_on = np.zeros(len(at), bool)
     if len(at) > 1:
         goes_on[1:] = (np.diff(at) == 1) & (source[1:] == source[:-1]) & (position[1:] == position[:-1] + 1)
-    depth = np.zeros(n_words + 1, np.int64)
-    np.add.at(depth, at, 1)
-    np.add.at(depth, at + width, -1)
-    return at[~goes_on], np.cumsum(depth)[:n_words] > 0
+    first = np.flatnonzero(~goes_on)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    return at[first], at[last] + width, source[first], position[first]
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 13, gram: int = 6) -> DataFrame:
-    """doc_id, n_words, n_removed, n_factors and the digest of the words kept, per document."""
-    space = Workspace(spark, "substring")
-    known = known_ids(docs)
-    blocks = block_count(known)
+def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words lie in a factor."""
+    depth = np.zeros(n + 1, np.int64)
+    np.add.at(depth, starts, 1)
+    np.add.at(depth, ends, -1)
+    return np.cumsum(depth)[:n] > 0
+
+
+@dataclass
+class Parsed:
+    """A run of documents with its windows and, for each document, its factors."""
+
+    texts: Texts
+    windows: Windows
+    factors: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def parsed_blocks(space: Workspace, known: DataFrame, width: int, gram: int, report: Callable[[Parsed], Iterator[tuple]], columns: dict[str, tuple[str, pa.DataType]], blocks: int | None = None) -> DataFrame:
+    """What ``report`` makes of each run of parsed documents, a table of ``columns``."""
+    blocks = blocks or block_count(known)
     flags = shared_anchors(space, known, lambda texts: Windows(texts, width, gram).anchor_occurrences(), blocks, True)
     dealt = with_block(known, blocks)
 
@@ -125,30 +144,55 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 13, gram:
         if found.num_rows:
             at = np.searchsorted(h, found.column("h").to_numpy().view(np.uint64))
             d[at], p[at] = found.column("ref").to_numpy(), found.column("ref_pos").to_numpy()
-        out = [row for run in runs for row in parse_run(*run, h, d, p, width)]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, kinds)], names=["doc_id", "n_words", "n_removed", "n_factors", "kept_sha256"])
+        out = [row for run in runs for row in report(parse_run(*run, h, d, p, width))]
+        return pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*out) if out else [()] * len(columns), columns.values())], names=list(columns))
 
-    parsed = dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(parse, RESULT)
-    words = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), SPACE), lambda w: w != "")
-    zero = F.lit(0).cast("long")
-    unknown = docs.filter("doc_id is null").select(
-        F.lit(None).cast("long").alias("doc_id"), F.size(words).cast("long").alias("n_words"), zero.alias("n_removed"), zero.alias("n_factors"), F.sha2(F.array_join(words, " "), 256).alias("kept_sha256")
-    )
-    return parsed.unionByName(unknown)
+    return dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(parse, ", ".join(f"{c} {kind}" for c, (kind, _) in columns.items()))
 
 
-def parse_run(texts: Texts, windows: Windows, at: np.ndarray, h: np.ndarray, d: np.ndarray, p: np.ndarray, width: int) -> Iterator[tuple]:
+def parse_run(texts: Texts, windows: Windows, at: np.ndarray, h: np.ndarray, d: np.ndarray, p: np.ndarray, width: int) -> Parsed:
     entry = np.searchsorted(h, windows.hashes[at])
     owner = windows.documents[at]
     repeated = d[entry] < texts.ids[owner] if len(at) else np.zeros(0, bool)
     at, entry, owner = at[repeated], entry[repeated], owner[repeated]
     bounds = np.searchsorted(owner, np.arange(len(texts.ids) + 1))
-    data = texts.data.tobytes()
+    own = [slice(bounds[i], bounds[i + 1]) for i in range(len(texts.ids))]
+    return Parsed(texts, windows, [parse_document(at[x] - windows.firsts[i], d[entry[x]], p[entry[x]], width) for i, x in enumerate(own)])
+
+
+def cut(parsed: Parsed) -> Iterator[tuple]:
+    """doc_id, words, words removed, factors and the digest of the words kept."""
+    texts, windows, data = parsed.texts, parsed.windows, parsed.texts.data.tobytes()
     for i, doc_id in enumerate(texts.ids.tolist()):
         low, high = windows.firsts[i], windows.firsts[i + 1]
-        own = slice(bounds[i], bounds[i + 1])
-        starts, cover = parse_document(at[own] - low, d[entry[own]], p[entry[own]], int(high - low), width)
+        starts, ends, _, _ = parsed.factors[i]
+        cover = covered(starts, ends, int(high - low))
         kept = low + np.flatnonzero(~cover)
         text = b" ".join([data[s:e] for s, e in zip(windows.starts[kept].tolist(), windows.ends[kept].tolist())])
         yield doc_id, int(high - low), int(cover.sum()), len(starts), hashlib.sha256(text).hexdigest()
+
+
+def listed(parsed: Parsed) -> Iterator[tuple]:
+    """doc_id, first word, word behind the last, reference document and first word there."""
+    for doc_id, own in zip(parsed.texts.ids.tolist(), parsed.factors):
+        for row in zip(*(x.tolist() for x in own)):
+            yield doc_id, *row
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = 13, gram: int = 6, blocks: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, n_factors and the digest of the words kept, per document."""
+    long, string = ("long", pa.int64()), ("string", pa.string())
+    columns = {"doc_id": long, "n_words": long, "n_removed": long, "n_factors": long, "kept_sha256": string}
+    parsed = parsed_blocks(Workspace(spark, "substring"), known_ids(docs), width, gram, cut, columns, blocks)
+    words = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), SPACE), lambda w: w != "")
+    zero = F.lit(0).cast("long")
+    unknown = docs.filter("doc_id is null").select(
+        F.lit(None).cast("long").alias("doc_id"), F.size(words).cast("long").alias("n_words"), zero.alias("n_removed"), zero.alias("n_factors"), F.sha2(F.array_join(words, " "), 256).alias("kept_sha256")
+    )
+    return parsed.unionByName(unknown)
+
+
+def factors(spark: SparkSession, docs: DataFrame, width: int = 13, gram: int = 6, blocks: int | None = None) -> DataFrame:
+    """The duplicate spans: doc_id, start and end in words, ref and ref_start."""
+    columns = {c: ("long", pa.int64()) for c in ("doc_id", "start", "end", "ref", "ref_start")}
+    return parsed_blocks(Workspace(spark, "substring"), known_ids(docs), width, gram, listed, columns, blocks)
