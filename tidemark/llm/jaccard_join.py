@@ -19,7 +19,7 @@ and what is left to compare is the pairs of a list in different components; list
 component are done. So a large group of near copies costs a comparison for each member, and no
 link between components is lost.
 
-A candidate pair is ids first. It meets the bitmaps of its two sets, four to eight bits for each
+A candidate pair is ids first. It meets the bitmaps of its two sets, two to four bits for each
 shingle: bits in which they differ are shingles in which the sets differ, so most pairs end there
 without loss. Between components the bitmaps, folded to a few words, are compared within the join
 of the lists, so that sets just short of the bound do not become pairs. Only the rest have their sets made anew from the texts and counted.
@@ -98,8 +98,8 @@ def probe_length(n: int, percent: int) -> int:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """A bit for each token, in a power of two of at least four times as many bits as tokens."""
-    size = max(64 * SKETCH, 4 << (max(1, len(tokens)) - 1).bit_length())
+    """A bit for each token, in a power of two of at least twice as many bits as tokens."""
+    size = max(64 * SKETCH, 2 << (max(1, len(tokens)) - 1).bit_length())
     bits = np.zeros(size, bool)
     bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
