@@ -377,7 +377,8 @@ def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshol
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = ready.value if ready else None
         for batch in rows:
-            kept = [float(np.interp(v, *steps)) < threshold for v, _ in scorer.votes(shared.value, [t.as_py() or "" for t in batch.column("text")])] if scorer else [True] * batch.num_rows
+            votes = scorer.votes(shared.value, [t.as_py() or "" for t in batch.column("text")], batch.column("doc_id").to_pylist()) if scorer else []
+            kept = [float(np.interp(v, *steps)) < threshold for v, _ in votes] if scorer else [True] * batch.num_rows
             yield batch.filter(pa.array(kept, pa.bool_()))
         if scorer:
             shared.value.forget()
