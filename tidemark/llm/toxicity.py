@@ -35,6 +35,7 @@ BLOCK = 512
 FIRST_BLOCKS = 2
 DENSE = 512
 BATCH = 64
+SLICE = 512
 SEEDS = 64
 TELLING = 3.0
 STRIP = ".,;:!?\"'()[]"
@@ -50,7 +51,7 @@ class Vocabulary:
 
     A code is Python's hash of the term: PySpark gives all workers one seed, and only workers hash."""
 
-    most_words = 200_000
+    most_words = 100_000
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
@@ -217,6 +218,15 @@ class Scorer:
         return [found[key] for key in keys]
 
 
+def batch_votes(scorer: Scorer, vocabulary: Vocabulary, batch: pa.RecordBatch) -> list[tuple[float, list[int]]]:
+    """The votes of a batch, a slice at a time, so that few texts and vectors are held at once."""
+    out = []
+    for low in range(0, batch.num_rows, SLICE):
+        part = batch.slice(low, SLICE)
+        out += scorer.votes(vocabulary, [t.as_py() or "" for t in part.column("text")], part.column("doc_id").to_pylist())
+    return out
+
+
 def weigh(counts: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit vector of (1 + ln tf) * idf over the vocabulary."""
     at, n = counts
@@ -344,7 +354,7 @@ def fit(
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [v for v, _ in ready.value.votes(shared.value, [t.as_py() or "" for t in batch.column("text")], batch.column("doc_id").to_pylist())]
+            out = [v for v, _ in batch_votes(ready.value, shared.value, batch)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), batch.column("label")], ["vote", "label"])
         shared.value.forget()
 
@@ -360,7 +370,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, thre
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = ready.value if ready else None
         for batch in rows:
-            votes = scorer.votes(shared.value, [t.as_py() or "" for t in batch.column("text")], batch.column("doc_id").to_pylist()) if scorer else [(0.0, [])] * batch.num_rows
+            votes = batch_votes(scorer, shared.value, batch) if scorer else [(0.0, [])] * batch.num_rows
             scores = [float(np.interp(v, *steps)) if scorer else 0.0 for v, _ in votes]
             near = pa.array([ids[:evidence] for _, ids in votes], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), near], ["doc_id", "score", "predicted", "evidence"])
@@ -377,7 +387,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshol
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = ready.value if ready else None
         for batch in rows:
-            votes = scorer.votes(shared.value, [t.as_py() or "" for t in batch.column("text")], batch.column("doc_id").to_pylist()) if scorer else []
+            votes = batch_votes(scorer, shared.value, batch) if scorer else []
             kept = [float(np.interp(v, *steps)) < threshold for v, _ in votes] if scorer else [True] * batch.num_rows
             yield batch.filter(pa.array(kept, pa.bool_()))
         if scorer:
