@@ -137,7 +137,7 @@ def test_walk_reaches_depth_20_and_holds_the_roots(spark):
 
 @pytest.mark.parametrize("name", ["stream_deduplicated", "stream_open_close", "stream_tumbling", "stream_sliding", "stream_static_join"])
 def test_drained_streams_are_files_in_the_shared_folder(spark, name):
-    from tidemark.llm.storage import shared_root
+    from tidemark.storage import shared_root
 
     files = QUERIES[name](spark, SF).inputFiles()
     assert files and all(f"{shared_root(spark).removeprefix('file://')}/drained-" in f for f in files)

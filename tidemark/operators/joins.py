@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.storage import Workspace
+from tidemark.storage import Workspace
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, observed: str, values: list[str], within: str | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Standings of a league: records from ranks and joins; no pairs of teams are built for all-play."""
+"""Standings of teams: records from ranks and joins; no pairs of teams are built for all-play."""
 
 from __future__ import annotations
 

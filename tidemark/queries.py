@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark import queries_columns, queries_history, queries_plays, queries_scoring  # noqa: F401  (registers their queries)
+from tidemark import queries_columns, queries_history, queries_more, queries_plays, queries_scoring  # noqa: F401  (registers their queries)
 from tidemark.functions import scalar
 from tidemark.operators import joins
 from tidemark.plans.model import Filter, Output, ViewColumn, ViewRequest
@@ -200,10 +200,11 @@ def participation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.join(active, "c_custkey", "left").join(teams, "c_nationkey", "left").select("c_custkey", status.alias("status"))
 
 
-@query("""WITH t AS (SELECT event_type, md5(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS fingerprint, count(*) AS n FROM events GROUP BY ALL) SELECT * FROM t""")
+@query("""SELECT event_type, CAST(sum(CAST(('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':' || CAST(user_id AS VARCHAR)), 1, 15)) AS BIGINT)) AS VARCHAR) AS fingerprint, count(*) AS n FROM events GROUP BY event_type""")
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.concat_ws(",", F.transform(F.sort_array(F.collect_list("event_id")), lambda i: i.cast("string")))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.md5(ids).alias("fingerprint"), F.count("*").alias("n"))
+    """An order-free sum of row hashes, so that each task sends one row for each type."""
+    row = F.conv(F.substring(F.md5(F.concat_ws(":", "event_id", "user_id")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(row).cast("string").alias("fingerprint"), F.count("*").alias("n"))
 
 
 @query("""SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS distance, round(CAST(levenshtein(a.n_name, b.n_name) AS DOUBLE) / greatest(length(a.n_name), length(b.n_name)), 6) AS ratio

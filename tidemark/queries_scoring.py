@@ -124,10 +124,10 @@ def standings_and_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     homes = nations.filter("n_nationkey % 2 = 0 and n_nationkey < 24").select(F.col("n_nationkey").alias("home"), (F.col("n_nationkey") + 1).alias("away"))
     matchups = scores.select("year", "week").distinct().crossJoin(F.broadcast(homes))  # the fixed dimension of nations
     games = standings.head_to_head(scores, matchups, ["year", "week"], "team", "score")
-    league = standings.records(games, ["year", "team"], "score").join(nations.select(F.col("n_nationkey").alias("team"), "n_regionkey"), "team")
-    league = standings.draft_order_index(standings.seeded(league, ["year"], "n_regionkey", "team"), ["year"], "points_for", "wins")
+    standing = standings.records(games, ["year", "team"], "score").join(nations.select(F.col("n_nationkey").alias("team"), "n_regionkey"), "team")
+    standing = standings.draft_order_index(standings.seeded(standing, ["year"], "n_regionkey", "team"), ["year"], "points_for", "wins")
     money = {c: F.col(c).cast("double") for c in ("points_for", "points_against")}
-    return league.withColumns(money | {"deviation": F.round("deviation", 2), "draft_index": F.round("draft_index", 4)}).drop("n_regionkey", "high", "low")
+    return standing.withColumns(money | {"deviation": F.round("deviation", 2), "draft_index": F.round("draft_index", 4)}).drop("n_regionkey", "high", "low")
 
 
 @query("""WITH $LINES, """ + SEASONS + """, w AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY points DESC, o_custkey) AS r, count(*) OVER (PARTITION BY year) AS n FROM pts)
