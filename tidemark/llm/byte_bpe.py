@@ -31,9 +31,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MOST_PAIRS = 500_000
-MOST_STATES = 400_000
-MOST_PIECES = 700_000
+from tidemark.llm.arrays import give_back
+
+MOST_PAIRS = 250_000
+MOST_STATES = 200_000
+MOST_PIECES = 350_000
 LOOKAHEAD = 64
 NEVER = 1 << 60
 
@@ -204,6 +206,7 @@ class Codec:
         self._pieces.clear()
         self.transducer._rows.clear()
         self.transducer._pairs.clear()
+        give_back()
 
     def decode_bytes(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.anchors import known_ids
-from tidemark.llm.arrays import Texts, inside_documents, mix, texts_of, window_hashes
+from tidemark.llm.arrays import Texts, give_back, inside_documents, mix, texts_of, window_hashes
 from tidemark.llm.components import connected_components
 from tidemark.llm.storage import Workspace
 
@@ -167,6 +167,7 @@ def frequent_tokens(docs: DataFrame, width: int, share: float = 0.005, least: in
                 tokens, counts = np.unique(values, return_counts=True)
                 often = counts >= max(3, share * len(texts.ids))
                 yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["token", "n"])
+        give_back()
 
     totals = docs.mapInArrow(local, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     top = totals.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow()
@@ -215,6 +216,7 @@ class JaccardJoin:
                     keys = [a.tobytes() + b.tobytes() for a, b in zip(*identity)]
                     arrays = [pa.array(texts.ids), pa.array(n.astype(np.int64)), *(pa.array(x, pa.binary()) for x in (keys, prefixes, smalls, bits)), pa.array([sketch(b) for b in bits], pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "identity", "prefix", "small", "bits", "sketch"])
+            give_back()
 
         self.frequent = frequent
         return self.space.save(docs.mapInArrow(describe, "doc_id long, n long, identity binary, prefix binary, small binary, bits binary, sketch array<long>"), "described")

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tidemark.llm.arrays import give_back
 from tidemark.llm.storage import Workspace, shuffle_cleanup
 
 BLOCK = 512
@@ -63,6 +64,7 @@ class Vocabulary:
     def forget(self) -> None:
         """Empties what a task remembered; the worker process goes on to other work."""
         self._known.clear()
+        give_back()
 
     def look_up(self, words: dict[str, int]) -> np.ndarray:
         """Places of the words' terms, -1 for words that are no term."""
@@ -106,6 +108,10 @@ class BlockMaxIndex:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_ready": {}}
 
+    def forget(self) -> None:
+        """Drops the laid-out lists; they are made again where they are needed."""
+        self._ready = {}
+
     def neighbourly(self, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The place of each example in an order by the nearest of a few examples spread over all."""
         by_example = np.argsort(self.example, kind="stable")
@@ -391,6 +397,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshol
             kept = [float(np.interp(v, *steps)) < threshold for v, _ in votes] if scorer else [True] * batch.num_rows
             yield batch.filter(pa.array(kept, pa.bool_()))
         if scorer:
+            scorer.index.forget()
             shared.value.forget()
 
     return docs.mapInArrow(batches, docs.schema)
