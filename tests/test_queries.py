@@ -141,3 +141,36 @@ def test_drained_streams_are_files_in_the_shared_folder(spark, name):
 
     files = QUERIES[name](spark, SF).inputFiles()
     assert files and all(f"{shared_root(spark).removeprefix('file://')}/drained-" in f for f in files)
+
+
+def test_attach_refuses_what_it_has_no_rule_for(spark):
+    from tidemark.plans.attach import Attached, Source
+    from tidemark.plans.model import ViewRequest
+    from tidemark.plans.view import plan_view
+    from tidemark.queries_attach import sourced_catalog
+
+    catalog = sourced_catalog(spark, SF)
+    with pytest.raises(ValueError, match="cannot be attached"):
+        plan_view(catalog, ViewRequest((), grain="team", attached=(Attached("a", "account", "c_acctbal"),)))
+    with pytest.raises(ValueError, match="for one year"):
+        plan_view(catalog, ViewRequest((), attached=(Attached("a", "order_year", "placed"),)))
+    with pytest.raises(ValueError, match="unknown sources"):
+        plan_view(catalog, ViewRequest((), attached=(Attached("a", "nothing", "x"),)))
+    with pytest.raises(ValueError, match="names no column"):
+        Source("s", spark.range(1), "team_year", {"team": "id"})
+
+
+def test_requests_are_checked_before_planning(spark):
+    from tidemark.plans.model import ViewColumn, ViewRequest
+    from tidemark.plans.view import plan_view
+    from tidemark.sources.star import star_catalog
+
+    catalog = star_catalog(spark, SF)
+    revenue = (ViewColumn("revenue"),)
+    wrong = (
+        ViewRequest(revenue, grain="club"), ViewRequest(revenue, axes=("week",)), ViewRequest(revenue, axes=("year",)), ViewRequest((ViewColumn("x"),)),
+        ViewRequest((ViewColumn("revenue", Output("rate", "x")),)), ViewRequest(revenue, sort=(("x", True),)), ViewRequest(revenue, computed=(("revenue_0", "1"),)),
+    )
+    for request in wrong:
+        with pytest.raises(ValueError):
+            plan_view(catalog, request)

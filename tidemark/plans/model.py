@@ -10,9 +10,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+if TYPE_CHECKING:
+    from tidemark.plans.attach import Attached, Bridge, Source
+
 AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "count": F.count, "count_distinct": F.countDistinct}
 
 
@@ -134,12 +138,16 @@ class ViewColumn:
     career_games: tuple[int, int] | None = None
     #: Years of the facts of this column, whatever the row's year.
     pinned_years: tuple[int, ...] = ()
+    #: Comparisons that the column's own cell must pass; a cell that fails one is empty.
+    cell_having: tuple[tuple[str, float], ...] = ()
 
     def __post_init__(self):
         if self.offset_reduce not in ("pool", "avg", "min", "max", "latest"):
             raise ValueError(f"unknown reduction {self.offset_reduce!r}")
         if self.pinned_years and (self.output.kind != "total" or self.year_offset != (0, 0)):
             raise ValueError("a column with years of its own is a total without an offset")
+        if self.cell_having and self.output.kind != "total":
+            raise ValueError("only totals take comparisons of their own")
 
     @property
     def scope(self) -> tuple:
@@ -160,6 +168,10 @@ class ViewRequest:
     limit: int | None = 500
     #: Adds ``total_count``, the number of rows before the limit.
     with_count: bool = False
+    #: Columns of other sources, by ``tidemark.plans.attach``.
+    attached: tuple[Attached, ...] = ()
+    #: Names and SQL expressions over finished columns, each over those before it.
+    computed: tuple[tuple[str, str], ...] = ()
 
 
 @dataclass
@@ -174,8 +186,21 @@ class Catalog:
     subjects: dict[str, str]  # grain: subject column of the fact
     measures: dict[str, Measure] = field(default_factory=dict)
     units: dict[str, str] = field(default_factory=dict)
+    #: Units that lie within a game, by the expression that tells them apart there.
+    parts_of_game: dict[str, str] = field(default_factory=dict)
+    #: Units that a game lies in as a whole.
+    around_game: tuple[str, ...] = ()
+    #: The fact's date column, by which years are cut out in the scan.
+    dated: str | None = None
+    sources: dict[str, Source] = field(default_factory=dict)
+    bridges: dict[str, Bridge] = field(default_factory=dict)
 
     def register(self, measure: Measure) -> None:
         if measure.name in self.measures:
             raise ValueError(f"measure {measure.name!r} is registered already")
         self.measures[measure.name] = measure
+
+    def attachable(self, source: Source) -> None:
+        if source.name in self.sources:
+            raise ValueError(f"source {source.name!r} is registered already")
+        self.sources[source.name] = source

@@ -14,7 +14,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.plans.model import Catalog, Filter, Output, ViewColumn, ViewRequest, filtered
+from tidemark.plans.attach import attach
+from tidemark.plans.model import Catalog, Filter, ViewColumn, ViewRequest, filtered
 
 COMPARE = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt, "=": operator.eq, "<>": operator.ne}
 
@@ -33,9 +34,19 @@ def _scoped(catalog: Catalog, request: ViewRequest, filters: tuple[Filter, ...],
     facts = filtered(catalog.fact, filters)
     if request.years:
         facts = facts.filter(F.col("year").between(min(request.years) - spread, max(request.years) + spread)) if spread else facts.filter(F.col("year").isin(list(request.years)))
+        facts = _dated(catalog, facts, min(request.years) - spread, max(request.years) + spread)
     return facts
 
 
+def _dated(catalog: Catalog, facts: DataFrame, first: int, last: int) -> DataFrame:
+    """Facts from one year to another, by a range of dates that the scan itself can use."""
+    if catalog.dated is None:
+        return facts
+    kind = facts.schema[catalog.dated].dataType
+    day = lambda year: F.lit(f"{year}-01-01").cast(kind)
+    return facts.filter((F.col(catalog.dated) >= day(first)) & (F.col(catalog.dated) < day(last + 1)))
+
+
 def _spine(catalog: Catalog, request: ViewRequest) -> DataFrame:
     table, key, attributes = catalog.dimensions[request.grain]
     spine = filtered(table, request.where).select(F.col(key).alias("subject"), *attributes)
@@ -96,11 +107,11 @@ def _total_batches(catalog: Catalog, request: ViewRequest) -> list[tuple[DataFra
     groups: dict[tuple, list[tuple[str, ViewColumn]]] = {}
     for name, column in zip(output_names(request), request.columns):
         if column.output.kind in ("total", "rate"):
-            groups.setdefault(column.scope, []).append((name, column))
+            groups.setdefault((*column.scope, column.cell_having), []).append((name, column))
     out = []
-    for (filters, offset, _, years, games, pinned), members in groups.items():
+    for (filters, offset, _, years, games, pinned, bounds), members in groups.items():
         needed = {a.name: a for _, c in members for a in catalog.measures[c.measure].accumulators()}
-        scoped = filtered(catalog.fact.filter(F.col("year").isin(list(pinned))), filters) if pinned else _scoped(catalog, request, filters, max(map(abs, offset)))
+        scoped = filtered(_dated(catalog, catalog.fact.filter(F.col("year").isin(list(pinned))), min(pinned), max(pinned)), filters) if pinned else _scoped(catalog, request, filters, max(map(abs, offset)))
         facts = _career(catalog, request, years, games, _with_subject(catalog, request, scoped))
         # One pinned year repeats on each of the subject's rows; several follow the row's year.
         keys = [k for k in _keys(request) if k != "year"] if len(pinned) == 1 else _keys(request)
@@ -109,6 +120,10 @@ def _total_batches(catalog: Catalog, request: ViewRequest) -> list[tuple[DataFra
             out.append((batch, {name: catalog.measures[c.measure].combine() for name, c in members}, keys))
         else:
             out.append((*_offset_batch(catalog, request, facts, members, needed), keys))
+        if bounds:
+            batch, cells, own = out.pop()
+            passing = all_of(*[COMPARE[op](cell, F.lit(bound)) for cell in cells.values() for op, bound in bounds])
+            out.append((batch.filter(passing), cells, own))
     return out
 
 
@@ -117,7 +132,16 @@ def _rate_denominators(catalog: Catalog, request: ViewRequest) -> DataFrame | No
     if not units:
         return None
     facts = _with_subject(catalog, request, _scoped(catalog, request, ()))
-    return facts.groupBy(*_keys(request)).agg(*[F.countDistinct(F.expr(catalog.units[u])).alias(f"per_{u}") for u in units])
+    by_game = {"game", *catalog.parts_of_game, *catalog.around_game}
+    if not set(units) <= by_game:
+        return facts.groupBy(*_keys(request)).agg(*[F.countDistinct(F.expr(catalog.units[u])).alias(f"per_{u}") for u in units])
+    # One row for each game first, with the few parts that it has: several distinct counts over the facts would
+    # multiply every fact.
+    counted = {u: F.size(F.collect_set(F.struct(F.expr(e)))).alias(u) for u, e in catalog.parts_of_game.items() if u in units}
+    around = {u: F.any_value(F.expr(catalog.units[u])).alias(u) for u in catalog.around_game if u in units}
+    games = facts.groupBy(*_keys(request), F.expr(catalog.units["game"]).alias("_game")).agg(F.max(F.expr(catalog.units["game"]).isNotNull().cast("int")).alias("game"), *counted.values(), *around.values())
+    totals = [F.countDistinct(u) if u in around else F.sum(u) for u in units]
+    return games.groupBy(*_keys(request)).agg(*[t.alias(f"per_{u}") for u, t in zip(units, totals)])
 
 
 def _period_batches(catalog: Catalog, request: ViewRequest) -> list[tuple[DataFrame, list[str]]]:
@@ -143,7 +167,31 @@ def _period_batches(catalog: Catalog, request: ViewRequest) -> list[tuple[DataFr
     return out
 
 
+def check_request(catalog: Catalog, request: ViewRequest) -> None:
+    """Says what a request names that the catalog does not know, before anything is planned."""
+    if request.grain not in catalog.dimensions:
+        raise ValueError(f"unknown grain {request.grain!r}; there are {sorted(catalog.dimensions)}")
+    if request.axes not in ((), ("year",), ("year", "week")):
+        raise ValueError(f"axes are year, or year and week, not {request.axes}")
+    if request.axes and not request.years:
+        raise ValueError("a view by year names its years")
+    for column in request.columns:
+        if column.measure not in catalog.measures:
+            raise ValueError(f"unknown measure {column.measure!r}; there are {sorted(catalog.measures)}")
+        if column.output.unit is not None and column.output.unit not in catalog.units:
+            raise ValueError(f"unknown unit {column.output.unit!r}; there are {sorted(catalog.units)}")
+    named = [*output_names(request), *[c.name for c in request.attached], *[n for n, _ in request.computed]]
+    fixed = [*_keys(request), *catalog.dimensions[request.grain][2]]
+    twice = sorted({n for n in [*named, *fixed] if [*named, *fixed].count(n) > 1})
+    if twice:
+        raise ValueError(f"columns named more than once: {twice}")
+    unknown = [c for c, _ in request.sort if c not in named + fixed]
+    if unknown:
+        raise ValueError(f"cannot sort by {unknown}: no such columns")
+
+
 def plan_view(catalog: Catalog, request: ViewRequest) -> DataFrame:
+    check_request(catalog, request)
     keys, names = _keys(request), output_names(request)
     view = _spine(catalog, request)
     for batch, cells, own in _total_batches(catalog, request):
@@ -156,9 +204,14 @@ def plan_view(catalog: Catalog, request: ViewRequest) -> DataFrame:
                 view = view.withColumn(name, F.round(F.try_divide(F.col(name), F.nullif(F.col(f"per_{column.output.unit}"), F.lit(0))), 4))
     for batch, _ in _period_batches(catalog, request):
         view = view.join(batch, keys, "left")
+    if request.attached:
+        leading = request.sort[0][0] if request.sort else None
+        view = attach(view, "_".join([request.grain, *request.axes]), request.axes, catalog.sources, catalog.bridges, request.attached, leading)
+    for name, expression in request.computed:
+        view = view.withColumn(name, F.expr(expression))
     view = filtered(view, request.having)
     attributes = catalog.dimensions[request.grain][2]
-    view = view.select(*keys, *attributes, *names)
+    view = view.select(*keys, *attributes, *names, *[c.name for c in request.attached], *[n for n, _ in request.computed])
     if request.with_count:
         # The number of rows is one aggregation beside the view; a window over all rows would put them in one task.
         view = view.crossJoin(F.broadcast(view.agg(F.count("*").alias("total_count"))))
@@ -179,7 +232,3 @@ def option_counts(catalog: Catalog, filters: tuple[Filter, ...], options: dict[s
     counts = [F.count(F.when(all_of(*[f.apply() for f in preset]), 1)).alias(name) for name, preset in options.items()]
     wide = facts.agg(*counts)
     return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("option"), F.col(n).alias("n")) for n in options])).alias("o")).select("o.*")
-
-
-def total_output(kind: str, unit: str | None = None, threshold: tuple[str, float] | None = None) -> Output:
-    return Output(kind, unit, threshold)

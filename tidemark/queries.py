@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark import queries_columns, queries_history, queries_more, queries_plays, queries_scoring  # noqa: F401  (registers their queries)
+from tidemark import queries_attach, queries_columns, queries_history, queries_more, queries_plays, queries_scoring  # noqa: F401  (registers their queries)
 from tidemark.functions import scalar
 from tidemark.operators import joins
 from tidemark.plans.model import Filter, Output, ViewColumn, ViewRequest

@@ -31,6 +31,9 @@ def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         dimensions={"player": (customers, "c_custkey", ("c_name", "c_mktsegment")), "team": (nations, "n_nationkey", ("n_name", "r_name"))},
         subjects={"player": "o_custkey", "team": "c_nationkey"},
         units={"game": "o_orderkey", "season": "year", "series": "struct(o_orderkey, l_suppkey)", "drive": "struct(o_orderkey, l_returnflag)"},
+        parts_of_game={"series": "l_suppkey", "drive": "l_returnflag"},
+        around_game=("season",),
+        dated="o_orderdate",
     )
     gross = Accumulator("gross", "sum", "l_extendedprice")
     catalog.register(Measure("revenue", gross))
