@@ -199,6 +199,24 @@ def test_byte_bpe(docs, none):
     assert "".join(byte_bpe.decode_stream(codec, (ids[i : i + 4] for i in range(0, len(ids), 4)))) == "né ☃ 你好"
 
 
+def test_secret_base_spans_against_plain_patterns(spark, docs, none):
+    ignoring = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    rules = ((ignoring, 2, 6), (re.compile("AKIA[A-Z0-9]+"), 0, 20), (re.compile("[0-9a-f]+"), 0, 24))
+
+    def plain(text: str) -> tuple:
+        found = [(m.start(), at, m.end()) for at, (pattern, group, least) in enumerate(rules) for m in pattern.finditer(text) if len(m.group(group)) >= least]
+        spans = ",".join(f"{secrets.KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(found))
+        return *(sum(f[1] == kind for f in found) for kind in range(3)), sha(spans.encode())
+
+    parts = ["password", "PassWd", "secret", "ToKen", "to\u212aen", "\u017fecret", "api_key", "APIKEY", "=", ":", " ", "  ", "\n", "'", '"', "abcde", "abcdef", "x.y/z+1=", "\u00e9", "AKIA", "AKIA" + "Q" * 15, "AKIA" + "7" * 17, "0a" * 11, "0f" * 12, "akia", "ghp_", "deadbeef"]
+    rng = np.random.default_rng(5)
+    mixed = ["".join(rng.choice(parts, int(rng.integers(1, 14)))) for _ in range(1500)]
+    rows = [(i, t) for i, t in enumerate(mixed)] + [(None, "token=abcdefgh"), (7, None), (7, ""), (0, mixed[0]), (9000, "secret" * 40_000 + "=" + "a1" * 40_000)]
+    got = Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter((i, *plain(t or "")) for i, t in rows)
+    assert secrets.scan_secrets(none).count() == 0
+
+
 def test_secrets(spark):
     body = "A" * 30
     good = f"ghp_{body}{secrets.base62(zlib.crc32(body.encode()))}"
@@ -310,6 +328,26 @@ def test_neighbours(spark):
     assert ann.nearest_neighbours(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_through_a_forest(spark):
+    rng = np.random.default_rng(2)
+    plane = rng.standard_normal((6, 24))
+    points = (rng.standard_normal((3000, 6)) @ plane).astype(np.float32)
+    points[100:160] = points[100]  # a large group of equal vectors
+    rows = [(i, p.tolist()) for i, p in enumerate(points)] + [(3001, [1.0] * 5)]
+    rows.append(rows[50])
+    found = ann.nearest_neighbours(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=50, leaf_rows=64, exact_rows=500, query_block=16).collect()
+    stored, hits = points.astype(float), 0
+    assert {r["query_id"] for r in found} == set(range(0, 3000, 50))
+    for q in range(0, 3000, 50):
+        own = sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])
+        distances = np.sqrt(np.square(stored - stored[q]).sum(1))
+        assert [r["rank"] for r in own] == list(range(1, 11)) and q not in {r["vec_id"] for r in own}
+        assert [(r["score"], r["vec_id"]) for r in own] == sorted((float(distances[r["vec_id"]]), r["vec_id"]) for r in own)
+        wanted = [i for _, i in sorted((d, i) for i, d in enumerate(distances) if i != q)[:10]]
+        hits += len(set(wanted) & {r["vec_id"] for r in own})
+    assert hits >= 0.9 * 600
+
+
 def test_toxicity_index_is_exact(monkeypatch):
     """Several blocks of examples, matrix rows beside inverted lists, and examples left out."""
     for name, value in (("BLOCK", 32), ("DENSE", 8), ("SEEDS", 5)):
