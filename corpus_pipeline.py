@@ -36,7 +36,7 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets replaced by their kinds; n_chars follows the text. A null text becomes an empty one."""
+    """Secrets replaced by their kinds; n_chars follows the text. A null text stays null, and so does its n_chars."""
     return secrets.redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
