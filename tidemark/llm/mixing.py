@@ -135,7 +135,9 @@ def mix_documents(
     taken = placed_sizes(space, docs, quality, weights, most, seed, bucket_rows).groupBy(*keys)
     # Rows alike in all keys stand side by side in the order, so their copies differ at one place at most.
     taken = space.save(taken.agg(F.min("copies").alias("copies"), (F.sum("copies") - F.min("copies") * F.count("*")).alias("more")).filter("copies + more > 0"), "taken")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), identity(seed).alias("identity"), source_key().alias("source_key"), word_count("text").alias("size")).join(taken, keys)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), identity(seed).alias("identity"), source_key().alias("source_key"), word_count("text").alias("size"))
+    # A row for each document: never broadcast, so that small inputs take the way of large ones.
+    rows = rows.join(taken.hint("merge"), keys)
     alike = Window.partitionBy(*keys).orderBy(F.xxhash64("row.text", "row.doc_id"))
     edge = rows.filter("more > 0").withColumn("copies", F.col("copies") + (F.row_number().over(alike) <= F.col("more")).cast("long"))
     counted = rows.filter("more = 0").select("row", "copies").unionByName(edge.select("row", "copies")).filter("copies > 0")
