@@ -32,7 +32,8 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     classes = jaccard_join.near_duplicate_classes(spark, docs)
     others = classes.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    few = others.count() <= jaccard_join.MOST_BROADCAST
+    return docs.join(F.broadcast(others) if few else others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
