@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import ann, byte_bpe, jaccard_join, mixing, quality_outliers, secrets, substring_dedup, suffix_dedup, toxicity, warc
+from tidemark.llm import (
+    ann, byte_bpe, conversation_repair, fill_in_middle, jaccard_join, mixing, quality_outliers, secrets, simhash_dedup, substring_dedup, suffix_dedup, toxicity, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +62,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("distance2", F.round("distance2", 6))
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(spark, table(spark, sf_dir, "conversations"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scans": op2_secret_scans,
@@ -71,6 +85,9 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op11_simhash_dedup": op11_simhash_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -118,4 +135,26 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = response_id THEN NULL ELSE response_id END AS refers_to
         FROM bits
     """,
+    "op13_fill_in_middle": """
+        WITH d AS (
+          SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+        ), g AS (
+          SELECT doc_id, text, n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b,
+                 CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS c, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS e
+          FROM d
+        ), f AS (
+          SELECT doc_id, text, n, least(a, b) AS low, greatest(a, b) AS high,
+                 CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 90 THEN 'plain'
+                      WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form
+          FROM g
+        ), p AS (
+          SELECT *, substring(text, 1, low) AS prefix, substring(text, low + 1, high - low) AS middle, substring(text, high + 1) AS suffix FROM f
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(low AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(high - low AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
 }
