@@ -4,23 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.storage import Workspace
+from tidemark.operators.ordered import scan
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, observed: str, values: list[str], within: str | None = None) -> DataFrame:
     """Each left row with the latest right row of its keys observed at or before ``at``.
 
-    Both sides meet in one shuffle: rows of the two sides are merged in time order within a key,
-    and the last right row seen is carried forward. No pair of rows is built. ``within`` is an
-    interval that the observation must be younger than. Of observations at one time the largest
-    ``values`` count.
+    Rows of the two sides are merged in time order within a key and dealt by ranges of it, so a key
+    with many rows lies in many tasks; the last right row seen is carried forward, from one range
+    into the next ones too. No pair of rows is built. ``within`` is an interval that the
+    observation must be younger than. Of observations at one time the largest ``values`` count.
     """
     carried = F.struct(F.col(observed).alias("observed"), *[F.col(v) for v in values])
     a = left.withColumns({"_at": F.col(at), "_side": F.lit(1), "_seen": F.lit(None).cast(right.select(carried.alias("s")).schema["s"].dataType)})
     b = right.select(*keys, F.col(observed).alias("_at"), F.lit(0).alias("_side"), carried.alias("_seen"))
     merged = a.unionByName(b, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("_at", "_side", F.col("_seen").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    found = merged.withColumn("_last", F.last("_seen", ignorenulls=True).over(order)).filter("_side = 1")
+    found = scan(merged, keys, ["_at", "_side", "_seen"], lasts={"_last": F.col("_seen")}).filter("_side = 1")
     last = F.col("_last")
     if within:
         last = F.when(F.col("_last.observed") > F.col("_at") - F.expr(f"interval {within}"), F.col("_last"))
@@ -59,32 +58,3 @@ def role_union(df: DataFrame, roles: dict[str, str], kept: list[str]) -> DataFra
     """A row for each role column of a fact, in one pass over it."""
     credits = F.array(*[F.struct(F.lit(role).alias("role"), F.col(column).cast("long").alias("subject")) for role, column in roles.items()])
     return df.select(*kept, F.explode(credits).alias("_c")).select(*kept, "_c.*").filter("subject is not null")
-
-
-def descendants(edges: DataFrame, depth: int) -> DataFrame:
-    """(root, node, depth, weight): everything reached from each source of ``edges``
-    (source, target, share) within ``depth`` steps; a path weighs the product of its shares."""
-    paths = edges.select(F.col("source").alias("root"), F.col("target").alias("node"), F.lit(1).alias("depth"), F.col("share").cast("double").alias("weight"))
-    found = paths
-    for step in range(2, depth + 1):
-        reach = paths.join(edges, paths["node"] == edges["source"])
-        paths = reach.select("root", F.col("target").alias("node"), F.lit(step).alias("depth"), (F.col("weight") * F.col("share")).alias("weight"))
-        found = found.unionByName(paths)
-    return found
-
-
-def walk(nodes: DataFrame, edges: DataFrame, depth: int = 20) -> DataFrame:
-    """(root, node, depth, weight): every path from each of ``nodes`` (node) along ``edges`` (source,
-    target, share), beginning with the node itself at depth 0 and weight 1. Each step joins only the
-    last step's rows, which are written to the shared folder; it ends when there are none."""
-    space = Workspace(nodes.sparkSession, "walk")
-    edges = space.save(edges.filter("target is not null"), "edges")
-    paths = space.save(nodes.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.lit(1.0).alias("weight")), "step0")
-    found = paths
-    for step in range(1, depth + 1):
-        reach = paths.join(edges, paths["node"] == edges["source"])
-        paths = space.save(reach.select("root", F.col("target").alias("node"), F.lit(step).alias("depth"), (F.col("weight") * F.col("share").cast("double")).alias("weight")), f"step{step}")
-        if paths.isEmpty():
-            break
-        found = found.unionByName(paths)
-    return found

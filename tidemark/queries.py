@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark import queries_attach, queries_columns, queries_history, queries_more, queries_plays, queries_scoring, queries_signals  # noqa: F401  (registers their queries)
+from tidemark import queries_attach, queries_columns, queries_history, queries_lineage, queries_more, queries_plays, queries_scoring, queries_signals  # noqa: F401  (registers their queries)
 from tidemark.functions import scalar
-from tidemark.operators import joins
+from tidemark.operators import joins, lineage, ordered
 from tidemark.plans.model import Filter, Output, ViewColumn, ViewRequest
 from tidemark.plans.view import option_counts, plan_view
 from tidemark.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  (the first two are read from here)
 from tidemark.sources.star import order_lines, star_catalog, table
+from tidemark.storage import Workspace
 from tidemark.streaming import windows
 
 
@@ -113,15 +114,16 @@ SELECT year, o_custkey, c_mktsegment, CAST(points AS DOUBLE) AS points, rank() O
 def season_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = order_lines(spark, sf_dir).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     points = lines.groupBy("year", "o_custkey", "c_mktsegment").agg(F.sum("l_extendedprice").alias("points"))
-    rank = lambda *keys: F.rank().over(Window.partitionBy(*keys).orderBy(F.desc("points"))).cast("long")
-    return points.select("year", "o_custkey", "c_mktsegment", F.col("points").cast("double").alias("points"), rank("year").alias("overall_rank"), rank("year", "c_mktsegment").alias("position_rank"))
+    points = Workspace(spark, "season_ranks").save(points, "points")
+    ranked = ordered.competition_ranks(ordered.competition_ranks(points, ["year"], "points", "overall_rank"), ["year", "c_mktsegment"], "points", "position_rank")
+    return ranked.withColumn("points", F.col("points").cast("double"))
 
 
 @query("""WITH $LINES, s AS (SELECT o_custkey, year, sum(price) AS p FROM lines GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY year) AS season, rank() OVER (PARTITION BY year ORDER BY p DESC) AS rk FROM s)
 SELECT o_custkey, CAST(sum(p) AS DOUBLE) AS total, CAST(max(p) AS DOUBLE) AS best, CAST(sum(p) FILTER (WHERE season <= 3) AS DOUBLE) AS first_three, CAST(max(p) FILTER (WHERE season = 2) AS DOUBLE) AS second, count(*) FILTER (WHERE rk <= 12) AS top_twelve FROM r GROUP BY ALL""")
 def career_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     seasons = order_lines(spark, sf_dir).groupBy("o_custkey", "year").agg(F.sum("l_extendedprice").alias("p"))
-    ranked = seasons.withColumns({"season": F.row_number().over(Window.partitionBy("o_custkey").orderBy("year")), "rk": F.rank().over(Window.partitionBy("year").orderBy(F.desc("p")))})
+    ranked = ordered.competition_ranks(Workspace(spark, "career_log").save(seasons, "seasons"), ["year"], "p", "rk").withColumn("season", F.row_number().over(Window.partitionBy("o_custkey").orderBy("year")))
     cell = lambda c: c.cast("double")
     return ranked.groupBy("o_custkey").agg(
         cell(F.sum("p")).alias("total"), cell(F.max("p")).alias("best"), cell(F.sum(F.when(F.col("season") <= 3, F.col("p")))).alias("first_three"),
@@ -166,11 +168,13 @@ def latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS sd, round(stddev_pop(v), 4) AS sd_pop, round(least(stddev_samp(v) / nullif(avg(v), 0), 9.9999), 4) AS cv, min(v) AS low, max(v) AS high FROM v GROUP BY ALL""")
 def percentiles_and_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("p_retailprice")
-    disc = lambda q: F.expr(f"percentile_disc({q}) within group (order by p_retailprice)")
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(
-        disc(0.25).alias("p25"), disc(0.5).alias("p50"), disc(0.9).alias("p90"), F.round(F.percentile(v, 0.5), 4).alias("median"), F.round(F.avg(v), 4).alias("mean"),
-        F.round(F.stddev_samp(v), 4).alias("sd"), F.round(F.stddev_pop(v), 4).alias("sd_pop"), F.round(F.least(F.try_divide(F.stddev_samp(v), F.avg(v)), F.lit(9.9999)), 4).alias("cv"), F.min(v).alias("low"), F.max(v).alias("high"),
+    parts = table(spark, sf_dir, "part")
+    moments = parts.groupBy("p_brand").agg(
+        F.round(F.avg(v), 4).alias("mean"), F.round(F.stddev_samp(v), 4).alias("sd"), F.round(F.stddev_pop(v), 4).alias("sd_pop"),
+        F.round(F.least(F.try_divide(F.stddev_samp(v), F.avg(v)), F.lit(9.9999)), 4).alias("cv"), F.min(v).alias("low"), F.max(v).alias("high"),
     )
+    points = ordered.quantiles(parts, ["p_brand"], "p_retailprice", {"p25": (0.25, "disc"), "p50": (0.5, "disc"), "p90": (0.9, "disc"), "median": (0.5, "cont")})
+    return ordered.join_by(moments, points.withColumn("median", F.round("median", 4)), ["p_brand"], "left")
 
 
 @query("""SELECT l_returnflag, count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS r, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY ALL""")
@@ -228,21 +232,13 @@ def market_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS source, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS target, 0.5 AS share FROM orders), p AS (
-SELECT source AS root, target AS node, 1 AS depth, CAST(share AS DOUBLE) AS weight FROM e WHERE target IS NOT NULL UNION ALL SELECT root, e.target, depth + 1, weight * share FROM p JOIN e ON node = source WHERE e.target IS NOT NULL AND depth < 4) SELECT root, node, depth, weight FROM p""")
-def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    edges = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source"), F.lead("o_orderkey").over(order).alias("target"), F.lit(0.5).alias("share")).filter("target is not null")
-    return joins.descendants(edges, 4)
-
-
 @query("""WITH RECURSIVE e AS (SELECT o_orderkey AS source, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS target, 0.5 AS share FROM orders), p AS (
 SELECT o_orderkey AS root, o_orderkey AS node, 0 AS depth, CAST(1 AS DOUBLE) AS weight FROM orders UNION ALL SELECT root, e.target, depth + 1, weight * share FROM p JOIN e ON node = source WHERE e.target IS NOT NULL AND depth < 20) SELECT root, node, depth, weight FROM p""")
 def lineage_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     orders = table(spark, sf_dir, "orders")
     edges = orders.select(F.col("o_orderkey").alias("source"), F.lead("o_orderkey").over(order).alias("target"), F.lit(0.5).alias("share"))
-    return joins.walk(orders.select(F.col("o_orderkey").alias("node")), edges)
+    return lineage.closure(orders.select(F.col("o_orderkey").alias("node")), edges)
 
 
 @query("""WITH $LINES, b AS (SELECT l_returnflag, l_linestatus, year, week, price, qty, o_orderkey FROM lines WHERE qty BETWEEN 10 AND 40)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.operators import joins
+from tidemark.operators import joins, ordered
 from tidemark.plans.model import Filter
 from tidemark.plans.plays import PlaysRequest, plan_plays
 from tidemark.registry import query
@@ -67,12 +67,19 @@ def selection_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def class_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     firsts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("first"))
     placed = firsts.withColumn("class", F.year("first.o_orderdate").cast("long"))
-    return placed.select("o_custkey", "class", F.row_number().over(Window.partitionBy("class").orderBy("first", "o_custkey")).cast("long").alias("class_rank"))
+    return ordered.row_numbers(placed, ["class"], ["first", "o_custkey"], "class_rank").select("o_custkey", "class", "class_rank")
 
 
-@query("""WITH v AS (SELECT p_brand, p_retailprice AS v FROM part WHERE p_size >= 5) SELECT p_brand, unnest(['p25', 'p75', 'p95', 'p25_reversed']) AS name, unnest([quantile_disc(v, 0.25), quantile_disc(v, 0.75), quantile_disc(v, 0.95), -quantile_disc(-v, 0.25)]) AS value FROM v GROUP BY p_brand""")
+#: The points of a percentile vector, as parts of all rows; least and greatest are the ends.
+POINTS = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p98": 0.98, "p99": 0.99, "min": 0.0, "max": 1.0}
+
+
+@query("""WITH v AS (SELECT p_brand, p_retailprice AS v FROM part WHERE p_size >= 5), q AS (SELECT p_brand, unnest([25, 50, 75, 90, 95, 98, 99, 0, 100]) AS p,
+unnest([quantile_disc(v, 0.25), quantile_disc(v, 0.5), quantile_disc(v, 0.75), quantile_disc(v, 0.9), quantile_disc(v, 0.95), quantile_disc(v, 0.98), quantile_disc(v, 0.99), min(v), max(v)]) AS value,
+unnest([quantile_disc(v, 0.75), quantile_disc(v, 0.5), quantile_disc(v, 0.25), quantile_disc(v, 0.1), quantile_disc(v, 0.05), quantile_disc(v, 0.02), quantile_disc(v, 0.01), max(v), min(v)]) AS reversed FROM v GROUP BY p_brand)
+SELECT p_brand, CASE p WHEN 0 THEN 'min' WHEN 100 THEN 'max' ELSE 'p' || p END AS name, value FROM q UNION ALL SELECT p_brand, CASE p WHEN 0 THEN 'min' WHEN 100 THEN 'max' ELSE 'p' || p END || '_reversed', reversed FROM q""")
 def percentile_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    disc = lambda q, c="p_retailprice": F.expr(f"percentile_disc({q}) within group (order by {c})")
-    rows = {"p25": disc(0.25), "p75": disc(0.75), "p95": disc(0.95), "p25_reversed": -disc(0.25, "-p_retailprice")}
-    wide = table(spark, sf_dir, "part").filter("p_size >= 5").groupBy("p_brand").agg(*[c.alias(n) for n, c in rows.items()])
-    return wide.unpivot("p_brand", list(rows), "name", "value")
+    """Of rows that qualify, the nine points of a statistic, and those of one where less is better."""
+    qualified = table(spark, sf_dir, "part").filter("p_size >= 5")
+    points = {n: (q, "disc") for n, q in POINTS.items()} | {f"{n}_reversed": (round(1 - q, 2), "disc") for n, q in POINTS.items()}
+    return ordered.quantiles(qualified, ["p_brand"], "p_retailprice", points).unpivot("p_brand", list(points), "name", "value")

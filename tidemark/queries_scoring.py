@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions import scalar
-from tidemark.operators import scoring, standings, valuation
+from tidemark.operators import ordered, scoring, standings, valuation
 from tidemark.registry import query
 from tidemark.sources.star import order_lines, table
+from tidemark.storage import Workspace
 
 #: Seasons of customers, in SQL and below: points of a year with their position.
 SEASONS = """pts AS (SELECT year, o_custkey, c_mktsegment, sum(price) AS points FROM lines JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
@@ -133,8 +134,9 @@ def standings_and_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH $LINES, """ + SEASONS + """, w AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY points DESC, o_custkey) AS r, count(*) OVER (PARTITION BY year) AS n FROM pts)
 SELECT year, o_custkey, CAST((r - 1) * 5 // n AS INTEGER) AS band FROM w""")
 def rank_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = Window.partitionBy("year")
-    placed = seasons(spark, sf_dir).withColumns({"r": F.row_number().over(own.orderBy(F.desc("points"), "o_custkey")), "n": F.count("*").over(own)})
+    pool = Workspace(spark, "rank_bands").save(seasons(spark, sf_dir).withColumn("falling", -F.col("points")), "seasons")
+    placed = ordered.row_numbers(pool, ["year"], ["falling", "o_custkey"], "r")
+    placed = placed.join(F.broadcast(pool.groupBy("year").agg(F.count("*").alias("n"))), "year")  # a row for each year
     return placed.select("year", "o_custkey", scalar.rank_band(F.col("r"), F.col("n"), 5).alias("band"))
 
 
@@ -142,8 +144,9 @@ def rank_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_custkey, CAST(sum(p - b) FILTER (WHERE p > b AND week >= 20) AS DOUBLE) AS rest_positive, CAST(sum(p - b) FILTER (WHERE week >= 20) AS DOUBLE) AS rest_net FROM w JOIN a USING (week) GROUP BY ALL""")
 def rest_of_season(spark: SparkSession, sf_dir: str) -> DataFrame:
     weeks = order_lines(spark, sf_dir).filter("year = 1996").groupBy("week", "o_custkey").agg(F.sum("l_extendedprice").alias("p"))
-    middle = F.expr("percentile_disc(0.5) within group (order by p)").cast("decimal(18,2)")
-    added = weeks.join(weeks.groupBy("week").agg(middle.alias("b")), "week").withColumn("added", F.col("p") - F.col("b"))
+    weeks = Workspace(spark, "rest_of_season").save(weeks, "weeks")
+    middle = ordered.quantiles(weeks, ["week"], "p", {"b": (0.5, "disc")})
+    added = weeks.join(F.broadcast(middle), "week").withColumn("added", F.col("p") - F.col("b"))
     later = F.col("week") >= 20
     return added.groupBy("o_custkey").agg(F.sum(F.when(later & (F.col("added") > 0), F.col("added"))).cast("double").alias("rest_positive"), F.sum(F.when(later, F.col("added"))).cast("double").alias("rest_net"))
 
