@@ -4,12 +4,12 @@ A bounded sample of labelled rows (``sample_rows``, drawn by a hash of the id) g
 Their whole vocabulary enters the vectors: every word of an example without the punctuation around
 it, known by a 64-bit hash. Inverse document frequencies are counted over all documents; terms whose
 document frequency differs between the labels (chi-squared of at least ``least_chi2`` and shares at
-least ``least_ratio`` apart; at most ``most_terms`` of them) weigh ``TELLING`` times as much, since
+least ``least_ratio`` apart) weigh ``TELLING`` times as much, since
 without that weight the subject of a text drowns its tone. Equal texts of one label are one example,
 under their smallest id. The search (``BlockMaxIndex``) is exact. Neighbours vote with weights that
-fall with distance; the votes of the sample itself calibrate the score by isotonic regression. A row
-that is an example never votes for itself, neither there nor when it is scored. A row's evidence is
-the ids of its nearest examples.
+fall with distance; the votes of the sample itself, each example without its own, calibrate the
+score by isotonic regression. Rows are scored by their text alone, against all examples: equal texts
+have equal scores, whatever their ids. A row's evidence is the ids of its nearest examples.
 
 Edge cases: a null or empty text, or one that shares no term with any example, has no neighbours and
 gets the calibrated score of such texts. Labels that are null are left out; of several labels for
@@ -210,10 +210,11 @@ class Scorer:
         self.prior = sum(labels) / max(1, len(labels))
         self.place = {own: i for i, own in enumerate(ids)}
 
-    def votes(self, vocabulary: Vocabulary, texts: list[str], without: list[int | None]) -> list[tuple[float, list[int]]]:
+    def votes(self, vocabulary: Vocabulary, texts: list[str], without: list[int | None] | None = None) -> list[tuple[float, list[int]]]:
         """Distance-weighted share of toxic neighbours for each text, drawn to the prior by one distant
-        vote, and the neighbours; -1 for a text without neighbours. Equal texts are searched once."""
-        keys = [(text, self.place.get(own, -1)) for text, own in zip(texts, without)]
+        vote, and the neighbours; -1 for a text without neighbours. Equal texts are searched once.
+        ``without`` names examples that do not vote, one for each text."""
+        keys = [(text, self.place.get(own, -1)) for text, own in zip(texts, without or [None] * len(texts))]
         found: dict[tuple, tuple[float, list[int]]] = {}
         distinct = list(dict.fromkeys(keys))
         vectors = [weigh(vocabulary.counts(text), self.index.idf) for text, _ in distinct]
@@ -224,12 +225,13 @@ class Scorer:
         return [found[key] for key in keys]
 
 
-def batch_votes(scorer: Scorer, vocabulary: Vocabulary, batch: pa.RecordBatch) -> list[tuple[float, list[int]]]:
-    """The votes of a batch, a slice at a time, so that few texts and vectors are held at once."""
+def batch_votes(scorer: Scorer, vocabulary: Vocabulary, batch: pa.RecordBatch, examples: bool = False) -> list[tuple[float, list[int]]]:
+    """The votes of a batch, a slice at a time, so that few texts and vectors are held at once.
+    ``examples`` do not vote for themselves."""
     out = []
     for low in range(0, batch.num_rows, SLICE):
         part = batch.slice(low, SLICE)
-        out += scorer.votes(vocabulary, [t.as_py() or "" for t in part.column("text")], part.column("doc_id").to_pylist())
+        out += scorer.votes(vocabulary, [t.as_py() or "" for t in part.column("text")], part.column("doc_id").to_pylist() if examples else None)
     return out
 
 
@@ -269,7 +271,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = 5_000, most_terms: int = 50_000, least_chi2: float = 20.0, least_df: int = 3, least_ratio: float = 4.0, k: int = 15
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: int = 5_000, least_chi2: float = 20.0, least_df: int = 3, least_ratio: float = 4.0, k: int = 15
 ) -> tuple[Broadcast, Broadcast, tuple[np.ndarray, np.ndarray]] | None:
     """The broadcast vocabulary and scorer from a bounded sample of ``labels`` (doc_id, label), and the
     steps from votes to scores; None without both labels."""
@@ -307,7 +309,6 @@ def fit(
     chi2 = (n_a + n_b) * (a * (n_b - b) - b * (n_a - a)) ** 2 / (n_a * n_b * (a + b) * np.maximum(n_a + n_b - a - b, 0.5))
     odds = np.abs(np.log((b + 0.5) / (n_b + 1)) - np.log((a + 0.5) / (n_a + 1)))
     telling = np.flatnonzero((a + b >= least_df) & (chi2 >= least_chi2) & (odds >= math.log(least_ratio)))
-    telling = telling[np.argsort(-chi2[telling], kind="stable")[:most_terms]]
     vocabulary = Vocabulary(codes)
     shared = spark.sparkContext.broadcast(vocabulary)
 
@@ -360,7 +361,7 @@ def fit(
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [v for v, _ in batch_votes(ready.value, shared.value, batch)]
+            out = [v for v, _ in batch_votes(ready.value, shared.value, batch, examples=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64()), batch.column("label")], ["vote", "label"])
         shared.value.forget()
 
