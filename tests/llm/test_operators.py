@@ -75,6 +75,32 @@ def test_substring_factors_across_blocks(spark, docs):
     assert [cover[d] for d, _, _ in rows(1)] == [n for _, n, _ in rows(1)]
 
 
+def test_jaccard_join_of_ids_with_several_texts(spark):
+    """Rows of one id are one document: a link of any of them counts, whatever the order of rows."""
+    rng = np.random.default_rng(21)
+    words = [f"w{i}" for i in range(200)]
+    bases = [rng.choice(words, 60).tolist() for _ in range(14)]
+    near = lambda b: " ".join([*b[:-1], "changed"])
+    rows = [(1, " ".join(bases[0])), (1, " ".join(bases[1])), (4, near(bases[1])), (5, near(bases[0])), (9, " ".join(bases[2])), (8, " ".join(bases[2])), (8, " ".join(bases[3])), (7, near(bases[3])), (6, "")]
+    rows += [(int(rng.integers(20, 30)), near(b) if rng.random() < 0.5 else " ".join(b)) for b in bases[4:] for _ in range(3)] + [(4, "")]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if a and b and (rows[i][0] == rows[j][0] or 100 * len(a & b) >= 80 * len(a | b)):
+                parent[root(i)] = root(j)
+    want = [(d, len(sets[i]), min(rows[j][0] for j in range(len(rows)) if root(j) == root(i))) for i, (d, _) in enumerate(rows)]
+    for order in (rows, rows[::-1]):
+        found = jaccard_join.near_duplicate_classes(spark, spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == sorted(want)
+
+
 def test_suffix_dedup(spark, docs, none):
     width, seen = 400, Counter()
     for _, text, *_ in texts():
@@ -398,20 +424,29 @@ def test_toxicity_against_brute_force(spark):
     known = sorted((i, y, vector(text)) for (text, y), i in examples.items())
     prior = sum(y for _, y, _ in known) / len(known)
 
-    def vote(doc_id, text):
+    def vote(text, left_out=None):
         own = vector(text)
-        near = sorted(((sum(x * v.get(t, 0) for t, x in own.items()), i, y) for i, y, v in known if i != doc_id), key=lambda s: (-round(s[0], 12), s[1]))
+        near = sorted(((sum(x * v.get(t, 0) for t, x in own.items()), i, y) for i, y, v in known if i != left_out), key=lambda s: (-round(s[0], 12), s[1]))
         near = [s for s in near if s[0] > 0][:15]
         votes = [(1 / (1.05 - min(1.0, c)), y) for c, _, y in near]
         return ((sum(w * y for w, y in votes) + prior) / (sum(w for w, _ in votes) + 1) if near else -1.0), [i for _, i, _ in near]
 
-    steps = toxicity.isotonic_steps([(vote(i, text)[0], y) for (text, y), i in examples.items()])
+    steps = toxicity.isotonic_steps([(vote(text, i)[0], y) for (text, y), i in examples.items()])
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, score int")
     got = Counter((r["doc_id"], round(r["score"], 9), tuple(r["evidence"])) for r in toxicity.score_toxicity(spark, docs, spark.createDataFrame(list(labels.items()), "doc_id long, label int"), evidence=15).collect())
-    wanted = [(i, *vote(i, t)) for i, t in rows]
+    wanted = [(i, *vote(t)) for i, t in rows]
     assert got == Counter((i, round(float(np.interp(v, *steps)), 9), tuple(near)) for i, v, near in wanted)
 
 
+def test_toxicity_of_equal_texts_is_equal(spark):
+    """Twins of examples under other ids score like the examples themselves."""
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(f"{'vile' if (i % 2) ^ (rng.random() < 0.2) else 'kind'}{j}" for j in rng.choice(25, 6)), i % 2) for i in range(150)]
+    docs = spark.createDataFrame([*((i, t) for i, t, _ in rows), *((i + 1000, t) for i, t, _ in rows)], "doc_id long, text string")
+    scored = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(spark, docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, label int")).collect()}
+    assert all(scored[i] == scored[i + 1000] for i in range(150)) and len(set(scored.values())) > 1
+
+
 def test_toxicity_finds_a_copy_of_rare_words(spark):
     """No word of the copied example tells the labels apart; it is searched all the same."""
     rng = np.random.default_rng(5)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemark.llm import conversation_repair, fill_in_middle, simhash_dedup
+from tidemark.llm import conversation_repair, fill_in_middle, sifting, simhash_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, key binary, n int, fp string"
@@ -238,3 +238,11 @@ def test_fill_in_middle(spark, unit, run):
 
 def test_fill_in_middle_of_nothing(spark):
     assert fill_in_middle.fill_in_middle(spark, spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_sifting_by_ids(spark):
+    rows = [(None if i % 50 == 0 else i % 700, f"t{i}") for i in range(1000)]
+    docs, ids = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(0, 900, 3)], "doc_id long")
+    found, rest = ([tuple(r) for r in f(docs, ids).collect()] for f in (sifting.only_ids, sifting.without_ids))
+    assert sorted(found) == sorted(r for r in rows if r[0] is not None and r[0] % 3 == 0)
+    assert sorted(rest, key=str) == sorted((r for r in rows if r[0] is None or r[0] % 3), key=str)

@@ -24,9 +24,12 @@ shingle: bits in which they differ are shingles in which the sets differ, so mos
 without loss. Between components the bitmaps, folded to a few words, are compared within the join
 of the lists, so that sets just short of the bound do not become pairs. Only the rest have their sets made anew from the texts and counted.
 
+Sets are known by their identity, not by an id: rows that repeat a doc_id with other texts are sets
+of their own, joined because they are one document.
+
 Edge cases: a null or empty text has an empty set and is linked with nothing; a text of fewer than
-``width`` words is one shingle. Repeated rows link like copies. Rows with a null doc_id come back
-with a null component. Texts are read whole. An empty table gives an empty result. Extra columns
+``width`` words is one shingle. Repeated rows link like copies, and all rows of a doc_id that have a
+set are one component. Rows with a null doc_id come back with a null component. Texts are read whole. An empty table gives an empty result. Extra columns
 are ignored.
 """
 
@@ -44,13 +47,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tidemark.llm.anchors import known_ids
 from tidemark.llm.arrays import Texts, give_back, inside_documents, mix, texts_of, window_hashes
 from tidemark.llm.components import connected_components
+from tidemark.llm.sifting import only_ids
 from tidemark.llm.storage import Workspace
 
 LARGEST_LIGHT = 16
 #: Words of 64 bits that stand for a set inside the join of long lists.
 SKETCH = 8
-#: Up to so many ids (16 MB) are broadcast to pick documents out; more are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
 #: Bound of the broadcast order of frequent tokens (8 bytes each); others keep their hash order.
 MOST_FREQUENT = 500_000
 
@@ -83,6 +85,12 @@ def shingle_sets(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(owner, np.arange(len(texts.ids) + 1))
 
 
+def identities(values: np.ndarray, firsts: np.ndarray) -> list[bytes]:
+    """Of each set, 128 bits that equal sets share: two sums of its elements' hashes."""
+    sums = [np.append(np.uint64(0), np.cumsum(mix(values ^ np.uint64(salt)))) for salt in (0x51, 0xA3D70A3D)]
+    return [a.tobytes() + b.tobytes() for a, b in zip(*(s[firsts[1:]] - s[firsts[:-1]] for s in sums))]
+
+
 def least_overlap(n: int, m: int, percent: int) -> int:
     """Smallest overlap at which 100 * overlap >= percent * union for sets of n and m elements."""
     return -(-percent * (n + m) // (100 + percent))
@@ -202,9 +210,7 @@ class JaccardJoin:
                 for texts, _ in texts_of(batch):
                     values, firsts = shingle_sets(texts, width)
                     common = is_among(last, values)
-                    sums = [np.append(np.uint64(0), np.cumsum(mix(values ^ np.uint64(salt)))) for salt in (0x51, 0xA3D70A3D)]
                     n = np.diff(firsts)
-                    identity = [(s[firsts[1:]] - s[firsts[:-1]]) for s in sums]
                     prefixes, smalls, bits = [], [], []
                     for i, size in enumerate(n.tolist()):
                         own, often = values[firsts[i] : firsts[i + 1]], common[firsts[i] : firsts[i + 1]]
@@ -213,8 +219,7 @@ class JaccardJoin:
                         prefixes.append(rare.tobytes() + own[often][: length - len(rare)].tobytes())
                         smalls.append(own.tobytes() if size <= LARGEST_LIGHT else None)
                         bits.append(bitmap(own))
-                    keys = [a.tobytes() + b.tobytes() for a, b in zip(*identity)]
-                    arrays = [pa.array(texts.ids), pa.array(n.astype(np.int64)), *(pa.array(x, pa.binary()) for x in (keys, prefixes, smalls, bits)), pa.array([sketch(b) for b in bits], pa.list_(pa.int64()))]
+                    arrays = [pa.array(texts.ids), pa.array(n.astype(np.int64)), *(pa.array(x, pa.binary()) for x in (identities(values, firsts), prefixes, smalls, bits)), pa.array([sketch(b) for b in bits], pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "identity", "prefix", "small", "bits", "sketch"])
             give_back()
 
@@ -300,7 +305,7 @@ class JaccardJoin:
                 for texts, _ in texts_of(batch):
                     values, firsts = shingle_sets(texts, width)
                     packed = [values[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(texts.ids), pa.array(packed, pa.binary())], ["id", "set"])
+                    yield pa.RecordBatch.from_arrays([pa.array(texts.ids), *(pa.array(x, pa.binary()) for x in (identities(values, firsts), packed))], ["doc_id", "identity", "set"])
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -311,22 +316,46 @@ class JaccardJoin:
                     near.append(100 * overlap >= percent * (len(a) + len(b) - overlap))
                 yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-        ids = self.space.save(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), f"{name}-ids")
-        picked = docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi")
-        made = self.space.save(picked.mapInArrow(sets, "id long, set binary"), f"{name}-sets")
+        ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+        ids = ids.join(self.named.select("id", F.col("doc_id").alias("of")), "id", "left").select(F.coalesce("of", "id").alias("doc_id")).distinct()
+        picked = only_ids(docs, self.space.save(ids, f"{name}-ids"))
+        made = self.space.save(picked.mapInArrow(sets, "doc_id long, identity binary, set binary"), f"{name}-sets")
+        # A document with several sets has the one that a pair means among them.
+        plain = made.join(self.several, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "set")
+        made = plain.unionByName(made.join(self.named, ["doc_id", "identity"]).select("id", "set"))
         both = pairs.join(made.select(F.col("id").alias("u"), F.col("set").alias("left")), "u").join(made.select(F.col("id").alias("v"), F.col("set").alias("right")), "v")
         links = self.space.save(both.select("u", "v", "left", "right").mapInArrow(compare, "u long, v long").distinct(), f"{name}-links")
         self.space.drop(f"{name}-ids", f"{name}-sets")
         return links
 
+    def classes(self, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(identity, first, id) of each distinct set, and the links (u, v) of documents with several.
+
+        ``id`` is the smallest doc_id; of sets that share it, as a document with several texts makes
+        them, one keeps it and the others get numbers of their own, beyond 2**62.
+        """
+        space, filled = self.space, own.filter("identity is not null")
+        classes = space.save(filled.groupBy("identity").agg(F.min("doc_id").alias("first")), "classes")
+        several = filled.groupBy("doc_id").agg(F.min("identity").alias("low"), F.max("identity").alias("high")).filter("low != high")
+        self.several = space.save(several.select("doc_id"), "several")
+        met = classes.join(self.several, F.col("first") == F.col("doc_id"), "left_semi")
+        lowest = met.groupBy("first").agg(F.min("identity").alias("keeps"))
+        number = F.xxhash64("identity").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+        named = met.join(lowest, "first").select(F.col("first").alias("doc_id"), "identity", F.when(F.col("identity") == F.col("keeps"), F.col("first")).otherwise(number).alias("id"))
+        self.named = space.save(named, "named")
+        whole = classes.join(self.named.select("identity", "id"), "identity", "left").select("identity", "first", F.coalesce("id", "first").alias("id"))
+        rows = filled.join(self.several, "doc_id", "left_semi").join(whole, "identity").select("doc_id", "id").distinct()
+        same = rows.join(rows.groupBy("doc_id").agg(F.min("id").alias("u")), "doc_id").filter("id != u").select("u", F.col("id").alias("v"))
+        return whole, same.distinct()
+
     def run(self, docs: DataFrame) -> DataFrame:
         known = known_ids(docs)
         described = self.described(known)
         filled = described.filter("n > 0")
-        classes = self.space.save(filled.groupBy("identity").agg(F.min("doc_id").alias("id")), "classes")
         own = self.space.save(described.select("doc_id", "n", F.when(F.col("n") > 0, F.col("identity")).alias("identity")), "own")
-        chosen = filled.join(classes.select("id"), filled["doc_id"] == classes["id"], "left_semi").dropDuplicates(["doc_id"])
-        sets = self.space.save(chosen.select(F.col("doc_id").alias("id"), "n", "prefix", "small", "bits", "sketch"), "sets")
+        classes, same = self.classes(own)
+        chosen = filled.join(classes.select("id", "identity", F.col("first").alias("doc_id")), ["doc_id", "identity"]).dropDuplicates(["id"])
+        sets = self.space.save(chosen.select("id", "n", "prefix", "small", "bits", "sketch"), "sets")
         # Prefixes are the bulk of these tables; each goes as soon as the next holds what is needed.
         self.space.drop("described")
         lists = self.lists(sets)
@@ -339,7 +368,7 @@ class JaccardJoin:
         # A light set scans lists only if a heavy one can be near it in size.
         lists = lists.filter(F.col("n") >= max(1, least_partner(boundary + 1, self.percent)))
         near = self.screened(self.leader_pairs(lists, boundary), bitmaps, "first")
-        links = self.space.save(light.unionByName(self.verified(known, near, "first")), "links")
+        links = self.space.save(light.unionByName(self.verified(known, near, "first")).unionByName(same), "links")
         labels = connected_components(self.space, links, "first-labels")
         labels = self.remaining(known, bitmaps, lists, links, labels, boundary)
 
