@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import byte_bpe, jaccard_join, mixing, secrets, toxicity
+from tidemark.llm import byte_bpe, jaccard_join, mixing, secrets, sifting, toxicity
 from tidemark.llm.storage import Workspace
 
 
@@ -32,8 +32,7 @@ def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     classes = jaccard_join.near_duplicate_classes(spark, docs)
     others = classes.filter("doc_id != component_id").select("doc_id").distinct()
-    few = others.count() <= jaccard_join.MOST_BROADCAST
-    return docs.join(F.broadcast(others) if few else others, "doc_id", "left_anti").select(*docs.columns)
+    return sifting.without_ids(docs, others)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
