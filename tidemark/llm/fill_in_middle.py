@@ -57,12 +57,13 @@ def cut_offsets(plan: DataFrame, unit: str, run: int) -> DataFrame:
     merged = runs.select("key", "place", F.length("piece").alias("chars"), F.when(holds, F.col("piece")).alias("piece")).groupBy("key", "place").agg(F.max("chars").alias("chars"), F.max("piece").alias("piece"))
     before = Window.partitionBy("key").orderBy("place")
     held = merged.withColumn("before", F.sum("chars").over(before) - F.col("chars")).filter("piece is not null")
-    units = held.select("key", "place", "before", F.posexplode(F.regexp_extract_all("piece", F.lit(one), 0)).alias("at", "unit"))
-    within = Window.partitionBy("key", "place").orderBy("at")
-    ends = units.select("key", (F.col("place") * run + F.col("at") + 1).cast("long").alias("cut"), (F.col("before") + F.sum(F.length("unit")).over(within)).alias("end"))
     requests = asked.select("key", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("cut")).distinct()
-    met = requests.join(ends, ["key", "cut"])
-    return met.groupBy("key").agg(F.max(F.when(F.col("cut") == F.col("low"), F.col("end"))).alias("prefix_end"), F.max(F.when(F.col("cut") == F.col("high"), F.col("end"))).alias("middle_end"))
+    # Requests meet the run of their unit, so units are exploded where they stand and not shuffled.
+    met = held.join(requests.withColumn("place", F.expr(f"int((cut - 1) div {run})")).filter("cut > 0"), ["key", "place"])
+    units = met.select("key", "place", "cut", "low", "high", "before", F.posexplode(F.regexp_extract_all("piece", F.lit(one), 0)).alias("at", "unit"))
+    within = Window.partitionBy("key", "place", "cut").orderBy("at")
+    ends = units.withColumn("end", F.col("before") + F.sum(F.length("unit")).over(within)).filter(F.col("place") * run + F.col("at") + 1 == F.col("cut"))
+    return ends.groupBy("key").agg(F.max(F.when(F.col("cut") == F.col("low"), F.col("end"))).alias("prefix_end"), F.max(F.when(F.col("cut") == F.col("high"), F.col("end"))).alias("middle_end"))
 
 
 def rewritten(spark: SparkSession, docs: DataFrame, unit: str = CODE_POINT, run: int = 64, plain_percent: int = 10, spm_percent: int = 20) -> DataFrame:
