@@ -26,6 +26,50 @@ def starters(pool: DataFrame, period: list[str], position: str, value: str, tie:
     return fixed.unionByName(rest.drop("_flex").withColumn("slot", F.lit("FLEX"))).drop("_place", "_slots")
 
 
+def slot_capacities(slots: list[tuple[tuple[str, ...], int]]) -> tuple[list[str], list[tuple[int, int]]]:
+    """Positions, and for each set of them (as bits) how many slots take one of the set at least."""
+    positions = sorted({p for eligible, _ in slots for p in eligible})
+    bits = {p: 1 << i for i, p in enumerate(positions)}
+    masks = [(sum(bits[p] for p in eligible), n) for eligible, n in slots]
+    return positions, [(s, sum(n for m, n in masks if m & s)) for s in range(1, 1 << len(positions))]
+
+
+def lineups(pool: DataFrame, period: list[str], position: str, value: str, tie: str, slots: list[tuple[tuple[str, ...], int]]) -> DataFrame:
+    """The best lineup of each group ``period``: rows that slots (positions they take, how many) can
+    hold together with the largest sum, as many as there can be. Slots may overlap in any way.
+
+    Rows that slots can hold together form a transversal matroid, so taking the best row that still
+    fits is optimal. A row fits (Hall's condition) if for each set of positions with its own one
+    the rows taken of the set are fewer than the slots that take any of it; a counter for each set
+    is all the state. Of a position no more rows can matter than slots take it, so a group is cut to
+    its slots in each task before the shuffle, and what is folded is no longer than they are many.
+    Ties go to the smaller ``tie``; rows without a value and of positions without a slot stay out.
+    """
+    positions, capacities = slot_capacities(slots)
+    if len(positions) > 10:
+        raise ValueError("a counter is kept for each set of positions; name 10 positions at most")
+    code = F.coalesce(*[F.when(F.col(position) == p, F.lit(i)) for i, p in enumerate(positions)])
+    most = F.coalesce(*[F.when(F.col(position) == p, F.lit(sum(n for eligible, n in slots if p in eligible))) for p in positions])
+    asked = pool.filter(F.col(position).isin(positions) & F.col(value).isNotNull())
+    place = F.row_number().over(Window.partitionBy(*period, position).orderBy(F.desc(value), F.asc(tie)))
+    best = asked.withColumn("_place", place).filter(F.col("_place") <= max(n for _, n in capacities)).filter(F.col("_place") <= most)
+    row = F.struct((-F.col(value)).alias("falling"), F.col(tie).alias("tie"), code.alias("code"), F.struct(position, value).alias("row"))
+    groups = best.groupBy(*period).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    sets = F.array(*[F.struct(F.lit(s).alias("set"), F.lit(n).alias("most")) for s, n in capacities])
+
+    def holds(s, r):
+        return F.getbit(s["set"], r["code"]) == 1
+
+    def taken(state, r):
+        fits = F.forall(F.zip_with(state["used"], sets, lambda used, s: ~holds(s, r) | (used < s["most"])), lambda ok: ok)
+        used = F.zip_with(state["used"], sets, lambda used, s: used + holds(s, r).cast("int"))
+        return F.when(fits, F.struct(used.alias("used"), F.concat(state["rows"], F.array(r)).alias("rows"))).otherwise(state)
+
+    start = F.struct(F.array_repeat(F.lit(0), len(capacities)).alias("used"), F.filter("rows", lambda r: F.lit(False)).alias("rows"))
+    chosen = groups.select(*period, F.explode(F.aggregate("rows", start, taken)["rows"]).alias("r"))
+    return chosen.select(*period, F.col("r.tie").alias(tie), "r.row.*")
+
+
 def baselines(chosen: DataFrame, period: list[str], position: str, value: str) -> DataFrame:
     """The worst starter of each position."""
     return chosen.groupBy(*period, position).agg(F.min(value).alias("baseline"))
