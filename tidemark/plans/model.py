@@ -174,6 +174,41 @@ class ViewRequest:
     computed: tuple[tuple[str, str], ...] = ()
 
 
+@dataclass(frozen=True)
+class RateUnit:
+    """What a rate divides by, beyond the subject's own distinct units.
+
+    ``team``: the facts of the subject's team in the games in which the subject has a fact itself.
+    ``role``: the facts in which the subject stands in one of ``roles`` (column, condition).
+    ``field``: the facts of its games at which the subject takes part (``Catalog.on_field``).
+    Facts that fail ``where`` do not count; ``distinct`` is what is counted once for each game.
+    """
+
+    kind: str
+    where: str = "true"
+    distinct: str | None = None
+    roles: tuple[tuple[str, str], ...] = ()
+
+    def __post_init__(self):
+        if self.kind not in ("team", "role", "field"):
+            raise ValueError(f"unknown kind of unit {self.kind!r}")
+        if bool(self.roles) != (self.kind == "role") or (self.distinct and self.kind != "team"):
+            raise ValueError("roles belong to role units, and what is counted once to team units")
+
+    def texts(self) -> list[str]:
+        return [self.where, self.distinct or "", *(x for role in self.roles for x in role)]
+
+
+@dataclass(frozen=True)
+class OnField:
+    """Who takes part in a fact: in each game (``game``) every ``member`` that stands in a fact of it,
+    from the ``place`` of its first one on. A game is small: its facts are one array."""
+
+    game: str
+    member: str
+    place: str
+
+
 @dataclass
 class Catalog:
     """A star schema: one fact table, a dimension for each grain, measures and rate units.
@@ -192,9 +227,24 @@ class Catalog:
     around_game: tuple[str, ...] = ()
     #: The fact's date column, by which years are cut out in the scan.
     dated: str | None = None
+    #: Columns that a fact gets only where a request names them: the table, its key, and the fact's.
+    lookups: dict[str, tuple[DataFrame, str, str]] = field(default_factory=dict)
+    rate_units: dict[str, RateUnit] = field(default_factory=dict)
+    #: Of each grain, the fact column of the subject's team; and the game in which teams meet.
+    teams: dict[str, str] = field(default_factory=dict)
+    meeting: tuple[str, ...] = ("year", "week")
+    on_field: OnField | None = None
     sources: dict[str, Source] = field(default_factory=dict)
     bridges: dict[str, Bridge] = field(default_factory=dict)
 
+    def facts(self, texts: list[str]) -> DataFrame:
+        """The fact with the looked-up columns that any of the expressions mentions."""
+        out = self.fact
+        for column, (table, key, own) in self.lookups.items():
+            if any(column in text for text in texts):
+                out = out.join(table.select(F.col(key).alias("_key"), F.col(column)), F.col(own) == F.col("_key"), "left").drop("_key")
+        return out
+
     def register(self, measure: Measure) -> None:
         if measure.name in self.measures:
             raise ValueError(f"measure {measure.name!r} is registered already")

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.plans.attach import attach
-from tidemark.plans.model import Catalog, Filter, ViewColumn, ViewRequest, filtered
+from tidemark.plans.model import Catalog, Filter, RateUnit, ViewColumn, ViewRequest, filtered
 
 COMPARE = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt, "=": operator.eq, "<>": operator.ne}
 
@@ -30,8 +30,16 @@ def output_names(request: ViewRequest) -> list[str]:
     return names
 
 
-def _scoped(catalog: Catalog, request: ViewRequest, filters: tuple[Filter, ...], spread: int = 0) -> DataFrame:
-    facts = filtered(catalog.fact, filters)
+def _facts(catalog: Catalog, request: ViewRequest, *more: str) -> DataFrame:
+    """The fact with what the request reads of it; nothing is looked up that no column needs."""
+    measures = [catalog.measures[c.measure] for c in request.columns]
+    units = [catalog.units[c.output.unit] for c in request.columns if c.output.unit in catalog.units]
+    named = [f.column for c in request.columns for f in c.filters if hasattr(f, "column")] + [k for c in request.columns for f in c.filters for p in getattr(f, "presets", ()) for k in p]
+    return catalog.facts([catalog.subjects[request.grain], *units, *named, *(a.expr for m in measures for a in m.accumulators()), *more])
+
+
+def _scoped(catalog: Catalog, request: ViewRequest, filters: tuple[Filter, ...], spread: int = 0, more: tuple[str, ...] = ()) -> DataFrame:
+    facts = filtered(_facts(catalog, request, *more), filters)
     if request.years:
         facts = facts.filter(F.col("year").between(min(request.years) - spread, max(request.years) + spread)) if spread else facts.filter(F.col("year").isin(list(request.years)))
         facts = _dated(catalog, facts, min(request.years) - spread, max(request.years) + spread)
@@ -70,7 +78,7 @@ def _with_subject(catalog: Catalog, request: ViewRequest, facts: DataFrame) -> D
 def _career(catalog: Catalog, request: ViewRequest, years: tuple[int, int] | None, games: tuple[int, int] | None, facts: DataFrame) -> DataFrame:
     """Facts of the subject's first to last season or game so and so; ordinals come from all facts,
     one row for each subject and game, so no fact is ranked."""
-    whole = _with_subject(catalog, request, catalog.fact)
+    whole = _with_subject(catalog, request, _facts(catalog, request))
     if years:
         seasons = whole.select("subject", "year").distinct()
         place = F.row_number().over(Window.partitionBy("subject").orderBy("year"))
@@ -111,7 +119,7 @@ def _total_batches(catalog: Catalog, request: ViewRequest) -> list[tuple[DataFra
     out = []
     for (filters, offset, _, years, games, pinned, bounds), members in groups.items():
         needed = {a.name: a for _, c in members for a in catalog.measures[c.measure].accumulators()}
-        scoped = filtered(_dated(catalog, catalog.fact.filter(F.col("year").isin(list(pinned))), min(pinned), max(pinned)), filters) if pinned else _scoped(catalog, request, filters, max(map(abs, offset)))
+        scoped = filtered(_dated(catalog, _facts(catalog, request).filter(F.col("year").isin(list(pinned))), min(pinned), max(pinned)), filters) if pinned else _scoped(catalog, request, filters, max(map(abs, offset)))
         facts = _career(catalog, request, years, games, _with_subject(catalog, request, scoped))
         # One pinned year repeats on each of the subject's rows; several follow the row's year.
         keys = [k for k in _keys(request) if k != "year"] if len(pinned) == 1 else _keys(request)
@@ -128,7 +136,7 @@ def _total_batches(catalog: Catalog, request: ViewRequest) -> list[tuple[DataFra
 
 
 def _rate_denominators(catalog: Catalog, request: ViewRequest) -> DataFrame | None:
-    units = sorted({c.output.unit for c in request.columns if c.output.kind == "rate"})
+    units = sorted({c.output.unit for c in request.columns if c.output.kind == "rate" and c.output.unit in catalog.units})
     if not units:
         return None
     facts = _with_subject(catalog, request, _scoped(catalog, request, ()))
@@ -144,6 +152,53 @@ def _rate_denominators(catalog: Catalog, request: ViewRequest) -> DataFrame | No
     return games.groupBy(*_keys(request)).agg(*[t.alias(f"per_{u}") for u, t in zip(units, totals)])
 
 
+def _units_of(catalog: Catalog, request: ViewRequest, kind: str) -> dict[str, RateUnit]:
+    names = {c.output.unit for c in request.columns if c.output.kind == "rate"}
+    return {n: u for n, u in sorted(catalog.rate_units.items()) if n in names and u.kind == kind}
+
+
+def _team_denominators(catalog: Catalog, request: ViewRequest) -> DataFrame | None:
+    """Counts of a team's game are made once, and met by the games in which a subject has a fact."""
+    units = _units_of(catalog, request, "team")
+    if not units:
+        return None
+    team, game = catalog.teams[request.grain], list(catalog.meeting)
+    facts = _scoped(catalog, request, (), more=(team, *(t for u in units.values() for t in u.texts()))).filter(F.col(team).isNotNull())
+    counts = [(F.count(F.when(F.expr(u.where), 1)) if u.distinct is None else F.countDistinct(F.when(F.expr(u.where), F.expr(u.distinct)))).alias(f"per_{n}") for n, u in units.items()]
+    games = facts.groupBy(F.col(team).alias("_team"), *game).agg(*counts)
+    played = _with_subject(catalog, request, facts).select(*dict.fromkeys([*_keys(request), *game]), F.col(team).alias("_team")).distinct()
+    return played.join(games, ["_team", *game]).groupBy(*_keys(request)).agg(*[F.sum(f"per_{n}").alias(f"per_{n}") for n in units])
+
+
+def _role_denominators(catalog: Catalog, request: ViewRequest) -> DataFrame | None:
+    """A fact counts for whoever stands in a role of the unit, whatever role the measure is of."""
+    units = _units_of(catalog, request, "role")
+    if not units:
+        return None
+    facts = _scoped(catalog, request, (), more=tuple(t for u in units.values() for t in u.texts()))
+    held = [F.struct(F.lit(n).alias("unit"), F.when(F.expr(u.where) & F.expr(condition), F.col(column)).cast("long").alias("subject")) for n, u in units.items() for column, condition in u.roles]
+    credits = facts.select(*request.axes, F.explode(F.filter(F.array(*held), lambda h: h["subject"].isNotNull())).alias("h")).select(*request.axes, "h.*")
+    return credits.groupBy(*_keys(request)).agg(*[F.count(F.when(F.col("unit") == n, 1)).alias(f"per_{n}") for n in units])
+
+
+def _field_denominators(catalog: Catalog, request: ViewRequest) -> DataFrame | None:
+    """Facts of a game at which a subject takes part. A game's facts are one array, which is met by
+    its members, so no fact becomes a row for each of them."""
+    units, field = _units_of(catalog, request, "field"), catalog.on_field
+    if not units:
+        return None
+    facts = _scoped(catalog, request, (), more=(field.game, field.member, *(t for u in units.values() for t in u.texts())))
+    facts = facts.select(*request.axes, F.expr(field.game).alias("_game"), F.expr(field.member).alias("subject"), F.expr(field.place).alias("place"), *[F.expr(u.where).alias(n) for n, u in units.items()])
+    own = [*request.axes, "_game"]
+    games = facts.groupBy(*own).agg(F.collect_list(F.struct("place", *units)).alias("facts"))
+    members = facts.filter("subject is not null").groupBy(*own, "subject").agg(F.min("place").alias("since"))
+
+    def seen(unit: str) -> F.Column:
+        return F.size(F.filter("facts", lambda fact: fact[unit] & (fact["place"] >= F.col("since"))))
+
+    return members.join(games, own).select(*_keys(request), *[seen(n).alias(n) for n in units]).groupBy(*_keys(request)).agg(*[F.sum(n).alias(f"per_{n}") for n in units])
+
+
 def _period_batches(catalog: Catalog, request: ViewRequest) -> list[tuple[DataFrame, list[str]]]:
     """Counts and means: a value for each period first, then one row for each cell."""
     groups: dict[tuple, list[tuple[str, ViewColumn]]] = {}
@@ -178,8 +233,12 @@ def check_request(catalog: Catalog, request: ViewRequest) -> None:
     for column in request.columns:
         if column.measure not in catalog.measures:
             raise ValueError(f"unknown measure {column.measure!r}; there are {sorted(catalog.measures)}")
-        if column.output.unit is not None and column.output.unit not in catalog.units:
-            raise ValueError(f"unknown unit {column.output.unit!r}; there are {sorted(catalog.units)}")
+        known = catalog.units | (catalog.rate_units if column.output.kind == "rate" else {})
+        if column.output.unit is not None and column.output.unit not in known:
+            raise ValueError(f"unknown unit {column.output.unit!r}; there are {sorted(known)}")
+        kind = catalog.rate_units[column.output.unit].kind if column.output.unit not in catalog.units and column.output.unit else None
+        if kind == "team" and request.grain not in catalog.teams or kind == "field" and (catalog.on_field is None or catalog.subjects[request.grain] != catalog.on_field.member):
+            raise ValueError(f"unit {column.output.unit!r} does not go with grain {request.grain!r}")
     named = [*output_names(request), *[c.name for c in request.attached], *[n for n, _ in request.computed]]
     fixed = [*_keys(request), *catalog.dimensions[request.grain][2]]
     twice = sorted({n for n in [*named, *fixed] if [*named, *fixed].count(n) > 1})
@@ -196,11 +255,12 @@ def plan_view(catalog: Catalog, request: ViewRequest) -> DataFrame:
     view = _spine(catalog, request)
     for batch, cells, own in _total_batches(catalog, request):
         view = view.join(batch.select(*own, *[c.alias(n) for n, c in cells.items()]), own, "left")
-    denominators = _rate_denominators(catalog, request)
-    if denominators is not None:
+    for denominators in (f(catalog, request) for f in (_rate_denominators, _team_denominators, _role_denominators, _field_denominators)):
+        if denominators is None:
+            continue
         view = view.join(denominators, keys, "left")
         for name, column in zip(names, request.columns):
-            if column.output.kind == "rate":
+            if column.output.kind == "rate" and f"per_{column.output.unit}" in denominators.columns:
                 view = view.withColumn(name, F.round(F.try_divide(F.col(name), F.nullif(F.col(f"per_{column.output.unit}"), F.lit(0))), 4))
     for batch, _ in _period_batches(catalog, request):
         view = view.join(batch, keys, "left")
@@ -228,7 +288,8 @@ def all_of(*predicates: F.Column) -> F.Column:
 
 def option_counts(catalog: Catalog, filters: tuple[Filter, ...], options: dict[str, tuple[Filter, ...]]) -> DataFrame:
     """How many facts each preset would match under all other filters, in one pass."""
-    facts = filtered(catalog.fact, filters)
+    named = [getattr(f, "column", "") for f in [*filters, *(f for preset in options.values() for f in preset)]]
+    facts = filtered(catalog.facts(named), filters)
     counts = [F.count(F.when(all_of(*[f.apply() for f in preset]), 1)).alias(name) for name, preset in options.items()]
     wide = facts.agg(*counts)
     return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("option"), F.col(n).alias("n")) for n in options])).alias("o")).select("o.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.plans.model import Accumulator, Catalog, Measure
+from tidemark.plans.model import Accumulator, Catalog, Measure, OnField, RateUnit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,14 +22,42 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumns(money).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey")
 
 
+#: Kinds of plays among the lines; other lines are no plays.
+PLAY, PASS, RUSH = "l_returnflag IN ('A', 'R')", "l_returnflag = 'A'", "l_returnflag = 'R'"
+
+
+def rate_units() -> dict[str, RateUnit]:
+    """Denominators by the plays of the team, by the subject's part in plays, and by roles.
+
+    A returned line is a rush of its customer, an accepted one a pass from its customer to its
+    supplier, caught if it is filled and deep from 20 pieces on.
+    """
+    whole = "CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END"
+    team = {"play": (PLAY, None), "pass_play": (PASS, None), "rush_play": (RUSH, None), "half": (PLAY, whole), "quarter": (PLAY, "l_linenumber % 4"), "drive": (PLAY, "o_orderkey"), "series": (PLAY, "struct(o_orderkey, l_suppkey)")}
+    units = {f"team_{n}": RateUnit("team", where, distinct) for n, (where, distinct) in team.items()}
+    deep, caught = f"{PASS} AND l_quantity BETWEEN 20 AND 99", "l_linestatus = 'F'"
+    rush, target, reception = ("o_custkey", RUSH), ("l_suppkey", PASS), ("l_suppkey", f"{PASS} AND {caught}")
+    roles = {
+        "rush_attempt": (rush,), "pass_attempt": (("o_custkey", PASS),), "target": (target,), "catchable_target": (reception,), "deep_target": (("l_suppkey", deep),), "catchable_deep_target": (("l_suppkey", f"{deep} AND {caught}"),),
+        "reception": (("l_suppkey", f"{PASS} AND {caught} AND l_discount > 0"),), "touch": (rush, reception), "opportunity": (rush, target),
+    }
+    units |= {f"player_{n}": RateUnit("role", roles=own) for n, own in roles.items()}
+    fields = {"play": PLAY, "pass_play": PASS, "rush_play": RUSH, "route": f"{PASS} AND l_quantity > 5"}
+    return units | {f"player_{n}": RateUnit("field", where) for n, where in fields.items()}
+
+
 def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     customers = table(spark, sf_dir, "customer")
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    fact = order_lines(spark, sf_dir).join(customers.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    suppliers = table(spark, sf_dir, "supplier")
     catalog = Catalog(
-        fact=fact,
-        dimensions={"player": (customers, "c_custkey", ("c_name", "c_mktsegment")), "team": (nations, "n_nationkey", ("n_name", "r_name"))},
-        subjects={"player": "o_custkey", "team": "c_nationkey"},
+        fact=order_lines(spark, sf_dir),
+        dimensions={"player": (customers, "c_custkey", ("c_name", "c_mktsegment")), "team": (nations, "n_nationkey", ("n_name", "r_name")), "receiver": (suppliers, "s_suppkey", ("s_name",))},
+        subjects={"player": "o_custkey", "team": "c_nationkey", "receiver": "l_suppkey"},
+        lookups={"c_nationkey": (customers, "c_custkey", "o_custkey"), "s_nationkey": (suppliers, "s_suppkey", "l_suppkey")},
+        teams={"player": "c_nationkey", "team": "c_nationkey", "receiver": "s_nationkey"},
+        on_field=OnField("o_orderkey", "l_suppkey", "l_linenumber"),
+        rate_units=rate_units(),
         units={"game": "o_orderkey", "season": "year", "series": "struct(o_orderkey, l_suppkey)", "drive": "struct(o_orderkey, l_returnflag)"},
         parts_of_game={"series": "l_suppkey", "drive": "l_returnflag"},
         around_game=("season",),
