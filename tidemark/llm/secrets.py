@@ -21,6 +21,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm.arrays import give_back
+
 # The forms of the three base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -34,6 +36,8 @@ CHECKED = (
 )
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 KINDS = ("assign", "access", "hex", "github", "npm")
+#: Rows whose rewritten texts are held at once.
+SLICE = 256
 
 Span = tuple[int, int, int]  # start, end, place of the kind in KINDS
 
@@ -141,8 +145,10 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            texts = [None if (t := x.as_py()) is None else redact(t, scan_text(t)) for x in batch.column("text")]
-            arrays = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(arrays, columns)
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
+                texts = [None if (t := x.as_py()) is None else redact(t, scan_text(t)) for x in part.column("text")]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in columns], columns)
+        give_back()
 
     return docs.mapInArrow(batches, docs.schema)
