@@ -1,6 +1,7 @@
 """The training-data operators on a small table of awkward rows, against plain Python."""
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -469,3 +470,24 @@ def test_warc(spark):
     got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(spark, table).collect()}
     assert got == {1: (8, "revisit", 2), 2: (8, "response", None), 3: (0, "response", None), 4: (14, "response", None), None: (0, "revisit", 3)}
     assert warc.archive_pages(spark, table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("members", [1, 3])
+def test_archives_of_other_makers(spark, tmp_path, version, members):
+    """Records without our header, in one gzip member or one each: declared lengths, identifiers, digests."""
+    bodies = [b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n<p>one\nhttp://a 1 2 3 4</p>\n\n", b"HTTP/1.0 200 OK\r\n\r\n", b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nsame"]
+    block = f"{version} 0 other\n{warc.ARC_FIELDS[version]}\n\n".encode()
+    extra = " 200 - - 0 other.arc" if version == 2 else ""
+    parts = [f"filedesc://other.arc 1.2.3.4 19990102030405 text/plain{extra} {len(block)}\n".encode() + block]
+    parts += [f"http://x/{i} 1.2.3.4 1999010203040{i} text/html{extra} {len(b)}\n".encode() + b + b"\n" for i, b in enumerate(bodies)]
+    data = b"".join(map(gzip.compress, parts)) if members > 1 else gzip.compress(b"".join(parts))
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "other.arc.gz").write_bytes(data)
+    warc.convert_arc(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    rows = warc.read_warc(spark, f"file://{tmp_path}/warc").collect()
+    entities = [b.partition(b"\r\n\r\n")[2] for b in bodies]
+    assert sorted((r["payload_bytes"], r["payload_digest"], r["record_type"], r["page_id"]) for r in rows) == sorted((len(e), warc.digest(e), "response", None) for e in entities)
+    ids = {r["record_id"] for r in rows}
+    assert len(ids) == 3 and all(re.fullmatch("<urn:uuid:[0-9a-f-]{36}>", i) for i in ids)
+    assert warc.record_id("http://x/1", "1999-01-02T03:04:01Z", warc.digest(b""), None) in ids

@@ -54,7 +54,7 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_pages(spark, table(spark, sf_dir, "pages"))
+    return warc.archive_pages(spark, table(spark, sf_dir, "pages")).drop("record_id")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

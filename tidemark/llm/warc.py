@@ -3,8 +3,11 @@
 An ARC file starts with a version block whose second line names its version and whose third names
 the fields of every header line; the converter goes by them. Records are cut by their declared
 lengths alone, so a payload may hold anything. From the header line and the HTTP head it makes the
-WARC identifier, date, type and digests. Of records with equal payloads the one with the largest
-page id is a response and the others are revisits of it, stored without payload.
+WARC date, type and digests, and an identifier: a name-based UUID of the page's URI, date, digest and,
+where it has one, page id. Page ids travel in a header of their own (``X-Page-Id``), which archives
+of other makers lack; their records convert alike and have a null page_id. Of records with equal
+payloads the one with the largest page id is a response and the others are revisits of it, stored
+without payload; records without a page id refer to nothing among themselves.
 
 All files pass through Spark's own readers and writers, so any file system that Spark knows will
 do; a task holds one archive file (at most ``records_per_file`` records) at a time.
@@ -22,6 +25,7 @@ import base64
 import gzip
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,11 +71,13 @@ def write_arc(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_F
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        version, n = 1 + TaskContext.get().partitionId() % 2, 0
+        part, n = TaskContext.get().partitionId(), 0
+        version = 1 + part % 2
         for batch in rows:
             out = []
             for page_id, url, html in zip(*(batch.column(c) for c in ("page_id", "url", "html"))):
                 if n % records_per_file == 0:
+                    version = 1 + (part + n // records_per_file) % 2
                     out.append(version_block(version))
                     n += 1
                 out.append(arc_record(version, page_id.as_py(), url.as_py(), (html.as_py() or "").encode()))
@@ -138,14 +144,19 @@ RECORD_NAMES = [x.split(" ")[0] for x in RECORD.split(", ")]
 RECORD_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string()]
 
 
-def warc_record(page_id: int | None, url: str, date: str, block: bytes, size: int, payload_digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """A WARC record without its last line break."""
+def record_id(url: str, date: str, payload_digest: str, page_id: int | None) -> str:
+    name = f"{url} {date} {payload_digest}" + ("" if page_id is None else f" {page_id}")
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def warc_record(page_id: int | None, url: str, date: str, block: bytes, size: int, payload_digest: str, first: dict | None, revisit: bool) -> bytes:
+    """A WARC record without its last line break. ``first`` (page_id, url, date) is what a revisit refers to."""
     head = block.partition(b"\r\n\r\n")[0] + b"\r\n\r\n"
     content = head if revisit else block
     lines = [
         "WARC/1.0",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: {record_id(url, date, payload_digest, page_id)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{payload_digest}",
@@ -154,8 +165,11 @@ def warc_record(page_id: int | None, url: str, date: str, block: bytes, size: in
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(content)}",
     ]
+    if page_id is not None:
+        lines.append(f"X-Page-Id: {page_id}")
     if revisit:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        of = first["url"], first["date"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(*of, payload_digest, first['page_id'])}", f"WARC-Refers-To-Target-URI: {of[0]}", f"WARC-Refers-To-Date: {of[1]}", f"X-Refers-To-Page-Id: {first['page_id']}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + content + b"\r\n"
 
 
@@ -167,18 +181,18 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, least_bytes:
     """
     space = Workspace(spark, "warc")
     records = read_arc(spark, arc_path)
-    groups = records.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
-    shared = space.save(groups.filter("n > 1 and first_id is not null").select("payload_digest", "first_id"), "shared")
+    groups = records.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max(F.struct("page_id", "url", "date")).alias("first"), F.count("*").alias("n"))
+    shared = space.save(groups.filter("n > 1 and first.page_id is not null").select("payload_digest", "first"), "shared")
     marked = records.join(shared, "payload_digest", "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             out = [warc_record(**{k: v.as_py() for k, v in zip(names, values)}) for values in zip(*batch.columns)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
 
-    names = ["page_id", "url", "date", "block", "size", "payload_digest", "refers_to", "revisit"]
-    ready = marked.select("page_id", "url", "date", "payload", "payload_bytes", "payload_digest", "first_id", revisit.alias("revisit")).toDF(*names)
+    names = ["page_id", "url", "date", "block", "size", "payload_digest", "first", "revisit"]
+    ready = marked.select("page_id", "url", "date", "payload", "payload_bytes", "payload_digest", "first", revisit.alias("revisit")).toDF(*names)
     lines = ready.mapInArrow(batches, "value string")
     with shuffle_cleanup(spark):
         lines.write.mode("overwrite").option("compression", "gzip").option("lineSep", "\r\n").option("maxRecordsPerFile", records_per_file).text(warc_path)
@@ -198,12 +212,12 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of each record.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to (the page_id) and record_id of each record.
 
     A response's digest is taken from its payload again; a stored one that differs is an error.
     """
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    number = lambda x: None if x.endswith("None>") else int(x[10:-1])
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string"
+    number = lambda x: None if x is None else int(x)
 
     def batches(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in files:
@@ -211,14 +225,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows: list[tuple] = []
                 for fields, block in warc_records(gzip.decompress(content.as_py())):
                     kind, own = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    size, refers = int(fields["X-Payload-Length"]), fields.get("WARC-Refers-To")
+                    size = int(fields["X-Payload-Length"])
                     if kind == "response":
                         entity = split_http(block)[1]
                         if digest(entity) != own or len(entity) != size:
                             raise ValueError("a payload differs from its digest")
-                    rows.append((number(fields["WARC-Record-ID"]), size, own, kind, number(refers) if refers else None))
-                arrays = [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    rows.append((number(fields.get("X-Page-Id")), size, own, kind, number(fields.get("X-Refers-To-Page-Id")), fields["WARC-Record-ID"]))
+                arrays = [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 6, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(batches, schema)
 
