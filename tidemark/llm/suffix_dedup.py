@@ -16,7 +16,7 @@ Edge cases: a null or empty text, or one shorter than ``width`` bytes, loses not
 cross documents; matches within one count. Of a repeated text no copy stays: strings are judged on
 the input. Rows with a null doc_id take part like others. Texts are read whole. An empty table
 gives an empty result. Extra columns are ignored. Contexts under one anchor share a task, which
-sorts them in scratch files beyond its memory budget.
+holds their bytes and the sort's arrays in memory; only the queues of the sort spill to a file.
 """
 
 from __future__ import annotations
