@@ -131,6 +131,33 @@ def standings_and_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standing.withColumns(money | {"deviation": F.round("deviation", 2), "draft_index": F.round("draft_index", 4)}).drop("n_regionkey", "high", "low")
 
 
+PLAYOFFS = standings.PlayoffRules(10, 2, bye_pool="division_winners", bye_by="all_play", at_large_by="points", division_berths=True, record_berths=2)
+
+
+@query("""WITH $LINES, w AS (SELECT year, week, c_nationkey AS team, sum(price) AS score FROM lines WHERE c_nationkey IS NOT NULL GROUP BY ALL),
+m AS (SELECT DISTINCT year, week, n.n_nationkey AS home, n.n_nationkey + 1 AS away FROM w, nation n WHERE n.n_nationkey % 2 = 0 AND n.n_nationkey < 24), g AS (SELECT year, week, home AS team, away AS opp FROM m UNION ALL SELECT year, week, away, home FROM m),
+r AS (SELECT g.year, g.team, coalesce(a.score, 0) AS s, coalesce(b.score, 0) AS o FROM g LEFT JOIN w a ON a.year = g.year AND a.week = g.week AND a.team = g.team LEFT JOIN w b ON b.year = g.year AND b.week = g.week AND b.team = g.opp),
+p AS (SELECT a.year, a.team, count(*) FILTER (WHERE b.score < a.score) AS aw, count(*) FILTER (WHERE b.score > a.score) AS al, count(*) FILTER (WHERE b.score = a.score AND b.team <> a.team) AS at FROM w a JOIN w b USING (year, week) GROUP BY ALL),
+t AS (SELECT year, team, n_regionkey AS division, count(*) FILTER (WHERE s > o) AS wins, count(*) FILTER (WHERE s < o) AS losses, count(*) FILTER (WHERE s = o) AS ties, sum(s) AS pf FROM r JOIN nation ON team = n_nationkey GROUP BY ALL),
+a AS (SELECT t.*, (aw + p.at / 2) / nullif(aw + al + p.at, 0) AS ap, row_number() OVER (PARTITION BY t.year ORDER BY wins DESC, losses, ties DESC, (aw + p.at / 2) / nullif(aw + al + p.at, 0) DESC, pf DESC, t.team) AS rec FROM t JOIN p ON p.year = t.year AND p.team = t.team),
+b AS (SELECT *, rec = min(rec) OVER (PARTITION BY year, division) AS winner FROM a), c AS (SELECT *, CASE WHEN winner THEN row_number() OVER (PARTITION BY year, winner ORDER BY ap DESC, pf DESC, team) END AS bye_place FROM b),
+d AS (SELECT *, CASE WHEN bye_place <= 2 THEN 'bye' WHEN winner THEN 'division' END AS sure FROM c), e AS (SELECT *, CASE WHEN sure IS NULL THEN row_number() OVER (PARTITION BY year, sure IS NULL ORDER BY rec) END AS k FROM d),
+f AS (SELECT *, CASE WHEN sure IS NULL AND k > 2 THEN row_number() OVER (PARTITION BY year, sure IS NULL AND k > 2 ORDER BY pf DESC, ap DESC, team) END AS l FROM e),
+h AS (SELECT *, CASE WHEN sure IS NOT NULL THEN sure WHEN k <= 2 THEN 'record' WHEN l <= 10 - 2 - (count(*) FILTER (WHERE sure IS NOT NULL) OVER (PARTITION BY year)) THEN 'at_large' END AS berth FROM f)
+SELECT year, CAST(team AS INTEGER) AS team, winner AS division_winner, berth, row_number() OVER (PARTITION BY year ORDER BY CASE WHEN berth = 'bye' THEN 0 WHEN berth IS NOT NULL THEN 1 ELSE 2 END, CASE WHEN berth = 'bye' THEN bye_place ELSE 0 END, rec) AS seed FROM h""")
+def playoff_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byes, sure places, places by record and at large of each year, and all seeds."""
+    scores = Workspace(spark, "playoffs").save(team_weeks(spark, sf_dir), "weeks")
+    nations = table(spark, sf_dir, "nation")
+    homes = nations.filter("n_nationkey % 2 = 0 and n_nationkey < 24").select(F.col("n_nationkey").alias("home"), (F.col("n_nationkey") + 1).alias("away"))
+    matchups = scores.select("year", "week").distinct().crossJoin(F.broadcast(homes))  # the fixed dimension of nations
+    records = standings.records(standings.head_to_head(scores, matchups, ["year", "week"], "team", "score"), ["year", "team"], "score")
+    against_all = standings.all_play(scores, ["year", "week"], "score").groupBy("year", "team").agg(*[F.sum(c).alias(c) for c in ("ap_wins", "ap_losses", "ap_ties")])
+    league = records.join(against_all, ["year", "team"]).join(nations.select(F.col("n_nationkey").alias("team"), "n_regionkey"), "team")
+    field = standings.playoff_field(league, ["year"], "n_regionkey", "team", PLAYOFFS)
+    return field.select("year", F.col("team").cast("int").alias("team"), "division_winner", "berth", "seed")
+
+
 @query("""WITH $LINES, """ + SEASONS + """, w AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY points DESC, o_custkey) AS r, count(*) OVER (PARTITION BY year) AS n FROM pts)
 SELECT year, o_custkey, CAST((r - 1) * 5 // n AS INTEGER) AS band FROM w""")
 def rank_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
