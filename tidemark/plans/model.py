@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 if TYPE_CHECKING:
     from tidemark.plans.attach import Attached, Bridge, Source
 
-AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "count": F.count, "count_distinct": F.countDistinct}
+AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "count": F.count, "count_distinct": F.countDistinct, "max": F.max}
+#: Kinds whose values of several rows cannot be added up.
+NOT_ADDITIVE = ("count_distinct", "max")
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.plans.attach import attach
-from tidemark.plans.model import Catalog, Filter, RateUnit, ViewColumn, ViewRequest, filtered
+from tidemark.plans.model import NOT_ADDITIVE, Catalog, Filter, RateUnit, ViewColumn, ViewRequest, filtered
 
 COMPARE = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt, "=": operator.eq, "<>": operator.ne}
 
@@ -98,7 +98,7 @@ REDUCTIONS = {"avg": F.avg, "min": F.min, "max": F.max, "latest": lambda c: F.ma
 def _offset_batch(catalog: Catalog, request: ViewRequest, facts: DataFrame, members: list[tuple[str, ViewColumn]], needed: dict) -> tuple[DataFrame, dict[str, F.Column]]:
     """Years are aggregated first and then moved to the rows that look back or ahead at them, so
     the join of years is an equi join on pre-aggregated rows."""
-    if request.axes != ("year",) or any(a.kind == "count_distinct" for a in needed.values()):
+    if request.axes != ("year",) or any(a.kind in NOT_ADDITIVE for a in needed.values()):
         raise ValueError("a year offset needs the year axis alone and additive accumulators")
     (low, high), reduction = members[0][1].year_offset, members[0][1].offset_reduce
     yearly = facts.groupBy("subject", F.col("year").alias("_from")).agg(*[a.column().alias(n) for n, a in needed.items()])

@@ -26,6 +26,38 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLAY, PASS, RUSH = "l_returnflag IN ('A', 'R')", "l_returnflag = 'A'", "l_returnflag = 'R'"
 
 
+#: Parts of plays: what makes a pass caught, intercepted or a sack, and a gain a score.
+CAUGHT, INTERCEPTED, SACKED = f"{PASS} AND l_linestatus = 'F'", f"{PASS} AND l_linestatus = 'O' AND l_tax >= 0.07", f"{PASS} AND l_linestatus = 'O' AND l_tax < 0.01"
+DEEP, SCORED, FIRST, LONG = "l_quantity >= 20", "l_quantity >= 46", "l_quantity >= 10", "l_quantity >= 40"
+AIR, AFTER = "l_linenumber", "l_quantity - l_linenumber"
+
+
+def play_measures() -> list[Measure]:
+    """Measures of plays: counts and sums of the plays of a kind, largest gains, and quotients of them.
+
+    They hold for whoever the view's subject is: a customer's passes are those it made, a supplier's
+    those thrown to it. A quotient names two of the sums; percentages are scaled by 100.
+    """
+    count = lambda name, where: Accumulator(name, "count", f"CASE WHEN {where} THEN 1 END")
+    total = lambda name, where, value: Accumulator(name, "sum", f"CASE WHEN {where} THEN {value} END")
+    most = lambda name, where: Accumulator(name, "max", f"CASE WHEN {where} THEN l_quantity END")
+    sums = [
+        count("pass_attempts", PASS), count("pass_completions", CAUGHT), total("pass_yards", CAUGHT, "l_quantity"), count("pass_touchdowns", f"{CAUGHT} AND {SCORED}"), count("interceptions", INTERCEPTED), count("sacks", SACKED),
+        total("pass_air_yards", PASS, AIR), total("completed_air_yards", CAUGHT, AIR), total("yards_after_catch", CAUGHT, AFTER), count("deep_attempts", f"{PASS} AND {DEEP}"), count("deep_completions", f"{CAUGHT} AND {DEEP}"), count("pass_first_downs", f"{CAUGHT} AND {FIRST}"), most("longest_pass", CAUGHT),
+        count("rush_attempts", RUSH), total("rush_yards", RUSH, "l_quantity"), count("rush_touchdowns", f"{RUSH} AND {SCORED}"), count("rush_first_downs", f"{RUSH} AND {FIRST}"), count("stuffed_rushes", f"{RUSH} AND l_quantity < 3"), count("explosive_rushes", f"{RUSH} AND {LONG}"), most("longest_rush", RUSH),
+        count("plays", PLAY), total("scrimmage_yards", f"{CAUGHT} OR {RUSH}", "l_quantity"), count("touchdowns", f"({CAUGHT} OR {RUSH}) AND {SCORED}"), count("first_downs", f"({CAUGHT} OR {RUSH}) AND {FIRST}"), count("explosive_plays", f"({CAUGHT} OR {RUSH}) AND {LONG}"),
+    ]
+    by_name = {a.name: a for a in sums}
+    quotients = {
+        "completion_pct": ("pass_completions", "pass_attempts", 100), "pass_yards_per_attempt": ("pass_yards", "pass_attempts", 1), "pass_yards_per_completion": ("pass_yards", "pass_completions", 1), "pass_touchdown_pct": ("pass_touchdowns", "pass_attempts", 100),
+        "interception_pct": ("interceptions", "pass_attempts", 100), "sack_pct": ("sacks", "pass_attempts", 100), "air_yards_per_attempt": ("pass_air_yards", "pass_attempts", 1), "air_conversion": ("pass_yards", "pass_air_yards", 1), "yards_after_catch_share": ("yards_after_catch", "pass_yards", 100),
+        "deep_attempt_pct": ("deep_attempts", "pass_attempts", 100), "deep_completion_pct": ("deep_completions", "deep_attempts", 100), "pass_first_down_pct": ("pass_first_downs", "pass_attempts", 100), "rush_yards_per_attempt": ("rush_yards", "rush_attempts", 1),
+        "rush_first_down_pct": ("rush_first_downs", "rush_attempts", 100), "stuffed_pct": ("stuffed_rushes", "rush_attempts", 100), "explosive_rush_pct": ("explosive_rushes", "rush_attempts", 100), "yards_per_play": ("scrimmage_yards", "plays", 1), "first_down_pct": ("first_downs", "plays", 100), "explosive_pct": ("explosive_plays", "plays", 100),
+        "touchdown_pct": ("touchdowns", "plays", 100),
+    }
+    return [Measure(a.name, a) for a in sums] + [Measure(n, by_name[top], by_name[bottom], float(scale)) for n, (top, bottom, scale) in quotients.items()]
+
+
 def rate_units() -> dict[str, RateUnit]:
     """Denominators by the plays of the team, by the subject's part in plays, and by roles.
 
@@ -68,5 +100,7 @@ def star_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     catalog.register(Measure("lines", Accumulator("n_lines", "count", "l_linenumber")))
     catalog.register(Measure("parts", Accumulator("n_parts", "count_distinct", "l_partkey")))
     catalog.register(Measure("discount_share", Accumulator("discounted", "sum", "l_extendedprice * l_discount"), gross, 100.0, 2))
+    for measure in play_measures():
+        catalog.register(measure)
     catalog.register(Measure("mean_quantity", Accumulator("quantity", "sum", "l_quantity"), Accumulator("n_lines", "count", "l_linenumber")))
     return catalog
