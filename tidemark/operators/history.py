@@ -35,7 +35,10 @@ def changes(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str])
 
 def pair_correlations(values: DataFrame, group: str, member: str, value: str, least: int, shrink: float) -> DataFrame:
     """Correlation of two members' values over the groups that both are in, ``least`` of them or
-    more, and its shrinkage. Groups are rosters of a game, so pairs within one are few."""
+    more, and its shrinkage. Groups are rosters of a game, so pairs within one are few. Members of
+    fewer groups have no such pair and leave before any is made."""
+    often = values.groupBy(member).agg(F.count_distinct(group).alias("_in")).filter(F.col("_in") >= least).select(member)
+    values = values.join(often, member, "left_semi")
     a = values.select(group, F.col(member).alias("a"), F.col(value).alias("x"))
     b = values.select(group, F.col(member).alias("b"), F.col(value).alias("y"))
     met = a.join(b, group).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))

@@ -28,7 +28,8 @@ def sliding_counts(events: DataFrame, width: str = "2 days", step: str = "1 day"
 
 
 def open_close(events: DataFrame, key: str) -> DataFrame:
-    """First and last value of each key so far; a late event changes them like any other."""
+    """First and last value of each key so far; a late event changes them like any other, so a row of
+    state is kept for each key as long as the stream runs. Where keys end, use ``live``'s timers."""
     at = F.struct("ts", "event_id", "value")
     first = events.groupBy(key).agg(F.min(at).alias("a"), F.max(at).alias("z"), F.count("*").alias("n"))
     return first.select(key, F.col("a.value").alias("open_value"), F.col("z.value").alias("close_value"), F.col("a.ts").cast("timestamp_ntz").alias("opened"), F.col("z.ts").cast("timestamp_ntz").alias("closed"), "n")
