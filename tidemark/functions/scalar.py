@@ -108,3 +108,25 @@ def month_day(year: Column, month: int, day: int) -> Column:
     """That day of the year, or the month's last one where it has fewer."""
     first = F.make_date(year, F.lit(month), F.lit(1))
     return F.least(F.date_add(first, day - 1), F.last_day(first))
+
+
+def speed_score(weight: Column, seconds: Column, height: Column, position: Column) -> Column:
+    """Weight over the fourth power of the dash time, by height against the norm of the position; NULL
+    for other positions than WR and TE and without a time."""
+    score = F.try_divide(weight * 200.0, F.nullif(F.pow(seconds, F.lit(4)), F.lit(0.0))) * (height / F.when(position == "TE", 76.4).otherwise(73.0))
+    return F.when(position.isin("WR", "TE") & (seconds > 0), F.round(score, 2))
+
+
+def extended_salary(salary: Column, slot: Column, tag: Column, position: Column, extensions: Column, tag_prices: dict[str, Column], practice: tuple[str, ...] = ("PS",), step: int = 5) -> Column:
+    """What a player costs next season: the salary itself on practice slots and under a rookie tag, the
+    position's price under a franchise tag, else a step more for this extension and each before it."""
+    own = F.coalesce(salary, F.lit(0))
+    franchise = F.coalesce(*[F.when(position == p, F.coalesce(price, F.lit(0))) for p, price in tag_prices.items()], F.lit(0))
+    rising = own + (F.coalesce(extensions, F.lit(0)) + 1) * step
+    return F.when(slot.isin(*practice), own).when(tag == "franchise", franchise).when(tag == "rookie", own).otherwise(rising)
+
+
+def masked(value: Column, owner: Column, viewer: int | None, announced: Column, cover: str) -> Column:
+    """A private value for its owner and once it is announced; ``cover`` for other viewers."""
+    seen = announced if viewer is None else announced | (owner == viewer)
+    return F.when(value.isNull() | F.coalesce(seen, F.lit(False)), value).otherwise(cover)

@@ -34,15 +34,18 @@ def scan(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Colum
     """
     sums, lasts = sums or {}, lasts or {}
     dealt = df.withColumns({f"_v_{n}": c for n, c in (sums | lasts).items()}).repartitionByRange(*keys, *order).withColumn("_run", F.spark_partition_id())
-    rows = Workspace(df.sparkSession, "scan").save(dealt, "runs")
+    space = Workspace(df.sparkSession, "scan")
+    rows = space.save(dealt, "runs")
     ordered = Window.partitionBy(*keys, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    local = rows.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(ordered) for n in sums} | {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(ordered) for n in lasts})
+    if space.files("runs") < 2:  # one run holds everything, so nothing is carried
+        return local.select(*df.columns, *[F.col(f"_l_{n}").alias(n) for n in (*sums, *lasts)])
     place = [F.col(c) for c in order]
     gathered = {n: F.sum(f"_v_{n}") for n in sums} | {n: F.max(F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*place, F.col(f"_v_{n}").alias("_value")))) for n in lasts}
     totals = rows.groupBy(*keys, "_run").agg(*[c.alias(f"_c_{n}") for n, c in gathered.items()])
     earlier = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(*keys, "_run", F.count("*").over(earlier).alias("_runs"), *[F.sum(f"_c_{n}").over(earlier).alias(f"_c_{n}") for n in sums], *[F.last(F.col(f"_c_{n}")["_value"], ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in lasts])
     carried = F.broadcast(carried.filter("_runs > 0").drop("_runs"))
-    local = rows.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(ordered) for n in sums} | {f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(ordered) for n in lasts})
     met = join_by(local, carried, [*keys, "_run"], "left")
     total = lambda n: F.when(F.col(f"_l_{n}").isNull(), F.col(f"_c_{n}")).otherwise(F.col(f"_l_{n}") + F.coalesce(f"_c_{n}", F.lit(0)))
     return met.select(*df.columns, *[total(n).alias(n) for n in sums], *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in lasts])

@@ -227,6 +227,8 @@ class Catalog:
     parts_of_game: dict[str, str] = field(default_factory=dict)
     #: Units that a game lies in as a whole.
     around_game: tuple[str, ...] = ()
+    #: Which facts count at all; those for which it is null do not. A filter of each view.
+    live: str | None = None
     #: The fact's date column, by which years are cut out in the scan.
     dated: str | None = None
     #: Columns that a fact gets only where a request names them: the table, its key, and the fact's.
@@ -241,7 +243,7 @@ class Catalog:
 
     def facts(self, texts: list[str]) -> DataFrame:
         """The fact with the looked-up columns that any of the expressions mentions."""
-        out = self.fact
+        out = self.fact if self.live is None else self.fact.filter(F.expr(self.live))
         for column, (table, key, own) in self.lookups.items():
             if any(column in text for text in texts):
                 out = out.join(table.select(F.col(key).alias("_key"), F.col(column)), F.col(own) == F.col("_key"), "left").drop("_key")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark import queries_asof, queries_attach, queries_columns, queries_enrichment, queries_gamelogs, queries_history, queries_lineage, queries_live, queries_maintained, queries_measures, queries_more, queries_plays, queries_rates, queries_scoring, queries_selections, queries_settlement, queries_signals  # noqa: F401  (registers their queries)
+from tidemark import queries_asof, queries_attach, queries_columns, queries_enrichment, queries_gamelogs, queries_history, queries_lineage, queries_live, queries_maintained, queries_measures, queries_more, queries_player, queries_plays, queries_rates, queries_scoring, queries_selections, queries_settlement, queries_signals  # noqa: F401  (registers their queries)
 from tidemark.functions import scalar
 from tidemark.operators import joins, lineage, ordered
 from tidemark.plans.model import Filter, Output, ViewColumn, ViewRequest

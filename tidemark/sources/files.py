@@ -77,3 +77,16 @@ def upsert(new: DataFrame, path: str, keys: list[str], partition: str, order: st
 def replace_scope(new: DataFrame, path: str, partition: str) -> None:
     """The partitions of ``new`` hold just its rows afterwards: rows that it lacks are stale and go."""
     _replace(new, path, partition)
+
+
+def append(new: DataFrame, path: str, partition: str | None = None) -> None:
+    """Adds rows to a Parquet table that has the same columns, in whatever order; other columns are an
+    error, found before anything is written."""
+    old = _existing(new.sparkSession, path, new.schema) if partition is None else None
+    if old is not None:
+        there = new.sparkSession.read.parquet(path)
+        if dict(there.dtypes) != dict(new.dtypes):
+            raise ValueError(f"the table has {sorted(there.dtypes)}, the rows {sorted(new.dtypes)}")
+        new = new.select(*there.columns)
+    writer = new.write.mode("append")
+    (writer.partitionBy(partition) if partition else writer).parquet(path)

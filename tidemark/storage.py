@@ -41,6 +41,11 @@ class Workspace:
             df.write.mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
+    def files(self, table: str) -> int:
+        """How many part files a saved table has."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
+        return sum(f.getPath().getName().startswith("part-") for f in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path))
+
     def drop(self, *tables: str) -> None:
         for table in tables:
             delete(self.spark, self.path(table))
