@@ -79,3 +79,48 @@ def settled(selections: DataFrame, plays: DataFrame, game: str, order: list[str]
     bound = F.coalesce(*[F.when(F.col("market") == n, F.lit(float(b))) for n, b in least.items()]) if least else F.lit(None).cast("double")
     met = selections.join(values, ["game", "subject", "market"], "left")
     return met.withColumn("result", result(F.col("value"), F.col("line"), F.col("side"), bound))
+
+
+# By how much a line is softened, as a share of it and at most so much.
+CUSHIONS: dict[str, tuple[float, int | None]] = {
+    "passing_yards": (0.06, 16), "rushing_yards": (0.12, 9), "receiving_yards": (0.12, 9), "passing_touchdowns": (0.15, None), "passing_rushing_yards": (0.06, 20), "targets": (0.15, None),
+    "first_quarter_passing_yards": (0.06, 8), "first_quarter_rushing_yards": (0.12, 5), "first_quarter_receiving_yards": (0.12, 5), "first_half_passing_yards": (0.06, 12), "first_half_rushing_yards": (0.12, 7), "first_half_receiving_yards": (0.12, 7),
+}
+
+
+def softened(line: Column, market: Column) -> Column:
+    """The line less its market's cushion, which is rounded to whole numbers; the line itself for others."""
+    cushion = F.lit(0.0)
+    for name, (share, most) in CUSHIONS.items():
+        own = F.floor(line * share + 0.5).cast("double")
+        cushion = F.when(market == name, own if most is None else F.least(own, F.lit(float(most)))).otherwise(cushion)
+    return line - cushion
+
+
+def hit_history(selections: DataFrame, logs: DataFrame, subject: str, at: str, season: str, value: str) -> DataFrame:
+    """``selections`` (subject, at, season, market, side, line, implied) with rates at which the subject's
+    earlier games of ``logs`` (subject, at, season, value) would have hit: over all of them, this season,
+    the last season, the last five and ten, each against the line (``_hard``) and the softened one
+    (``_soft``), and with the edge of both over the implied probability. NULL without such games.
+
+    A subject's games are one array of a career's length, which its selections share; each looks
+    through the part before it, so a selection and a game never become a row.
+    """
+    career = logs.filter(F.col(value).isNotNull()).groupBy(subject).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(season).alias("season"), F.col(value).cast("double").alias("value")))).alias("_games"))
+    met = selections.join(career, subject, "left").withColumn("_past", F.filter("_games", lambda g: g["at"] < F.col(at)))
+    n = F.size("_past")
+    last = lambda k: F.when(n > k, F.slice("_past", n - (k - 1), F.lit(k))).otherwise(F.col("_past"))
+    spans = {"overall": F.col("_past"), "season": F.filter("_past", lambda g: g["season"] == F.col(season)), "last_season": F.filter("_past", lambda g: g["season"] == F.col(season) - 1), "last_5": last(5), "last_10": last(10)}
+    met = met.withColumn("_soft", softened(F.col("line").cast("double"), F.col("market")))
+    under = F.col("side").isin("UNDER", "NO")
+    out = {}
+    for name, span in spans.items():
+        for kind, line in (("hard", F.col("line").cast("double")), ("soft", F.col("_soft"))):
+            out[f"{name}_{kind}"] = F.try_divide(_hits(span, line, under).cast("double"), F.nullif(F.size(span), F.lit(0)))
+    met = met.withColumns(out)
+    edges = {f"{name}_edge_{kind}": F.col(f"{name}_{kind}") - F.col("implied") for name in spans for kind in ("hard", "soft")}
+    return met.withColumns(edges).drop("_games", "_past", "_soft")
+
+
+def _hits(span: Column, line: Column, under: Column) -> Column:
+    return F.size(F.filter(span, lambda game: F.when(under, game["value"] < line).otherwise(game["value"] > line)))

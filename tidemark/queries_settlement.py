@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.operators.settlement import Market, settled
+from tidemark.operators.settlement import Market, hit_history, settled
 from tidemark.registry import query
 from tidemark.sources.star import table
 
@@ -52,3 +52,28 @@ def market_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda r: F.count(F.when(F.col("result") == r, 1))
     done = settled(asked, plays, "game", PLACE, MARKETS)
     return done.groupBy("market", "subject", "side").agg(F.count("*").alias("n"), count("WON").alias("won"), count("LOST").alias("lost"), count("PUSH").alias("pushed"), F.sum("value").alias("total"))
+
+
+SPANS = {"overall": "true", "season": "g.season = s.season", "last_season": "g.season = s.season - 1", "last_5": "back <= 5", "last_10": "back <= 10"}
+RATES = ", ".join(
+    f"round(count(*) FILTER (WHERE {span} AND CASE side WHEN 'UNDER' THEN g.value < {line} ELSE g.value > {line} END) / CAST(nullif(count(*) FILTER (WHERE {span} AND g.value IS NOT NULL), 0) AS DOUBLE){less}, 6) + 0.0::DOUBLE AS {name}_{tag}{kind}"
+    for name, span in SPANS.items() for kind, line in (("hard", "line"), ("soft", "soft")) for tag, less in (("", ""), ("edge_", " - any_value(implied)"))
+)
+
+
+@query(f"""WITH g AS (SELECT o_custkey, epoch_us(o_orderdate) // 1000000 * 100000 + o_orderkey AS moment, year(o_orderdate) AS season, floor(o_totalprice / 2000) AS value FROM orders),
+s AS (SELECT o_orderkey, o_custkey, epoch_us(o_orderdate) // 1000000 * 100000 + o_orderkey AS moment, year(o_orderdate) AS season, ['passing_yards', 'rushing_yards', 'targets', 'other'][1 + o_custkey % 4] AS market, CASE WHEN o_orderkey % 3 = 0 THEN 'UNDER' ELSE 'OVER' END AS side, CAST(60 + o_orderkey % 150 AS DOUBLE) AS line, 0.4 + o_orderkey % 5 / 10.0 AS implied FROM orders WHERE year(o_orderdate) IN (1997, 1998)),
+t AS (SELECT *, line - CASE market WHEN 'passing_yards' THEN least(floor(line * 0.06 + 0.5), 16) WHEN 'rushing_yards' THEN least(floor(line * 0.12 + 0.5), 9) WHEN 'targets' THEN floor(line * 0.15 + 0.5) ELSE 0 END AS soft FROM s),
+p AS (SELECT t.o_orderkey, g.season, g.value, row_number() OVER (PARTITION BY t.o_orderkey ORDER BY g.moment DESC) AS back FROM t JOIN g ON g.o_custkey = t.o_custkey AND g.moment < t.moment)
+SELECT s.o_orderkey, {RATES} FROM t s LEFT JOIN p g ON g.o_orderkey = s.o_orderkey GROUP BY s.o_orderkey""")
+def soft_and_hard_hit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each selection's line, and the softened one, was beaten before, and the edge over its odds."""
+    orders = table(spark, sf_dir, "orders")
+    moment = (F.floor(F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 1_000_000) * 100_000 + F.col("o_orderkey")).alias("moment")
+    logs = orders.select("o_custkey", moment, F.year("o_orderdate").alias("season"), F.floor(F.col("o_totalprice") / 2000).alias("value"))
+    market = F.get(F.array(*map(F.lit, ("passing_yards", "rushing_yards", "targets", "other"))), (F.col("o_custkey") % 4).cast("int"))
+    asked = orders.filter(F.year("o_orderdate").isin(1997, 1998)).select(
+        "o_orderkey", "o_custkey", moment, F.year("o_orderdate").alias("season"), market.alias("market"), F.when(F.col("o_orderkey") % 3 == 0, "UNDER").otherwise("OVER").alias("side"), (60 + F.col("o_orderkey") % 150).cast("double").alias("line"), (0.4 + F.col("o_orderkey") % 5 / 10).alias("implied")
+    )
+    found = hit_history(asked, logs, "o_custkey", "moment", "season", "value")
+    return found.select("o_orderkey", *[(F.round(f"{n}_{tag}{k}", 6) + F.lit(0.0)).alias(f"{n}_{tag}{k}") for n in SPANS for k in ("hard", "soft") for tag in ("", "edge_")])
