@@ -310,6 +310,7 @@ def test_quality(spark, docs, none):
         repeated = {j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
         lines = [x for x in (text or "").split("\n") if WORD.search(x)]
         assert (got[doc_id]["n_words"], got[doc_id]["word_chars"], got[doc_id]["n_repeat_words"], got[doc_id]["n_dup_lines"]) == (len(words), sum(map(len, words)), len(repeated), len(lines) - len(set(lines)))
+        assert got[doc_id]["n_symbols"] == sum(c in "#*$%&|<>" for c in text or "")
         assert got[doc_id]["base_failed"] == (len(words) < 50 or 100 * len(repeated) > 50 * len(words))
     assert quality_outliers.quality_rules(spark, none).count() == 0
 

@@ -136,3 +136,34 @@ def test_toxicity_on_held_out_rows(spark):
     above = sum(np.searchsorted(np.sort(negative), p) + 0.5 * sum(n == p for n in negative) for p in positive)
     print("held out:", len(positive), len(negative), "area", above / (len(positive) * len(negative)), "flagged", sum(r["predicted"] for r in got if r["toxic"] == 1), sum(r["predicted"] for r in got if r["toxic"] == 0))
     assert above / (len(positive) * len(negative)) >= 0.9
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, label int, word string, _word long, _bits long, size long, key double, copies int, component_id long, id long"
+
+
+def awkward(rows):
+    return [(i, t, "en", source, None, 0, "w", 1, 1, 0, 0.0, 1, 0, 0) for i, t, source in rows]
+
+
+@pytest.mark.parametrize("name", ["toxicity", "ngram_jaccard_join", "secret_scans", "source_mixing", "byte_bpe"])
+def test_stages_on_awkward_rows(spark, name):
+    """Empty tables, null and repeated ids, null, empty and long texts, columns of clashing names."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, spark.createDataFrame([], AWKWARD), SF).count() == 0
+    long = " ".join(f"w{i % 5000}" for i in range(220_000))  # over a megabyte
+    rows = awkward([(None, "a few words here", None), (None, None, "s"), (7, "", "s"), (7, None, "s"), (7, "the same words", "s"), (7, "the same words", "s"), (8, long, "t"), (9, "password = hunter22secret and more", "t")])
+    out = stage(spark, spark.createDataFrame(rows, AWKWARD), SF)
+    found = out.collect()
+    if name != "byte_bpe":
+        assert out.columns == [c.split(" ")[0] for c in AWKWARD.split(", ")]
+    texts = Counter(r["text"] for r in found) if name != "byte_bpe" else None
+    if name == "toxicity":
+        assert texts.total() == 8
+    elif name == "ngram_jaccard_join":
+        assert texts.total() == 8 and texts["the same words"] == 2
+    elif name == "secret_scans":
+        assert texts.total() == 8 and texts[long] == 1 and not any("hunter22" in t for t in texts if t) and texts[None] == 2
+    elif name == "source_mixing":
+        assert None not in texts and "" not in texts and len(found) > 0
+    else:
+        assert len(found) == 8 and sorted(r["n_tokens"] for r in found)[:3] == [0, 0, 0]

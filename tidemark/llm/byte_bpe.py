@@ -14,7 +14,7 @@ an incomplete character until its last byte arrives.
 
 Edge cases: a null or empty text has no tokens and decodes to nothing. Repeated rows are encoded
 separately, whole texts always. An empty table gives an empty result. Special tokens are ordinary
-text.
+text. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ keyword and are found by their own scan. Tokens that embed a checksum (the prefi
 
 Edge cases: a null or empty text has no spans. Matches of one kind never overlap; kinds may.
 Repeated rows are scanned separately, whole texts always. An empty table gives an empty result.
+Extra columns are ignored by the scan and kept as they are by the redaction.
 Spans are code points with the end excluded.
 """
 

@@ -28,21 +28,22 @@ def bit_table(ids: DataFrame) -> DataFrame:
     return placed.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
 
 
-def marked(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, Column]:
-    """``docs`` with the words of the bit table, and whether a row may be among the ids."""
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(row, maybe): the rows of ``docs``, and whether they may be among the ids. Rows are structs here,
+    so that their columns may have any name."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"))
     # At most BITS / 64 rows, whatever the input.
-    met = docs.join(F.broadcast(bit_table(ids)), word_of("doc_id") == F.col("_word"), "left")
-    return met, F.coalesce(F.getbit("_bits", bit_of("doc_id")) == 1, F.lit(False))
+    met = rows.join(F.broadcast(bit_table(ids)), word_of("_id") == F.col("_word"), "left")
+    return met.select("row", F.coalesce(F.getbit("_bits", bit_of("_id")) == 1, F.lit(False)).alias("maybe"))
 
 
 def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is in ``ids`` (doc_id, distinct)."""
-    met, maybe = marked(docs, ids)
-    return met.filter(maybe).select(*docs.columns).join(ids, "doc_id", "left_semi").select(*docs.columns)
+    return marked(docs, ids).filter("maybe").select("row.*").join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The other rows, those with a null doc_id among them."""
-    met, maybe = marked(docs, ids)
-    settled = met.filter(maybe).select(*docs.columns).join(ids, "doc_id", "left_anti")
-    return met.filter(~maybe).select(*docs.columns).unionByName(settled.select(*docs.columns))
+    met = marked(docs, ids)
+    settled = met.filter("maybe").select("row.*").join(ids.select("doc_id"), "doc_id", "left_anti")
+    return met.filter("not maybe").select("row.*").unionByName(settled.select(*docs.columns))
