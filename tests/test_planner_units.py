@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.plans import model
 from tidemark.plans.model import Accumulator, Catalog, Filter, Measure, Output, RateUnit, ViewColumn, ViewRequest, filtered
 from tidemark.plans.view import plan_view
 from tidemark.sources.files import append
@@ -64,3 +65,19 @@ def test_append(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "b")]
     with pytest.raises(ValueError, match="the table has"):
         append(spark.createDataFrame([("3", "c")], "k string, s string"), path)
+
+
+def test_outputs_can_be_registered(spark):
+    with pytest.raises(ValueError, match="registered already"):
+        model.period_output("mean")(lambda value, output: value)
+    with pytest.raises(ValueError, match="unknown output"):
+        Output("spread", "game")
+    model.period_output("spread")(lambda value, output: F.max(value) - F.min(value))
+    try:
+        fact = spark.createDataFrame([(1, 1, 5), (1, 1, 1), (1, 2, 9), (2, 3, 4)], "who int, game int, v int").withColumn("year", F.lit(1996))
+        catalog = Catalog(fact, {"player": (spark.createDataFrame([(1,), (2,), (3,)], "id int"), "id", ())}, {"player": "who"}, units={"game": "game"})
+        catalog.register(Measure("v", Accumulator("v_sum", "sum", "v")))
+        rows = plan_view(catalog, ViewRequest((ViewColumn("v", Output("spread", "game")), ViewColumn("v", Output("most", "game"))))).collect()
+        assert {r["subject"]: (r["v_0"], r["v_1"]) for r in rows} == {1: (3.0, 9.0), 2: (0.0, 4.0), 3: (None, None)}
+    finally:
+        model.PERIOD_OUTPUTS.pop("spread")

@@ -6,6 +6,7 @@ grain, and the combine step comes last, so a ratio is never averaged or summed.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -109,16 +110,55 @@ def filtered(df: DataFrame, filters: tuple[Filter, ...] | list[Filter]) -> DataF
     return df
 
 
+COMPARE = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt, "=": operator.eq, "<>": operator.ne}
+#: What a cell makes of a measure's values by period, by the kind of the output.
+PERIOD_OUTPUTS: dict[str, Callable[[Column, Output], Column]] = {}
+
+
+def period_output(kind: str) -> Callable:
+    """Registers an aggregate over a measure's values by period as a kind of output."""
+
+    def add(make: Callable[[Column, Output], Column]) -> Callable[[Column, Output], Column]:
+        if kind in PERIOD_OUTPUTS or kind in ("total", "rate"):
+            raise ValueError(f"output {kind!r} is registered already")
+        PERIOD_OUTPUTS[kind] = make
+        return make
+
+    return add
+
+
+@period_output("mean")
+def _mean(value: Column, output: Output) -> Column:
+    return F.round(F.avg(value), 8)
+
+
+@period_output("count")
+def _count(value: Column, output: Output) -> Column:
+    compare, bound = output.threshold
+    return F.count(F.when(COMPARE[compare](value, F.lit(bound)), 1))
+
+
+@period_output("most")
+def _most(value: Column, output: Output) -> Column:
+    return F.max(value)
+
+
+@period_output("least")
+def _least(value: Column, output: Output) -> Column:
+    return F.min(value)
+
+
 @dataclass(frozen=True)
 class Output:
-    """How a measure becomes a cell: None (total), rate, count or mean."""
+    """How a measure becomes a cell: as a total, as a rate, or from its values by period (count, mean,
+    most, least, and whatever else is registered)."""
 
     kind: str = "total"
     unit: str | None = None  # the denominator unit of a rate, the period of count and mean
     threshold: tuple[str, float] | None = None
 
     def __post_init__(self):
-        if self.kind not in ("total", "rate", "count", "mean"):
+        if self.kind not in ("total", "rate", *PERIOD_OUTPUTS):
             raise ValueError(f"unknown output {self.kind!r}")
         if (self.kind == "count") != (self.threshold is not None):
             raise ValueError("a count needs a threshold, and only a count takes one")

@@ -10,15 +10,13 @@ column's own filters.
 from __future__ import annotations
 
 import operator
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.plans.attach import attach
-from tidemark.plans.model import NOT_ADDITIVE, Catalog, Filter, RateUnit, ViewColumn, ViewRequest, filtered
-
-COMPARE = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt, "=": operator.eq, "<>": operator.ne}
-
+from tidemark.plans.model import COMPARE, NOT_ADDITIVE, PERIOD_OUTPUTS, Catalog, Filter, RateUnit, ViewColumn, ViewRequest, filtered
 
 def output_names(request: ViewRequest) -> list[str]:
     """The measure's name and how often it was used before, as in ``revenue_0``, ``revenue_1``."""
@@ -199,25 +197,22 @@ def _field_denominators(catalog: Catalog, request: ViewRequest) -> DataFrame | N
     return members.join(games, own).select(*_keys(request), *[seen(n).alias(n) for n in units]).groupBy(*_keys(request)).agg(*[F.sum(n).alias(f"per_{n}") for n in units])
 
 
+#: What makes the denominators of each kind of unit: a row for each cell with ``per_`` columns, or None.
+DENOMINATORS: dict[str, Callable[[Catalog, ViewRequest], DataFrame | None]] = {"own": _rate_denominators, "team": _team_denominators, "role": _role_denominators, "field": _field_denominators}
+
+
 def _period_batches(catalog: Catalog, request: ViewRequest) -> list[tuple[DataFrame, list[str]]]:
     """Counts and means: a value for each period first, then one row for each cell."""
     groups: dict[tuple, list[tuple[str, ViewColumn]]] = {}
     for name, column in zip(output_names(request), request.columns):
-        if column.output.kind in ("count", "mean"):
+        if column.output.kind in PERIOD_OUTPUTS:
             groups.setdefault((column.filters, column.output.unit, column.career_years, column.career_games), []).append((name, column))
     out = []
     for (filters, unit, years, games), members in groups.items():
         needed = {a.name: a for _, c in members for a in catalog.measures[c.measure].accumulators()}
         facts = _career(catalog, request, years, games, _with_subject(catalog, request, _scoped(catalog, request, filters))).withColumn("period", F.expr(catalog.units[unit]))
         periods = facts.groupBy(*_keys(request), "period").agg(*[a.column().alias(n) for n, a in needed.items()])
-        cells = []
-        for name, c in members:
-            value = catalog.measures[c.measure].combine()
-            if c.output.kind == "mean":
-                cells.append(F.round(F.avg(value), 8).alias(name))
-            else:
-                op, bound = c.output.threshold
-                cells.append(F.count(F.when(COMPARE[op](value, F.lit(bound)), 1)).alias(name))
+        cells = [PERIOD_OUTPUTS[c.output.kind](catalog.measures[c.measure].combine(), c.output).alias(name) for name, c in members]
         out.append((periods.groupBy(*_keys(request)).agg(*cells), [n for n, _ in members]))
     return out
 
@@ -255,7 +250,7 @@ def plan_view(catalog: Catalog, request: ViewRequest) -> DataFrame:
     view = _spine(catalog, request)
     for batch, cells, own in _total_batches(catalog, request):
         view = view.join(batch.select(*own, *[c.alias(n) for n, c in cells.items()]), own, "left")
-    for denominators in (f(catalog, request) for f in (_rate_denominators, _team_denominators, _role_denominators, _field_denominators)):
+    for denominators in (make(catalog, request) for make in DENOMINATORS.values()):
         if denominators is None:
             continue
         view = view.join(denominators, keys, "left")

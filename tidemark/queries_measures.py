@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans.model import ViewColumn, ViewRequest
+from tidemark.plans.model import Output, ViewColumn, ViewRequest
 from tidemark.plans.view import plan_view
 from tidemark.registry import query
 from tidemark.sources.star import play_measures, star_catalog
@@ -52,3 +52,10 @@ def view_receiver_play_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT n_nationkey AS subject, CAST(1996 AS INTEGER) AS year, w.week, n_name, r_name, m.* EXCLUDE (subject, year, week) FROM nation JOIN region ON n_regionkey = r_regionkey CROSS JOIN w LEFT JOIN m ON m.subject = n_nationkey AND m.week = w.week""")
 def view_team_week_play_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_view(star_catalog(spark, sf_dir), ViewRequest(all_measures(), grain="team", axes=("year", "week"), years=(1996,), limit=None))
+
+
+@query("""WITH $LINES, g AS (SELECT o_custkey AS subject, year, o_orderkey, CAST(sum(price) AS DOUBLE) AS v, CAST(count(l_linenumber) AS DOUBLE) AS n FROM lines WHERE year IN (1996, 1997) GROUP BY ALL),
+m AS (SELECT subject, year, max(v) AS revenue_0, min(v) AS revenue_1, max(n) AS lines_0 FROM g GROUP BY ALL) SELECT c_custkey AS subject, CAST(y.year AS INTEGER) AS year, c_name, c_mktsegment, revenue_0, revenue_1, lines_0 FROM customer CROSS JOIN (SELECT unnest([1996, 1997]) AS year) y LEFT JOIN m ON m.subject = c_custkey AND m.year = y.year""")
+def view_best_and_worst_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = (ViewColumn("revenue", Output("most", "game")), ViewColumn("revenue", Output("least", "game")), ViewColumn("lines", Output("most", "game")))
+    return plan_view(star_catalog(spark, sf_dir), ViewRequest(columns, axes=("year",), years=(1996, 1997), limit=None))
