@@ -50,10 +50,10 @@ def plays_and_games(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return plays, games
 
 
-@query(f"WITH {PLAYS} SELECT play, CAST(offense AS INTEGER) AS offense, CAST(defense AS INTEGER) AS defense, play_type, is_qb_kneel, is_qb_spike, is_success, drive_play_count FROM done")
+@query(f"WITH {PLAYS} SELECT play, CAST(offense AS INTEGER) AS offense, CAST(defense AS INTEGER) AS defense, play_type, is_qb_kneel, is_qb_spike, CAST(is_success AS INTEGER) AS is_success, drive_play_count FROM done")
 def enriched_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
     plays, games = plays_and_games(spark, sf_dir)
-    return enriched(plays, games, "game").select("play", "offense", "defense", "play_type", "is_qb_kneel", "is_qb_spike", "is_success", "drive_play_count")
+    return enriched(plays, games, "game").select("play", "offense", "defense", "play_type", "is_qb_kneel", "is_qb_spike", F.col("is_success").cast("int").alias("is_success"), "drive_play_count")
 
 
 @query(f"""WITH {PLAYS}, live AS (SELECT * FROM done WHERE play_type <> 'NOPL'), snaps AS (SELECT DISTINCT a.game, a.play, b.l_suppkey AS player, CASE WHEN b.l_suppkey % 2 = 0 THEN a.home ELSE a.away END AS team FROM plays a JOIN plays b ON a.game = b.game WHERE (a.l_partkey + b.l_suppkey) % 3 <> 0),

@@ -69,17 +69,17 @@ def held_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH RECURSIVE " + FOLD + """done AS (SELECT 1)
-SELECT asset, number, team, kind, period_start, period_end, terminated_by, previous, CAST(salary_paid AS DOUBLE) AS salary_paid FROM held""")
+SELECT asset, number, team, kind, CAST(period_start AS VARCHAR) AS period_start, CAST(period_end AS VARCHAR) AS period_end, terminated_by, previous, CAST(salary_paid AS DOUBLE) AS salary_paid FROM held""")
 def asset_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return held_assets(spark, sf_dir).select("asset", "number", "team", "kind", "period_start", "period_end", "terminated_by", "previous", F.col("salary_paid").cast("double").alias("salary_paid"))
+    return held_assets(spark, sf_dir).select("asset", "number", "team", "kind", F.col("period_start").cast("string").alias("period_start"), F.col("period_end").cast("string").alias("period_end"), "terminated_by", "previous", F.col("salary_paid").cast("double").alias("salary_paid"))
 
 
 @query("WITH RECURSIVE " + FOLD + """done AS (SELECT 1)
-SELECT source, name AS target, CASE WHEN kind = 'move' THEN 'trade' WHEN kind = 'acquire' AND previous_team = team THEN 'extension' WHEN kind = 'acquire' AND previous IS NOT NULL THEN 'poach' ELSE kind END AS type, period_start AS at, trade,
+SELECT source, name AS target, CASE WHEN kind = 'move' THEN 'trade' WHEN kind = 'acquire' AND previous_team = team THEN 'extension' WHEN kind = 'acquire' AND previous IS NOT NULL THEN 'poach' ELSE kind END AS type, CAST(period_start AS VARCHAR) AS at, trade,
        CASE WHEN source IS NOT NULL THEN 1.0::DOUBLE END AS source_share, 1.0::DOUBLE AS target_share FROM held WHERE kind <> 'move' OR source IS NOT NULL
-UNION ALL SELECT name, NULL, 'release', period_end, NULL, 1.0, NULL FROM held WHERE terminated_by = 'release'""")
+UNION ALL SELECT name, NULL, 'release', CAST(period_end AS VARCHAR), NULL, 1.0, NULL FROM held WHERE terminated_by = 'release'""")
 def asset_transformations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.transformations(held_assets(spark, sf_dir))
+    return lineage.transformations(held_assets(spark, sf_dir)).withColumn("at", F.col("at").cast("string"))
 
 
 @query("WITH RECURSIVE " + FOLD + "done AS (SELECT 1) SELECT source, target, trade, team, round(source_share, 9) AS source_share, round(target_share, 9) AS target_share FROM became")
@@ -115,7 +115,7 @@ spans AS (SELECT asset, team, period_start AS low, coalesce(period_end, DATE '21
 worth AS (SELECT s.team, p.value, greatest(p.day, s.low) AS low, least(s.high, coalesce(p.until, DATE '2100-01-01')) AS high
           FROM spans s JOIN (SELECT *, lead(day) OVER (PARTITION BY asset ORDER BY day) AS until FROM prices) p ON p.asset = s.asset AND p.day < s.high AND coalesce(p.until, DATE '2100-01-01') > s.low),
 days AS (SELECT team, CAST(unnest(generate_series(low, high, INTERVAL 1 DAY)) AS DATE) AS day FROM bounds)
-SELECT d.team, d.day, CAST(coalesce(sum(w.value), 0) AS DOUBLE) AS value FROM days d LEFT JOIN worth w ON w.team = d.team AND d.day >= w.low AND d.day < w.high GROUP BY d.team, d.day""")
+SELECT d.team, CAST(d.day AS VARCHAR) AS day, CAST(coalesce(sum(w.value), 0) AS DOUBLE) AS value FROM days d LEFT JOIN worth w ON w.team = d.team AND d.day >= w.low AND d.day < w.high GROUP BY d.team, d.day""")
 def daily_team_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, events = held_assets(spark, sf_dir), asset_events(spark, sf_dir)
     # Of holdings that begin or end on one day the last one says who has the asset at its end.
@@ -123,4 +123,4 @@ def daily_team_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = held.filter("period_end is not null").select("asset", F.col("period_end").alias("day"), "number", F.lit(2).alias("opens"), F.lit(None).cast("int").alias("team"))
     states = starts.unionByName(ends).groupBy("asset", "day").agg(F.max(F.struct("number", "opens", "team"))["team"].alias("team"))
     values = events.groupBy("asset", F.col("at").alias("day")).agg(F.max("value").alias("value"))
-    return lineage.daily_values(states, values).withColumn("value", F.col("value").cast("double"))
+    return lineage.daily_values(states, values).withColumns({"value": F.col("value").cast("double"), "day": F.col("day").cast("string")})

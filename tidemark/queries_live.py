@@ -21,9 +21,10 @@ l AS (SELECT subject, day, max(ts) AS last FROM e WHERE event_type = 'purchase'
 q AS (SELECT l.subject, l.day, arg_max(v, (ts, event_id)) AS quote FROM l JOIN e ON e.subject = l.subject AND e.day = l.day AND event_type = 'view' AND ts BETWEEN last - INTERVAL 3 HOUR AND last GROUP BY ALL),
 r AS (SELECT d.subject, d.day, coalesce(plays, 0) AS plays, coalesce(points, 0) / 100.0::DOUBLE AS accumulated, quote / 100.0::DOUBLE AS projection, coalesce(CAST(epoch_us(last) - epoch_us(CAST(d.day AS TIMESTAMP)) AS DOUBLE) / 86400000000, 0) AS progress
   FROM (SELECT DISTINCT subject, day FROM e, w WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= mark) d LEFT JOIN t USING (subject, day) LEFT JOIN l USING (subject, day) LEFT JOIN q USING (subject, day))
-SELECT subject, day, plays, accumulated, projection, round(progress, 6) AS progress, round(coalesce(projection, 0) * (1 - progress), 4) AS remaining, round(accumulated + coalesce(projection, 0) * (1 - progress), 4) AS total FROM r""")
+SELECT subject, CAST(day AS VARCHAR) AS day, plays, accumulated, projection, round(progress, 6) AS progress, round(coalesce(projection, 0) * (1 - progress), 4) AS remaining, round(accumulated + coalesce(projection, 0) * (1 - progress), 4) AS total FROM r""")
 def stream_live_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = windows.table_stream(spark, sf_dir)
     plays = live_rows(events, ("purchase", "error"), F.when(F.col("event_type") == "error", live.CORRECTION).otherwise(live.PLAY))
     with live.keyed_state(spark):
-        return windows.drain(live.live_projections(plays, live_rows(events, ("view",), F.lit(live.PROJECTION))), "append")
+        games = windows.drain(live.live_projections(plays, live_rows(events, ("view",), F.lit(live.PROJECTION))), "append")
+    return games.withColumn("day", F.col("day").cast("string"))
