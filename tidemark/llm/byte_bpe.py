@@ -36,6 +36,8 @@ from tidemark.llm.arrays import give_back
 MOST_PAIRS = 250_000
 MOST_STATES = 200_000
 MOST_PIECES = 350_000
+#: Rows whose ids are held at once.
+SLICE = 256
 LOOKAHEAD = 64
 NEVER = 1 << 60
 
@@ -240,7 +242,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in rows:
+        for batch in (whole.slice(low, SLICE) for whole in rows for low in range(0, whole.num_rows, SLICE)):
             ids = [own.encode(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
         own.forget()
@@ -255,13 +257,14 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for batch in rows:
+        for batch in (whole.slice(low, SLICE) for whole in rows for low in range(0, whole.num_rows, SLICE)):
             counts, encoded, decoded, packed = [], [], [], []
             for text in batch.column("text"):
                 ids, digest = own.encode(text.as_py() or ""), hashlib.sha256()
                 for part in decode_stream(own, (ids[i : i + chunk] for i in range(0, len(ids), chunk))):
                     digest.update(part.encode())
-                packed.append(ids)
+                if keep_ids:
+                    packed.append(ids)
                 counts.append(len(ids) // 4)
                 encoded.append(hashlib.sha256(ids).hexdigest())
                 decoded.append(digest.hexdigest())
