@@ -81,3 +81,25 @@ def test_outputs_can_be_registered(spark):
         assert {r["subject"]: (r["v_0"], r["v_1"]) for r in rows} == {1: (3.0, 9.0), 2: (0.0, 4.0), 3: (None, None)}
     finally:
         model.PERIOD_OUTPUTS.pop("spread")
+
+
+def test_no_function_is_defined_twice():
+    import ast
+    from collections import Counter
+    from pathlib import Path
+
+    import tidemark
+
+    for file in Path(tidemark.__file__).parent.rglob("*.py"):
+        names = Counter(node.name for node in ast.parse(file.read_text()).body if isinstance(node, (ast.FunctionDef, ast.ClassDef)))
+        assert [n for n, k in names.items() if k > 1] == [], file
+
+
+def test_both_speed_scores(spark):
+    from tidemark.functions import scalar
+
+    row = spark.range(1).select(
+        scalar.plain_speed_score(F.lit(200), F.lit(4.5)).alias("plain"), scalar.plain_speed_score(F.lit(200), F.lit(0)).alias("none"),
+        scalar.speed_score(F.lit(200), F.lit(4.5), F.lit(73), F.lit("WR")).alias("by_height"),
+    ).first()
+    assert (row["plain"], row["none"], row["by_height"]) == (97.55, None, 97.55)

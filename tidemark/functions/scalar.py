@@ -38,7 +38,8 @@ def body_mass_index(weight: Column, height: Column) -> Column:
     return F.when(height > 0, F.round(exact * 703 / (height * height), 2)).cast("double")
 
 
-def speed_score(weight: Column, forty: Column) -> Column:
+def plain_speed_score(weight: Column, forty: Column) -> Column:
+    """Weight over the fourth power of the dash time, whatever the position."""
     exact, forty = weight.cast("decimal(18,4)"), forty.cast("decimal(6,2)")
     return F.when(forty > 0, F.round(exact * 200 / (forty * forty * forty * forty), 2)).cast("double")
 

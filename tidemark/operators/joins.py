@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.operators.lineage import closure as walk  # noqa: F401 - its name before it moved
 from tidemark.operators.ordered import scan
 
 

@@ -56,7 +56,7 @@ upper(concat_ws(' ', split_part(p_name, ' ', 1), p_type)) AS full_name FROM part
 def attribute_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, price = F.col("p_size"), F.col("p_retailprice")
     return table(spark, sf_dir, "part").select(
-        "p_partkey", scalar.body_mass_index(price, size).alias("mass"), scalar.speed_score(price, size).alias("speed"), scalar.sum_of_known(size, F.when(size > 20, size)).alias("agility"),
+        "p_partkey", scalar.body_mass_index(price, size).alias("mass"), scalar.plain_speed_score(price, size).alias("speed"), scalar.sum_of_known(size, F.when(size > 20, size)).alias("agility"),
         F.upper(F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(1)), "p_type")).alias("full_name"),
     )
 
