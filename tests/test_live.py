@@ -44,3 +44,29 @@ def test_corrections_that_come_late(spark, tmp_path, per_batch):
     first = (1, 2.0, 10.0, 7.8333) if per_batch == 1 else (1, 0.01, 10.0, 5.8433)
     assert len(rows) == len(got) and got == {(1, "2024-03-01"): first, (2, "2024-03-01"): (2, 1.5, None, 1.5), (3, "2024-03-01"): (0, 0.0, None, 0.0), (1, "2024-03-03"): (1, 0.01, 0.01, 0.0196)}
     assert spark.conf.get(live.PROVIDER, None) != "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def test_games_need_no_call_to_python_for_each_row(spark):
+    """State is kept by Spark's own aggregation; a day's rows reach Python once, in batches of games."""
+    import contextlib
+    import io
+
+    stream = spark.readStream.schema(SHAPE).parquet("file:///root/testdata/sf0.001/none*")
+    quote = F.col("kind") == live.PROJECTION
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        live.live_projections(stream.filter(~quote), stream.filter(quote)).explain()
+    assert "TransformWithState" not in shown.getvalue() and "StateStoreSave" in shown.getvalue()
+
+
+def test_an_id_that_comes_twice_counts_as_it_came_last():
+    import pyarrow as pa
+
+    row = lambda arrived, at, own, value: {"arrived": arrived, "us": at * live.HOUR, "id": own, "kind": "play", "value": value}
+    games = [[row(2, 1, 1, 100), row(1, 3, 1, 900), row(1, 2, 2, 50)], [], [row(1, 30, 3, 7)]]
+    shape = pa.list_(pa.struct([("arrived", pa.int64()), ("us", pa.int64()), ("id", pa.int64()), ("kind", pa.string()), ("value", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6, None], pa.int64()), pa.array([0, 0, 1], pa.int64()), pa.array(games, shape)], ["subject", "day_number", "rows"])
+    (out,) = live.ended_games(live.HOUR)(iter([batch.slice(0)]))
+    assert [(r["subject"], str(r["day"]), r["plays"], r["accumulated"]) for r in out.to_pylist()] == [(5, "1970-01-01", 2, 1.5), (6, "1970-01-01", 0, 0.0), (None, "1970-01-02", 1, 0.07)]
+    (cut,) = live.ended_games(live.HOUR)(iter([batch.slice(2)]))
+    assert [(r["plays"], r["accumulated"]) for r in cut.to_pylist()] == [(1, 0.07)]
