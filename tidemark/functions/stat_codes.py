@@ -87,14 +87,14 @@ DEFENCE_LINE = (
 )
 
 
-def coded_lines(rows: DataFrame, keys: list[str], rules: tuple[Adds, ...], code: str = "stat_id") -> DataFrame:
-    """A line for each key: every column of ``rules``, 0 where no row adds to it. Conditions and worths
-    that are null add nothing. All columns come from one aggregation over the rows."""
+def coded_lines(rows: DataFrame, keys: list[str], rules: tuple[Adds, ...], code: str = "stat_id", more: tuple[Column, ...] = ()) -> DataFrame:
+    """A line for each key: every column of ``rules``, 0 where no row adds to it, and the aggregates of
+    ``more``. Conditions and worths that are null add nothing. All come from one aggregation."""
     parts: dict[str, list[Adds]] = {}
     for rule in rules:
         parts.setdefault(rule.column, []).append(rule)
     cells = [_cell(own, code).alias(name) for name, own in parts.items()]
-    return rows.groupBy(*keys).agg(*cells)
+    return rows.groupBy(*keys).agg(*cells, *more)
 
 
 def _cell(rules: list[Adds], code: str) -> Column:

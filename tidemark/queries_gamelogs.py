@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.functions.stat_codes import DEFENCE_LINE, PLAYER_LINE, coded_lines
 from tidemark.registry import query
-from tidemark.sources.star import table
+from tidemark.sources.star import by_order, table
 
 #: Codes that lines stand for, by the part's number. Some mean nothing to a player, some nothing at all.
 CODES = (2, 9, 10, 11, 12, 13, 14, 15, 16, 19, 20, 21, 22, 23, 24, 25, 26, 28, 34, 36, 46, 48, 56, 58, 59, 60, 62, 64, 69, 70, 71, 72, 73, 74, 75, 77, 89, 91, 104, 106, 111, 112, 115, 404, 420, 999)
@@ -18,8 +18,9 @@ ROWS = f"""rows AS (SELECT l_orderkey AS game, l_suppkey AS player, [{", ".join(
 
 def stat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stat row for each line: its supplier's, in a game of the customer's nation against the supplier's."""
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    met = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    games = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    met = by_order(spark, sf_dir, lines, games)
     pieces = F.col("l_quantity").cast("long")
     return met.select(
         F.col("l_orderkey").alias("game"), F.col("l_suppkey").alias("player"), F.element_at(F.array(*map(F.lit, CODES)), (1 + F.col("l_partkey") % len(CODES)).cast("int")).alias("stat_id"), (pieces - 5).alias("stat_yards"),
@@ -43,9 +44,8 @@ FROM rows GROUP BY game, player) SELECT k.* REPLACE (CAST(opponent AS INTEGER) A
 def player_game_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each player's line of each game with its snaps, their share of the game's plays, and the opponent."""
     rows = stat_rows(spark, sf_dir)
-    around = rows.groupBy("game", "player").agg(F.any_value("offence").cast("int").alias("opponent"), F.count("*").alias("snaps"))
-    games = rows.groupBy("game").agg(F.count("*").alias("plays"))
-    logs = coded_lines(rows, ["game", "player"], PLAYER_LINE).join(around, ["game", "player"]).join(games, "game")
+    around = (F.any_value("offence").cast("int").alias("opponent"), F.count("*").alias("snaps"))
+    logs = coded_lines(rows, ["game", "player"], PLAYER_LINE, more=around).withColumn("plays", F.sum("snaps").over(Window.partitionBy("game")))
     return logs.withColumns({"active": F.col("snaps") * 2 >= F.col("plays"), "snap_share": F.round(F.col("snaps") / F.col("plays"), 4)})
 
 

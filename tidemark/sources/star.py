@@ -12,6 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(df: DataFrame, rows: int = 250_000) -> int:
+    """How many tasks a table is dealt to so that each has about ``rows`` rows, however large it is;
+    Parquet footers hold the count. A number given to ``repartition`` is kept, whereas the tasks of
+    other shuffles are merged by their bytes and so hold ever more rows as compression allows."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
+def by_order(spark: SparkSession, sf_dir: str, lines: DataFrame, orders: DataFrame) -> DataFrame:
+    """Lines (``l_orderkey``) with their order (``o_orderkey``), an order's lines in one task of bounded
+    size, so that what is grouped by the order, or by it and more, is shuffled no further."""
+    n = tasks(table(spark, sf_dir, "lineitem"))
+    return lines.repartition(n, "l_orderkey").join(orders.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with their order's customer and calendar. Money is decimal, so sums are exact."""
     orders = table(spark, sf_dir, "orders").select(
@@ -19,7 +33,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     lines = table(spark, sf_dir, "lineitem")
     money = {c: F.col(c).cast("decimal(18,2)") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")}
-    return lines.withColumns(money).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey")
+    return by_order(spark, sf_dir, lines.withColumns(money), orders).drop("l_orderkey")
 
 
 #: Kinds of plays among the lines; other lines are no plays.
