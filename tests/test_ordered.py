@@ -148,3 +148,23 @@ def test_daily_values_by_sweep(spark):
     for team in range(3):
         days = sorted(at for own, at in got if own == team)
         assert [(b - a).days for a, b in zip(days, days[1:])] == [1] * (len(days) - 1)
+
+
+@pytest.mark.parametrize("name", ["player_game_logs", "defence_game_logs", "cohort_share", "opponents_map", "snap_shares", "plays_grouped", "pair_correlations"])
+def test_lines_are_dealt_to_tasks_of_bounded_size(spark, name):
+    """The number of tasks follows the rows; merged by bytes they grew until one held gigabytes."""
+    import contextlib
+    import io
+
+    from tidemark.queries import QUERIES
+    from tidemark.sources.star import tasks
+
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        QUERIES[name](spark, "/root/testdata/sf0.001").explain()
+    plan = shown.getvalue()
+    assert "REPARTITION_BY_NUM" in plan
+    if name in ("player_game_logs", "cohort_share"):
+        assert plan.count("lineitem.parquet") == 1
+    cores = spark.sparkContext.defaultParallelism
+    assert tasks(spark.range(1000), 10) == 100 and tasks(spark.range(1), 10) == tasks(spark.range(0), 10) == cores

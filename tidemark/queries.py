@@ -86,8 +86,8 @@ SELECT l_suppkey, round(CAST(sum(own) AS DOUBLE) / CAST(sum(team) AS DOUBLE), 6)
 def cohort_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = order_lines(spark, sf_dir)
     own = lines.groupBy("l_suppkey", "o_orderkey").agg(F.sum("l_extendedprice").alias("own"))
-    team = lines.groupBy("o_orderkey").agg(F.sum("l_extendedprice").alias("team"))
-    shares = own.join(team, "o_orderkey").groupBy("l_suppkey").agg(F.sum("own").alias("own"), F.sum("team").alias("team"), F.count("*").alias("games"))
+    both = own.withColumn("team", F.sum("own").over(Window.partitionBy("o_orderkey")))
+    shares = both.groupBy("l_suppkey").agg(F.sum("own").alias("own"), F.sum("team").alias("team"), F.count("*").alias("games"))
     return shares.select("l_suppkey", F.round(F.col("own").cast("double") / F.col("team").cast("double"), 6).alias("share"), "games")
 
 
