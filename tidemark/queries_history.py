@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions import scalar
 from tidemark.operators import history
 from tidemark.registry import query
-from tidemark.sources.star import order_lines, table
+from tidemark.sources.star import order_lines, table, tasks
 from tidemark.streaming import windows
 
 
@@ -53,7 +53,7 @@ SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n, round(corr(CAST(a.p AS
 FROM v a JOIN v b ON a.o_orderkey = b.o_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL HAVING count(*) >= 5""")
 def pair_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = order_lines(spark, sf_dir).groupBy("o_orderkey", "l_suppkey").agg(F.sum("l_extendedprice").cast("double").alias("p"))
-    made = history.pair_correlations(values, "o_orderkey", "l_suppkey", "p", 5, 10.0)
+    made = history.pair_correlations(values, "o_orderkey", "l_suppkey", "p", 5, 10.0, tasks(table(spark, sf_dir, "lineitem")))
     return made.withColumns({"r": F.round("r", 6), "shrunk": F.round("shrunk", 6)})
 
 
