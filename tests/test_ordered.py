@@ -168,3 +168,19 @@ def test_lines_are_dealt_to_tasks_of_bounded_size(spark, name):
         assert plan.count("lineitem.parquet") == 1
     cores = spark.sparkContext.defaultParallelism
     assert tasks(spark.range(1000), 10) == 100 and tasks(spark.range(1), 10) == tasks(spark.range(0), 10) == cores
+
+
+def test_holdings_by_windows_and_by_ranges_are_the_same(spark, tmp_path):
+    from tidemark.queries_lineage import ORDER, asset_events
+
+    events = asset_events(spark, "/root/testdata/sf0.001")
+    ties = events.groupBy("asset", *ORDER).count().filter("count > 1")  # whose order is open
+    events = events.join(ties, ["asset", *ORDER], "left_anti")
+    events = events.unionByName(events.filter("asset < 20").withColumns({"asset": F.lit(None).cast("long"), "l_suppkey": F.col("l_suppkey") + 1000}))
+    found = {}
+    for most in (0, 40, 10**9):
+        rows = lineage.holdings(events, ORDER, most=most)
+        found[most] = sorted(map(str, rows.collect()))
+        files = len({f.split("/")[-2] for f in rows.inputFiles()})
+        assert files == 1
+    assert found[0] == found[40] == found[10**9] and len(found[0]) > 1000 and "asset=None" not in "".join(found[0])

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.operators.ordered import scan
+from tidemark.operators.ordered import scan, tasks
 from tidemark.storage import Workspace
 
 #: Event kinds that open a holding. The others, ``release``, end the holding of their own team.
 OPENING = ("acquire", "endow", "move")
 
 
-def holdings(events: DataFrame, order: list[str]) -> DataFrame:
+#: Events of an asset that one task sorts; assets with more are dealt to several.
+MOST = 100_000
+
+
+def holdings(events: DataFrame, order: list[str], most: int = MOST, counted: DataFrame | None = None) -> DataFrame:
     """Intervals in which a team holds an asset, from a stream of events (asset, kind, team, giver,
     trade, salary, value, at, and the columns of ``order``, which leaves no ties within an asset).
 
@@ -20,11 +24,59 @@ def holdings(events: DataFrame, order: list[str]) -> DataFrame:
     is ignored otherwise. A move takes over the salary of the holding that it ends. An asset's
     holdings are numbered from 1; ``previous`` is the number of the one that an opening ended.
 
-    Openings are counted along the asset's order by a scan of ranges, so an asset with any number of
-    events lies in many tasks; the events between two openings are one group, aggregated before
-    they are shuffled. An empty stream gives no holdings.
+    Assets of up to ``most`` events are shuffled once and done by windows. Of the others openings are
+    counted along the asset's order by a scan of ranges, so an asset with any number of events lies in
+    many tasks; the events between two openings are one group, aggregated before they are shuffled.
+    ``counted`` (asset) may give rows to count that an asset has no fewer of than events, where these
+    are cheaper to read. Events of no asset do not count; an empty stream gives no holdings.
     """
     space = Workspace(events.sparkSession, "holdings")
+    events = events.filter("asset is not null")
+    counted = events if counted is None else counted
+    sizes = counted.groupBy("asset").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(F.struct("asset").alias("_large"))
+    large = space.save(sizes, "large")
+    if large.isEmpty():
+        return space.save(_windowed(events, order, counted), "held")
+    same = F.struct("asset").eqNullSafe(F.col("_large"))
+    small, rest = events.join(F.broadcast(large), same, "left_anti"), events.join(F.broadcast(large), same, "left_semi")
+    return space.save(_windowed(small, order, counted).unionByName(_ranged(rest, order)), "held")
+
+
+def _windowed(events: DataFrame, order: list[str], counted: DataFrame) -> DataFrame:
+    """``holdings`` by windows over an asset's events, in one shuffle of them."""
+    dealt = events.repartition(tasks(counted), "asset")
+    path = Window.partitionBy("asset").orderBy(*order)
+    far = path.rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.col("kind").isin(*OPENING)
+    numbered = dealt.withColumns({"number": F.sum(opens.cast("long")).over(far), "_team": F.last(F.when(opens, F.col("team")), ignorenulls=True).over(far)}).filter("number > 0")
+    released = (F.col("kind") == "release") & (F.col("team") == F.col("_team"))
+    span = Window.partitionBy("asset", "number")
+    # Both windows stay in the asset's task; a span's events are those up to the next opening.
+    spans = numbered.withColumn("released", F.min(F.when(released, F.col("at"))).over(span)).filter(opens)
+    line = Window.partitionBy("asset").orderBy("number")
+    next_of = lambda c: F.lead(c).over(line)
+    met = spans.withColumns({
+        "_next_at": next_of("at"), "_next_kind": next_of("kind"), "_next_team": next_of("team"), "_before": F.lag("team").over(line),
+        "previous": F.lag(F.when(F.col("released").isNull(), F.col("number"))).over(line),
+    })
+    paid = F.when((F.col("kind") != "move") | F.col("previous").isNull(), F.struct(F.when(F.col("kind") == "acquire", F.col("salary")).alias("paid")))
+    met = met.withColumn("_paid", F.last(paid, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return met.select(
+        "asset", "number", "team", "kind", "giver", "trade", "value", F.col("at").alias("period_start"), F.coalesce("released", "_next_at").alias("period_end"),
+        _why(F.col("released"), F.col("_next_kind"), F.col("_next_team"), F.col("team")).alias("terminated_by"), "previous", F.when(F.col("previous").isNotNull(), F.col("_before")).alias("previous_team"), F.col("_paid.paid").alias("salary_paid"),
+    )
+
+
+def _why(released: Column, next_kind: Column, next_team: Column, team: Column) -> Column:
+    return (
+        F.when(released.isNotNull(), "release").when(next_kind.isNull(), "still_held")
+        .when((next_kind == "move") | (next_team != team), "trade").otherwise("extension")
+    )
+
+
+def _ranged(events: DataFrame, order: list[str]) -> DataFrame:
+    """``holdings`` by scans of ranges, for assets of any number of events."""
+    space = Workspace(events.sparkSession, "holdings")
     opens = F.col("kind").isin(*OPENING)
     opening = F.struct(*order, "at", "team", "kind", "giver", "trade", "salary", "value")
     counted = scan(events, ["asset"], order, sums={"number": opens.cast("long")}, lasts={"opening": F.when(opens, opening)})
@@ -34,17 +86,14 @@ def holdings(events: DataFrame, order: list[str]) -> DataFrame:
     after = spans.select("asset", (F.col("number") - 1).alias("number"), F.col("o.at").alias("next_at"), F.col("o.kind").alias("next_kind"), F.col("o.team").alias("next_team"))
     before = spans.select("asset", (F.col("number") + 1).alias("number"), F.when(F.col("released").isNull(), F.col("number")).alias("previous"), F.col("o.team").alias("previous_team"))
     met = spans.join(after, ["asset", "number"], "left").join(before, ["asset", "number"], "left")
-    why = (
-        F.when(F.col("released").isNotNull(), "release").when(F.col("next_kind").isNull(), "still_held")
-        .when((F.col("next_kind") == "move") | (F.col("next_team") != F.col("o.team")), "trade").otherwise("extension")
-    )
+    why = _why(F.col("released"), F.col("next_kind"), F.col("next_team"), F.col("o.team"))
     rows = met.select(
         "asset", "number", "o.team", "o.kind", "o.giver", "o.trade", "o.value", F.col("o.at").alias("period_start"), F.coalesce("released", "next_at").alias("period_end"), why.alias("terminated_by"),
         "previous", F.when(F.col("previous").isNotNull(), F.col("previous_team")).alias("previous_team"),
         # A salary lasts until another opening sets it or finds nothing to take over.
         F.when((F.col("o.kind") != "move") | F.col("previous").isNull(), F.struct(F.when(F.col("o.kind") == "acquire", F.col("o.salary")).alias("paid"))).alias("_set"),
     )
-    return space.save(scan(rows, ["asset"], ["number"], lasts={"_paid": F.col("_set")}).withColumn("salary_paid", F.col("_paid.paid")).drop("_set", "_paid"), "holdings")
+    return scan(rows, ["asset"], ["number"], lasts={"_paid": F.col("_set")}).withColumn("salary_paid", F.col("_paid.paid")).drop("_set", "_paid")
 
 
 def named(asset: str = "asset", number: str = "number") -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import lineage
 from tidemark.registry import query
-from tidemark.sources.star import table
+from tidemark.sources.star import by_order, table
 
 ORDER = ["day", "l_orderkey", "l_linenumber", "l_suppkey"]
 
@@ -49,9 +49,10 @@ edges AS (SELECT source, target, target_share AS share FROM became UNION ALL SEL
 
 def asset_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = lambda side: table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias(f"{side}_nation"), F.col("n_regionkey").alias(side))
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    met = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    met = met.join(regions("home"), F.col("c_nationkey") == F.col("home_nation")).join(regions("away"), F.col("s_nationkey") == F.col("away_nation"))
+    customers = table(spark, sf_dir, "customer").join(F.broadcast(regions("home")), F.col("c_nationkey") == F.col("home_nation")).select("c_custkey", "home")  # a row a nation
+    suppliers = table(spark, sf_dir, "supplier").join(F.broadcast(regions("away")), F.col("s_nationkey") == F.col("away_nation")).select("s_suppkey", "away")
+    orders = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    met = by_order(spark, sf_dir, table(spark, sf_dir, "lineitem").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")), orders)
     traded = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     kind = F.when(F.col("l_returnflag") == "R", "release").when(F.col("l_returnflag") == "A", "acquire").when(traded, "move").otherwise("endow")
     back, other = F.col("l_linenumber") % 2 == 0, ((F.col("home") + 1 + F.col("o_orderkey") % 4) % 5).cast("int")
@@ -65,7 +66,8 @@ def asset_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.holdings(asset_events(spark, sf_dir), ORDER)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("asset"))  # each is an event at most
+    return lineage.holdings(asset_events(spark, sf_dir), ORDER, counted=lines)
 
 
 @query("WITH RECURSIVE " + FOLD + """done AS (SELECT 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.operators.ordered import tasks
 from tidemark.plans.model import Accumulator, Catalog, Measure, OnField, RateUnit
 
 
@@ -12,13 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tasks(df: DataFrame, rows: int = 250_000) -> int:
-    """How many tasks a table is dealt to so that each has about ``rows`` rows, however large it is;
-    Parquet footers hold the count. A number given to ``repartition`` is kept, whereas the tasks of
-    other shuffles are merged by their bytes and so hold ever more rows as compression allows."""
-    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
-
-
 def by_order(spark: SparkSession, sf_dir: str, lines: DataFrame, orders: DataFrame) -> DataFrame:
     """Lines (``l_orderkey``) with their order (``o_orderkey``), an order's lines in one task of bounded
     size, so that what is grouped by the order, or by it and more, is shuffled no further."""
