@@ -9,7 +9,7 @@ from tidemark.operators import joins
 from tidemark.plans.model import Filter, Output, Presets, ViewColumn, ViewRequest
 from tidemark.plans.view import plan_view
 from tidemark.registry import query
-from tidemark.sources.star import order_lines, star_catalog, table
+from tidemark.sources.star import by_order, order_lines, star_catalog, table
 
 
 @query("""WITH $LINES, y AS (SELECT c_nationkey AS subject, year AS f, CAST(sum(price) AS DOUBLE) AS g FROM lines WHERE c_nationkey IS NOT NULL GROUP BY ALL),
@@ -111,7 +111,8 @@ def exists_and_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
 u AS (SELECT o_orderkey, home AS team, away AS opponent FROM m UNION SELECT o_orderkey, away, home FROM m) SELECT team, opponent, count(*) AS games FROM u GROUP BY ALL""")
 def opponents_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     homes, aways = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    lines = order_lines(spark, sf_dir).select("o_orderkey", "o_custkey", "l_suppkey").join(homes, F.col("o_custkey") == F.col("c_custkey")).join(aways, F.col("l_suppkey") == F.col("s_suppkey"))
+    games = table(spark, sf_dir, "orders").join(homes, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    lines = by_order(spark, sf_dir, table(spark, sf_dir, "lineitem").join(aways, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey"), games)
     sides = F.array(F.struct(F.col("c_nationkey").alias("team"), F.col("s_nationkey").alias("opponent")), F.struct(F.col("s_nationkey").alias("team"), F.col("c_nationkey").alias("opponent")))
     met = lines.filter("c_nationkey <> s_nationkey").select("o_orderkey", F.explode(sides).alias("s")).select("o_orderkey", "s.*").distinct()
     return met.groupBy("team", "opponent").agg(F.count("*").alias("games"))
