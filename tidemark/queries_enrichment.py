@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.operators.enrichment import enriched, snap_counts
 from tidemark.registry import query
-from tidemark.sources.star import table
+from tidemark.sources.star import by_order, table, tasks
 
 TRACKED = ("play_type_pass", "play_type_rush", "play_type_punt", "play_type_kickoff", "play_type_field_goal", "play_type_sack", "play_type_unknown", "play_type_two_point_conversion", "other")
 LEAGUE = ("PASS", "RUSH", "PUNT", "XP_KICK", "TIMEOUT", "INTERCEPTION", "END_GAME", "PAT2")
@@ -40,7 +40,7 @@ def plays_and_games(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     away = F.when(F.col("o_orderkey") % 50 != 0, ((F.col("c_nationkey") + 1 + F.col("o_orderkey") % 24) % 25).cast("int"))
     games = games.select(F.col("o_orderkey").alias("game"), F.col("c_nationkey").cast("int").alias("home"), away.alias("away"))
     pieces, part, number = F.col("l_quantity").cast("long"), F.col("l_partkey"), F.col("l_linenumber")
-    lines = table(spark, sf_dir, "lineitem").join(games, F.col("l_orderkey") == F.col("game"))
+    lines = by_order(spark, sf_dir, table(spark, sf_dir, "lineitem"), games.withColumn("o_orderkey", F.col("game")))
     plays = lines.select(
         "game", (F.col("l_orderkey") * 10_000_000 + number * 1_000_000 + part * 100 + F.col("l_suppkey") % 100).alias("play"), "l_suppkey", "l_partkey", F.when(part % 11 != 0, F.when(number % 2 == 1, F.col("home")).otherwise(F.col("away"))).alias("possession"),
         pick(TEXTS, part % 6).alias("description"), F.when(F.col("l_suppkey") % 10 < 9, pick(TRACKED, F.col("l_suppkey") % 10)).alias("tracked_type"), F.when(part % 9 < 8, pick(LEAGUE, part % 9)).alias("league_type"),
@@ -72,4 +72,5 @@ def snap_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A game has a few plays and players; who was on the field for a play comes as rows in other feeds.
     snaps = plays.select("game", "play", "l_partkey").join(players, "game").filter((F.col("l_partkey") + F.col("player")) % 3 != 0).join(games, "game")
     snaps = snaps.select("game", "play", "player", F.when(F.col("player") % 2 == 0, F.col("home")).otherwise(F.col("away")).alias("team"))
-    return snap_counts(snaps, done, "game", "play")
+    # A play has about as many snaps as its game has players.
+    return snap_counts(snaps, done, "game", "play", 4 * tasks(table(spark, sf_dir, "lineitem")))
