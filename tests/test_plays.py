@@ -69,3 +69,35 @@ def test_values_of_analog_years(spark):
     assert got == {1: (10, "exact"), 2: (10, "analog"), 3: (None, None), 4: (50, "analog"), 5: (None, None), 6: (None, None)}
     moments = spark.range(1).select(boundaries.same_day(F.lit(day(2024, 2, 29)), F.lit(2023)).alias("a"), boundaries.moment_of_year(F.lit(2023), 2, 30).alias("b"), boundaries.moment_of_opening(F.lit(day(2023, 9, 7)), 1, F.lit(day(2024, 1, 1))).alias("c")).first()
     assert tuple(moments) == (day(2023, 3, 1), day(2023, 3, 2), day(2024, 1, 1))
+
+
+def test_counts_of_settled_selections(spark):
+    plays = spark.createDataFrame([(g, n, 10 + g % 3, 20 + n % 2, 5 * n + g, n % 3 == 1) for g in range(9) for n in range(1, 5)] + [(9, 1, 10, None, 4, True), (9, 2, None, 21, 4, True)], "game int, n int, passer int, target int, yards int, score boolean")
+    markets = {"yards": settlement.Market((("target", "yards"), ("passer", "yards"))), "scored": settlement.Market((("target", "score"),), least=1), "first": settlement.Market((("passer", "yards > 5"), ("target", "true")), "score", first=True)}
+    even, line = F.col("subject") % 2 == 0, F.when(F.col("subject") % 3 == 0, 26.0).otherwise(32.0)
+    asked = {n: (F.when(even, a).otherwise(b), line) for n, a, b in (("yards", "OVER", "UNDER"), ("scored", "YES", "NO"), ("first", "YES", "NO"), ("other", "OVER", "UNDER"))}
+    values = settlement.game_values(plays, "game", ["n"], markets)
+    got = {(r["market"], r["subject"]): tuple(r)[2:] for r in settlement.settled_counts(values, asked, markets).collect()}
+    picks = [values.select("game", "subject", F.lit(n).alias("market"), side.alias("side"), at.alias("line")) for n, (side, at) in asked.items()]
+    want: dict = {}
+    for pick in picks:
+        for r in settlement.settled(pick, plays, "game", ["n"], markets).collect():
+            side, n, won, lost, pushed, total = want.get((r["market"], r["subject"]), (r["side"], 0, 0, 0, 0, None))
+            known = r["result"]
+            want[(r["market"], r["subject"])] = (side, n + 1, won + (known == "WON"), lost + (known == "LOST"), pushed + (known == "PUSH"), total if r["value"] is None else (total or 0.0) + r["value"])
+    assert got == want and len(got) == 4 * 5 and any(pushed for *_, pushed, _ in got.values()) and got[("other", 20)][2:] == (0, 0, 0, None)
+
+
+def test_market_kinds_shuffles_lines_once_and_counts_after(spark):
+    """A row for each market of each subject and game was shuffled twice before."""
+    import contextlib
+    import io
+
+    from tidemark.queries import QUERIES
+
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        QUERIES["market_kinds"](spark, "/root/testdata/sf0.001").explain()
+    plan = shown.getvalue()
+    assert plan.count("lineitem.parquet") == 1 and plan.count("Exchange hashpartitioning") == 3 and plan.count("REPARTITION_BY_NUM") == 2
+    assert plan.index("Generate inline") < plan.index("Exchange")

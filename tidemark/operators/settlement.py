@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 @dataclass(frozen=True)
@@ -33,33 +33,33 @@ class Market:
         return self.first or self.least is not None
 
 
-def measured(plays: DataFrame, game: str, order: list[str], markets: dict[str, Market]) -> DataFrame:
-    """(game, subject, market, value) of all subjects with a play in a role of some market.
+def game_values(plays: DataFrame, game: str, order: list[str], markets: dict[str, Market]) -> DataFrame:
+    """(game, subject, a column for each market) of all subjects with a play in a role of some market.
 
     A play makes a row for each role column; every market is a conditional aggregate over these rows,
-    so one shuffle serves all. A first scorer is a minimum over the order of a game's plays.
+    so one pass serves all. A first scorer is the least in the order of its game's plays, which its
+    rows carry along. Plays that are dealt by their game already are not shuffled again.
     """
     roles = sorted({column for m in markets.values() for column, _ in m.parts})
-    summed = {n: m for n, m in markets.items() if not m.first}
+    firsts = {n: m for n, m in markets.items() if m.first}
+    if firsts:
+        scorer = lambda m: F.coalesce(*[F.when(F.expr(condition), F.col(column)) for column, condition in m.parts]).cast("long")
+        whole = Window.partitionBy(game)
+        plays = plays.withColumns({f"_first_{n}": F.min(F.when(F.expr(m.where), F.struct(*order, scorer(m).alias("_scorer")))).over(whole)["_scorer"] for n, m in firsts.items()})
     cells = {}
-    for name, m in summed.items():
+    for name, m in markets.items():
         for column in roles:
-            own = [F.expr(f"CAST({e} AS DOUBLE)") for c, e in m.parts if c == column]
+            own = [F.expr(f"CAST({e} AS DOUBLE)") for c, e in m.parts if c == column and not m.first]
             total = sum(own[1:], own[0]) if own else F.lit(None).cast("double")
-            cells[(name, column)] = F.when(F.expr(m.where), total)
-    credits = F.array(*[F.struct(F.col(c).cast("long").alias("subject"), *[cells[(n, c)].alias(n) for n in summed]) for c in roles])
+            cells[(name, column)] = (F.col(f"_first_{name}") == F.col(column).cast("long")).cast("double") if m.first else F.when(F.expr(m.where), total)
+    credits = F.array(*[F.struct(F.col(c).cast("long").alias("subject"), *[cells[(n, c)].alias(n) for n in markets]) for c in roles])
     rows = plays.select(F.col(game).alias("game"), F.explode(credits).alias("c")).select("game", "c.*").filter("subject is not null")
-    values = rows.groupBy("game", "subject").agg(*[F.coalesce((F.max if m.most else F.sum)(n), F.lit(0.0)).alias(n) for n, m in summed.items()])
-    out = values.unpivot(["game", "subject"], list(summed), "market", "value") if summed else None
-    firsts = {n: m for n, m in markets.items() if m.first}
-    if firsts:
-        scorer = lambda m: F.coalesce(*[F.when(F.expr(condition), F.col(column)) for column, condition in m.parts]).cast("long")
-        found = plays.groupBy(F.col(game).alias("game")).agg(*[F.min(F.when(F.expr(m.where), F.struct(*order, scorer(m).alias("_scorer")))).alias(n) for n, m in firsts.items()])
-        players = values.select("game", "subject") if summed else rows.select("game", "subject").distinct()
-        met = players.join(found, "game").select("game", "subject", *[F.coalesce((F.col(f"{n}._scorer") == F.col("subject")).cast("double"), F.lit(0.0)).alias(n) for n in firsts])
-        more = met.unpivot(["game", "subject"], list(firsts), "market", "value")
-        out = more if out is None else out.unionByName(more)
-    return out
+    return rows.groupBy("game", "subject").agg(*[F.coalesce((F.max if m.most or m.first else F.sum)(n), F.lit(0.0)).alias(n) for n, m in markets.items()])
+
+
+def measured(plays: DataFrame, game: str, order: list[str], markets: dict[str, Market]) -> DataFrame:
+    """``game_values`` as rows: (game, subject, market, value)."""
+    return game_values(plays, game, order, markets).unpivot(["game", "subject"], list(markets), "market", "value")
 
 
 def result(value: Column, line: Column, side: Column, least: Column) -> Column:
@@ -71,14 +71,38 @@ def result(value: Column, line: Column, side: Column, least: Column) -> Column:
     return F.when(value.isNull(), None).when(side.isin("YES", "NO"), yes).when(side.isin("OVER", "UNDER") & line.isNotNull(), above)
 
 
+def _least(markets: dict[str, Market], name: str) -> Column:
+    """What the measure of a market that is a yes or no has to reach."""
+    m = markets.get(name)
+    return F.lit(float(1 if m.first else m.least) if m and m.yes_or_no else None).cast("double")
+
+
 def settled(selections: DataFrame, plays: DataFrame, game: str, order: list[str], markets: dict[str, Market]) -> DataFrame:
     """``selections`` (game, subject, market, side, line) with ``value`` and ``result``. Of markets that
     are not declared, and of subjects without a play in the game, both are NULL."""
-    values = measured(plays, game, order, markets)
-    least = {n: 1 if m.first else m.least for n, m in markets.items() if m.yes_or_no}
-    bound = F.coalesce(*[F.when(F.col("market") == n, F.lit(float(b))) for n, b in least.items()]) if least else F.lit(None).cast("double")
-    met = selections.join(values, ["game", "subject", "market"], "left")
-    return met.withColumn("result", result(F.col("value"), F.col("line"), F.col("side"), bound))
+    values = game_values(plays, game, order, markets).select("game", "subject", F.struct(*markets).alias("_values"))
+    met = selections.join(values, ["game", "subject"], "left")
+    of_market = lambda pick: F.coalesce(*[F.when(F.col("market") == n, pick(n)) for n in markets])
+    met = met.withColumn("value", of_market(lambda n: F.col("_values")[n])).drop("_values")
+    return met.withColumn("result", result(F.col("value"), F.col("line"), F.col("side"), of_market(lambda n: _least(markets, n))))
+
+
+def settled_counts(values: DataFrame, asked: dict[str, tuple[Column, Column]], markets: dict[str, Market]) -> DataFrame:
+    """(market, subject, side, n, won, lost, pushed, total) of a selection of every market ``asked`` for
+    each row of ``game_values``. ``asked`` has each market's side and line, which follow from ``subject``;
+    markets that are not declared stay unsettled.
+
+    A game of a subject is one row until it is counted, and only the counts become a row for each market.
+    """
+    unknown = F.lit(None).cast("double")
+    counts = []
+    for name, (side, line) in asked.items():
+        value = F.col(name) if name in markets else unknown
+        found = result(value, line, side, _least(markets, name))
+        own = [F.count(F.when(found == state, 1)).alias(f"{name}_{c}") for c, state in (("won", "WON"), ("lost", "LOST"), ("pushed", "PUSH"))]
+        counts += [*own, F.sum(value).alias(f"{name}_total")]
+    cells = [F.struct(F.lit(name).alias("market"), "subject", side.alias("side"), "n", *[F.col(f"{name}_{c}").alias(c) for c in ("won", "lost", "pushed", "total")]) for name, (side, _) in asked.items()]
+    return values.groupBy("subject").agg(F.count("*").alias("n"), *counts).select(F.inline(F.array(*cells)))
 
 
 # By how much a line is softened, as a share of it and at most so much.
