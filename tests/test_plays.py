@@ -101,3 +101,18 @@ def test_market_kinds_shuffles_lines_once_and_counts_after(spark):
     plan = shown.getvalue()
     assert plan.count("lineitem.parquet") == 1 and plan.count("Exchange hashpartitioning") == 3 and plan.count("REPARTITION_BY_NUM") == 2
     assert plan.index("Generate inline") < plan.index("Exchange")
+
+
+def test_days_asked_by_many_rows_are_looked_up_once(spark, monkeypatch):
+    day = dt.date
+    series = spark.createDataFrame([(2022, 1, day(2021, 1, 1), 10), (2022, 1, day(2021, 12, 31), 20)], "y int, k int, d date, v int")
+    moments = [(2022, 1, day(2021, 5, 1)), (2024, 1, day(2023, 7, 1)), (2022, None, day(2021, 5, 1)), (None, 1, day(2021, 5, 1))]
+    asked = spark.createDataFrame([(i, *moments[i % 4]) for i in range(400)] + [(7, *moments[0])], "i int, y int, k int, at date")
+    looked_up = []
+    asof = boundaries.asof_join
+    monkeypatch.setattr(boundaries, "asof_join", lambda left, *rest: looked_up.append(left.count()) or asof(left, *rest))
+    got = boundaries.asof_or_analog(asked, series, "i", "y", ["k"], "at", "d", "v")
+    assert looked_up == [4, 1] and got.columns == ["i", "y", "k", "at", "v", "known"]
+    want = [(10, "exact"), (10, "analog"), (None, None), (None, None)]
+    rows = sorted((r["i"], r["y"] or 0, r["k"] or 0, r["v"] or 0, r["known"] or "") for r in got.collect())
+    assert rows == sorted((i, y or 0, k or 0, want[n][0] or 0, want[n][1] or "") for i, n in [*((i, i % 4) for i in range(400)), (7, 0)] for y, k, _ in [moments[n]])

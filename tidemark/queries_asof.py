@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import boundaries, joins
 from tidemark.registry import query
-from tidemark.sources.star import table
+from tidemark.sources.star import by_order, table
 
 
 @query("""WITH a AS (SELECT o_orderkey, year(o_orderdate) + o_orderkey % 4 AS pick_year, o_orderkey % 3 AS round, o_custkey % 2 AS slot, CAST(o_orderdate AS DATE) AS moment FROM orders),
@@ -21,8 +21,9 @@ def pick_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a pick of a year, round and slot was worth on a day; years without a series use another one's."""
     orders = table(spark, sf_dir, "orders")
     asked = orders.select("o_orderkey", (F.year("o_orderdate") + F.col("o_orderkey") % 4).cast("int").alias("pick_year"), (F.col("o_orderkey") % 3).alias("round"), (F.col("o_custkey") % 2).alias("slot"), F.to_date("o_orderdate").alias("at"))
-    lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    series = lines.select((F.year("o_orderdate") + F.col("l_partkey") % 3).cast("int").alias("pick_year"), (F.col("l_suppkey") % 3).alias("round"), (F.col("l_linenumber") % 2).cast("long").alias("slot"), F.to_date("o_orderdate").alias("day"), F.col("l_extendedprice").cast("decimal(18,2)").alias("value"))
+    calendar = orders.select("o_orderkey", F.year("o_orderdate").alias("season"), F.to_date("o_orderdate").alias("day"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 3).cast("int").alias("later"), (F.col("l_suppkey") % 3).alias("round"), (F.col("l_linenumber") % 2).cast("long").alias("slot"), F.col("l_extendedprice").cast("decimal(18,2)").alias("value"))
+    series = by_order(spark, sf_dir, lines, calendar).select((F.col("season") + F.col("later")).alias("pick_year"), "round", "slot", "day", "value")
     series = series.filter("pick_year % 4 <> 1").groupBy("pick_year", "round", "slot", "day").agg(F.max("value").alias("value"))
     found = boundaries.asof_or_analog(asked, series, "o_orderkey", "pick_year", ["round", "slot"], "at", "day", "value")
     return found.select("o_orderkey", F.col("value").cast("double").alias("value"), "known")
