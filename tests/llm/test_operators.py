@@ -492,3 +492,20 @@ def test_archives_of_other_makers(spark, tmp_path, version, members):
     ids = {r["record_id"] for r in rows}
     assert len(ids) == 3 and all(re.fullmatch("<urn:uuid:[0-9a-f-]{36}>", i) for i in ids)
     assert warc.record_id("http://x/1", "1999-01-02T03:04:01Z", warc.digest(b""), None) in ids
+
+
+def test_byte_bpe_tries_no_more_ends_than_tokens_have():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    machine = byte_bpe.Transducer({bytes([i]): i for i in range(256)} | {b"ab": 256, b"cab": 257, b"x" * 2: 258})
+    machine.tails = Counted(machine.tails)
+    assert machine.encode(b"zcabyab" * 8) == [ord("z"), 257, ord("y"), 256] * 8
+    assert machine.tails.asked <= 56 * 4  # each byte, and what some token ends with; it was 56 * 57 / 2 or the longest token's length before
+    pieces = byte_bpe.Pieces(machine, 4)
+    assert [pieces[p] for p in ("ab", "q", "ab")] == [b"\0\1\0\0", b"q\0\0\0", b"\0\1\0\0"] and list(pieces) == ["ab", "q"]
+    assert [len(pieces[str(i)]) // 4 for i in range(100)] == [1] * 10 + [2] * 90 and len(pieces) <= 4

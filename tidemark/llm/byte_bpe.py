@@ -23,8 +23,9 @@ import base64
 import codecs
 import hashlib
 import re
+import struct
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import islice
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.arrays import give_back
 
-MOST_PAIRS = 250_000
+MOST_PAIRS = 400_000
 MOST_STATES = 200_000
 MOST_PIECES = 350_000
 #: Rows whose ids are held at once.
@@ -47,11 +48,17 @@ class Transducer:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.prefixes = {token[:n] for token in ranks for n in range(1, len(token))}
+        #: Every end of a token: its rank if it is a token itself, else -1.
+        self.tails = {token[n:]: -1 for token in ranks for n in range(1, len(token))} | ranks
         self._edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}  # by left << 32 | right
         self._rows: dict[bytes, list[int | None]] = {}
 
+    @cached_property
+    def prefixes(self) -> set[bytes]:
+        """What a token may begin with; only pieces beyond the lookahead ask."""
+        return {token[:n] for token in self.ranks for n in range(1, len(token))}
+
     def halves(self, token: bytes) -> tuple[bytes, bytes]:
         """The two parts that the last merge of a token joined."""
         parts = [token[i : i + 1] for i in range(len(token))]
@@ -81,7 +88,7 @@ class Transducer:
         """Whether no merge crosses the border when both tokens' bytes are merged together."""
         if left < 0:
             return True
-        key = (left, right)
+        key = left << 32 | right
         if (known := self._pairs.get(key)) is None:
             if len(self._pairs) >= MOST_PAIRS:
                 self._pairs.clear()
@@ -105,11 +112,17 @@ class Transducer:
 
     def last_token(self, last: list[int | None], pending: bytes) -> int | None:
         """The last token of the encoding of ``pending``, from those of its prefixes; None where
-        that encoding does not pass through the last token emitted."""
-        end = len(pending)
-        for start in range(max(0, end - self.longest), end):
-            token = self.ranks.get(pending[start:])
-            if token is not None and last[start] is not None and self.may_follow(last[start], token):
+        that encoding does not pass through the last token emitted. Ends of ``pending`` are tried only
+        as far as some token ends like them."""
+        tails, start, found = self.tails, len(pending) - 1, []
+        while start >= 0 and (token := tails.get(pending[start:])) is not None:
+            if token >= 0 and last[start] is not None:
+                found.append((last[start], token))
+            start -= 1
+        pairs = self._pairs
+        for before, token in reversed(found):
+            holds = before < 0 or pairs.get(before << 32 | token)
+            if holds or (holds is None and self.may_follow(before, token)):
                 return token
         return None
 
@@ -148,8 +161,9 @@ class Transducer:
         if len(self._rows) >= MOST_STATES:
             self._rows.clear()
         for end in range(at + 1, limit + 1):
-            last.append(self.last_token(last, piece[:end]))
-            self._rows[piece[:end]] = last  # a longer prefix goes on in the same row
+            prefix = piece[:end]
+            last.append(self.last_token(last, prefix))
+            self._rows[prefix] = last  # a longer prefix goes on in the same row
         out, pending = [], piece[:limit]
         for i in range(limit, len(piece)):
             pending += piece[i : i + 1]
@@ -160,6 +174,23 @@ class Transducer:
         return out + [last[end] for end in self.path(last, len(pending))]
 
 
+class Pieces(dict):
+    """Packed ids of pre-tokens, encoded when first asked for; of the short ones so many are kept."""
+
+    def __init__(self, transducer: Transducer, most: int):
+        self.transducer, self.most = transducer, most
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.transducer.encode(piece.encode())
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= 64:
+            if len(self) >= self.most:
+                for old in list(islice(self, self.most // 2)):
+                    del self[old]
+            self[piece] = packed
+        return packed
+
+
 #: Texts of these characters alone are split by the faster pattern below, which agrees with the
 #: public pattern on them: no numeral but the digits 0-9, and no white space that engines dispute.
 PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*")
@@ -170,7 +201,7 @@ PLAIN_FOR = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 class Codec:
     """Encodes texts to packed little-endian ids and decodes them again."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, most: int = MOST_PIECES):
         import regex
 
         with open(path, "rb") as lines:
@@ -179,29 +210,13 @@ class Codec:
         self.split_plain = re.compile(PLAIN_PATTERN).findall if pattern == PLAIN_FOR else self.split_any
         self.transducer = Transducer(ranks)
         self.vocabulary = [self.transducer.tokens.get(i, b"") for i in range(max(self.transducer.tokens) + 1)]
-        self._pieces: dict[str, bytes] = {}
+        self._pieces = Pieces(self.transducer, most)
 
     def split(self, text: str) -> list[str]:
         return self.split_plain(text) if PLAIN.fullmatch(text) else self.split_any(text)
 
     def encode(self, text: str) -> bytes:
-        pieces, known = self.split(text), self._pieces
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        out = []
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                ids = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
-                if len(piece) <= 64:
-                    if len(known) >= MOST_PIECES:
-                        for old in list(islice(known, MOST_PIECES // 2)):
-                            del known[old]
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self._pieces.__getitem__, self.split(text)))
 
     def forget(self) -> None:
         """Empties the tables; a worker process goes on to other work after a task."""
@@ -223,9 +238,9 @@ def decode_stream(codec: Codec, chunks: Iterable[bytes]) -> Iterator[str]:
 
 
 @lru_cache(2)
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, most: int = MOST_PIECES) -> Codec:
     """One codec for each worker process; its vocabulary outlives a task."""
-    return Codec(path, pattern)
+    return Codec(path, pattern, most)
 
 
 def _default(path: str | None, pattern: str | None) -> tuple[str, str]:
@@ -250,13 +265,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(batches, "doc_id long, ids binary")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk: int = 1 << 16, keep_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, chunk: int = 1 << 16, keep_ids: bool = False, remembered: int | None = None) -> DataFrame:
     """Encodes and decodes in one pass: doc_id, n_tokens and the digests of ids and decoded text;
-    with ``keep_ids`` the packed ids too."""
+    with ``keep_ids`` the packed ids too. Tables are emptied after each task, for what the worker
+    does next; with ``remembered`` they outlive it, and so many outputs of pre-tokens are kept."""
     path, pattern = _default(path, pattern)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        own = codec(path, pattern, remembered or MOST_PIECES)
         for batch in (whole.slice(low, SLICE) for whole in rows for low in range(0, whole.num_rows, SLICE)):
             counts, encoded, decoded, packed = [], [], [], []
             for text in batch.column("text"):
@@ -273,7 +289,8 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
             if keep_ids:
                 arrays, names = [*arrays, pa.array(packed, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
-        own.forget()
+        if not remembered:
+            own.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(batches, schema)
