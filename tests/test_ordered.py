@@ -170,6 +170,37 @@ def test_lines_are_dealt_to_tasks_of_bounded_size(spark, name):
     assert tasks(spark.range(1000), 10) == 100 and tasks(spark.range(1), 10) == tasks(spark.range(0), 10) == cores
 
 
+def test_dealt_lines_are_not_merged_into_fewer_tasks(spark, monkeypatch):
+    """However few bytes the lines of a task have, its rows stay bounded."""
+    from tidemark.sources import star
+
+    monkeypatch.setattr(star, "tasks", lambda df: 37, raising=False)
+    spark.conf.unset(KEEP_RUNS)  # other shuffles may be merged
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = star.order_lines(spark, "/root/testdata/sf0.001")
+        held = [r["count"] for r in lines.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(held) == 37 and max(held) < 3 * sum(held) / 37
+
+
+@pytest.mark.parametrize(("lines", "dealt"), [(36_000_000, 144), (216_000_000, 200), (600_000_000, 300)])
+def test_lines_are_written_unsorted_while_tasks_can_hold_them(spark, monkeypatch, lines, dealt):
+    """Past 200 tasks a shuffle sorts a whole split in memory, 1,275 MB at 360 x sf0.1."""
+    import contextlib
+    import io
+
+    from tidemark.sources import star
+
+    monkeypatch.setattr(star, "tasks", lambda df, rows=250_000: -(-lines // rows))
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        star.order_lines(spark, "/root/testdata/sf0.001").explain()
+    parts = [x.split(")")[0].split(", ")[-1] for x in shown.getvalue().split("hashpartitioning(")[1:]]
+    assert parts == [str(dealt)] * 2
+
+
 def test_holdings_by_windows_and_by_ranges_are_the_same(spark, tmp_path):
     from tidemark.queries_lineage import ORDER, asset_events
 

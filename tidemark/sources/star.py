@@ -13,10 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Dealt to more tasks than this, what a task writes is sorted in its memory first
+#: (Spark's ``spark.shuffle.sort.bypassMergeThreshold``), a whole split of a file at once.
+UNSORTED = 200
+
+
 def by_order(spark: SparkSession, sf_dir: str, lines: DataFrame, orders: DataFrame) -> DataFrame:
     """Lines (``l_orderkey``) with their order (``o_orderkey``), an order's lines in one task of bounded
-    size, so that what is grouped by the order, or by it and more, is shuffled no further."""
-    n = tasks(table(spark, sf_dir, "lineitem"))
+    size, so that what is grouped by the order, or by it and more, is shuffled no further. Before
+    there are more tasks than are written unsorted, they grow to about two million lines each."""
+    whole = table(spark, sf_dir, "lineitem")
+    n = tasks(whole)
+    if n > UNSORTED:
+        n = max(UNSORTED, tasks(whole, 2_000_000))
     return lines.repartition(n, "l_orderkey").join(orders.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
