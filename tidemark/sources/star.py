@@ -18,25 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 UNSORTED = 200
 
 
-def by_order(spark: SparkSession, sf_dir: str, lines: DataFrame, orders: DataFrame) -> DataFrame:
+def by_order(spark: SparkSession, sf_dir: str, lines: DataFrame, orders: DataFrame, most: int = 250_000) -> DataFrame:
     """Lines (``l_orderkey``) with their order (``o_orderkey``), an order's lines in one task of bounded
-    size, so that what is grouped by the order, or by it and more, is shuffled no further. Before
-    there are more tasks than are written unsorted, they grow to about two million lines each."""
+    size, so that what is grouped by the order, or by it and more, is shuffled no further. Where
+    what a task makes of its lines is small, they may be more, up to ``most``, before there are more
+    tasks than are written unsorted."""
     whole = table(spark, sf_dir, "lineitem")
     n = tasks(whole)
     if n > UNSORTED:
-        n = max(UNSORTED, tasks(whole, 2_000_000))
+        n = max(UNSORTED, tasks(whole, most))
     return lines.repartition(n, "l_orderkey").join(orders.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_lines(spark: SparkSession, sf_dir: str, most: int = 250_000) -> DataFrame:
     """Lines with their order's customer and calendar. Money is decimal, so sums are exact."""
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"), (F.floor((F.dayofyear("o_orderdate") - 1) / 7) + 1).cast("int").alias("week"), "o_orderdate", "o_orderpriority"
     )
     lines = table(spark, sf_dir, "lineitem")
     money = {c: F.col(c).cast("decimal(18,2)") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")}
-    return by_order(spark, sf_dir, lines.withColumns(money), orders).drop("l_orderkey")
+    return by_order(spark, sf_dir, lines.withColumns(money), orders, most).drop("l_orderkey")
 
 
 #: Kinds of plays among the lines; other lines are no plays.
