@@ -33,17 +33,27 @@ def changes(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str])
     return both.select(*keys, F.explode(rows).alias("_c")).select(*keys, "_c.*").filter(~F.col("old").eqNullSafe(F.col("new")))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Correlation as an aggregate: NaN where one of the two does not vary, NULL without a pair of values.
+    Spark's own divides by the spread and fails there by an error, even of groups that a later filter drops."""
+    both = x.isNotNull() & y.isNotNull()
+    shared = F.covar_pop(x, y)
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.when(shared.isNotNull(), F.coalesce(F.try_divide(shared, spread), F.lit(float("nan"))))
+
+
 def pair_correlations(values: DataFrame, group: str, member: str, value: str, least: int, shrink: float, tasks: int | None = None) -> DataFrame:
     """Correlation of two members' values over the groups that both are in, ``least`` of them or
-    more, and its shrinkage. Groups are rosters of a game, so pairs within one are few. Members of
-    fewer groups have no such pair and leave before any is made. Groups are dealt to ``tasks`` tasks
-    and pairs, which hardly shrink before they meet, to four times as many, if given."""
+    more, and its shrinkage; both are NaN where a member's values are all the same. Groups are
+    rosters of a game, so pairs within one are few. Members of fewer groups have no such pair and
+    leave before any is made. Groups are dealt to ``tasks`` tasks and pairs, which hardly shrink
+    before they meet, to four times as many, if given."""
     deal = lambda df, n, *keys: df.repartition(n * tasks, *keys) if tasks else df
     often = values.groupBy(member).agg(F.count_distinct(group).alias("_in")).filter(F.col("_in") >= least).select(member)
     values = deal(values.join(often, member, "left_semi"), 1, group)
     a = values.select(group, F.col(member).alias("a"), F.col(value).alias("x"))
     b = values.select(group, F.col(member).alias("b"), F.col(value).alias("y"))
-    met = deal(a.join(b, group).filter("a < b").select("a", "b", "x", "y"), 4, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
+    met = deal(a.join(b, group).filter("a < b").select("a", "b", "x", "y"), 4, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n"), correlation(F.col("x"), F.col("y")).alias("r"))
     return met.filter(F.col("n") >= least).withColumn("shrunk", F.col("r") * F.col("n") / (F.col("n") + shrink))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark import queries_asof, queries_attach, queries_columns, queries_enrichment, queries_gamelogs, queries_history, queries_lineage, queries_live, queries_maintained, queries_measures, queries_more, queries_player, queries_plays, queries_rates, queries_scoring, queries_selections, queries_settlement, queries_signals  # noqa: F401  (registers their queries)
 from tidemark.functions import scalar
-from tidemark.operators import joins, lineage, ordered
+from tidemark.operators import history, joins, lineage, ordered
 from tidemark.plans.model import Filter, Output, ViewColumn, ViewRequest
 from tidemark.plans.view import option_counts, plan_view
 from tidemark.registry import ORACLE_SQL, QUERIES, query  # noqa: F401  (the first two are read from here)
@@ -181,7 +181,7 @@ def percentiles_and_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def correlation_and_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("l_quantity"), F.col("l_extendedprice")
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        F.count("*").alias("n"), F.round(F.corr(x, y), 6).alias("r"), F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 2).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2")
+        F.count("*").alias("n"), F.round(history.correlation(x, y), 6).alias("r"), F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 2).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2")
     )
 
 
