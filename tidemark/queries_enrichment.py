@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.operators.enrichment import enriched, snap_counts
 from tidemark.registry import query
-from tidemark.sources.star import by_order, table, tasks
+from tidemark.sources.star import by_order, table
 
 TRACKED = ("play_type_pass", "play_type_rush", "play_type_punt", "play_type_kickoff", "play_type_field_goal", "play_type_sack", "play_type_unknown", "play_type_two_point_conversion", "other")
 LEAGUE = ("PASS", "RUSH", "PUNT", "XP_KICK", "TIMEOUT", "INTERCEPTION", "END_GAME", "PAT2")
@@ -34,26 +34,25 @@ def pick(values: tuple[str, ...], place: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), place.cast("int"))
 
 
-def plays_and_games(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Lines as plays of their order's game: of the customer's nation against another one."""
+def plays_of_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as plays of their order's game: of the customer's nation against another one. They are
+    dealt by the game."""
     games = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     away = F.when(F.col("o_orderkey") % 50 != 0, ((F.col("c_nationkey") + 1 + F.col("o_orderkey") % 24) % 25).cast("int"))
-    games = games.select(F.col("o_orderkey").alias("game"), F.col("c_nationkey").cast("int").alias("home"), away.alias("away"))
+    games = games.select("o_orderkey", F.col("c_nationkey").cast("int").alias("home"), away.alias("away"))
     pieces, part, number = F.col("l_quantity").cast("long"), F.col("l_partkey"), F.col("l_linenumber")
-    lines = by_order(spark, sf_dir, table(spark, sf_dir, "lineitem"), games.withColumn("o_orderkey", F.col("game")))
-    plays = lines.select(
-        "game", (F.col("l_orderkey") * 10_000_000 + number * 1_000_000 + part * 100 + F.col("l_suppkey") % 100).alias("play"), "l_suppkey", "l_partkey", F.when(part % 11 != 0, F.when(number % 2 == 1, F.col("home")).otherwise(F.col("away"))).alias("possession"),
+    lines = by_order(spark, sf_dir, table(spark, sf_dir, "lineitem"), games)
+    return lines.select(
+        F.col("o_orderkey").alias("game"), "home", "away", (F.col("l_orderkey") * 10_000_000 + number * 1_000_000 + part * 100 + F.col("l_suppkey") % 100).alias("play"), "l_suppkey", "l_partkey", F.when(part % 11 != 0, F.when(number % 2 == 1, F.col("home")).otherwise(F.col("away"))).alias("possession"),
         pick(TEXTS, part % 6).alias("description"), F.when(F.col("l_suppkey") % 10 < 9, pick(TRACKED, F.col("l_suppkey") % 10)).alias("tracked_type"), F.when(part % 9 < 8, pick(LEAGUE, part % 9)).alias("league_type"),
         number.alias("down"), (pieces % 12).alias("to_go"), (pieces % 9).alias("gained"), F.when(number < 7, F.floor(number / 3).cast("int")).alias("drive"), (F.col("l_returnflag") == "A").alias("is_pass"), (F.col("l_returnflag") == "R").alias("is_rush"),
         (pieces * 2).alias("yard_line"), (part % 21 - 10).alias("margin"), (F.col("l_tax") * 12).alias("win_probability"),
     )
-    return plays, games
 
 
 @query(f"WITH {PLAYS} SELECT play, CAST(offense AS INTEGER) AS offense, CAST(defense AS INTEGER) AS defense, play_type, is_qb_kneel, is_qb_spike, CAST(is_success AS INTEGER) AS is_success, drive_play_count FROM done")
 def enriched_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plays, games = plays_and_games(spark, sf_dir)
-    return enriched(plays, games, "game").select("play", "offense", "defense", "play_type", "is_qb_kneel", "is_qb_spike", F.col("is_success").cast("int").alias("is_success"), "drive_play_count")
+    return enriched(plays_of_games(spark, sf_dir), None, "game").select("play", "offense", "defense", "play_type", "is_qb_kneel", "is_qb_spike", F.col("is_success").cast("int").alias("is_success"), "drive_play_count")
 
 
 @query(f"""WITH {PLAYS}, live AS (SELECT * FROM done WHERE play_type <> 'NOPL'), snaps AS (SELECT DISTINCT a.game, a.play, b.l_suppkey AS player, CASE WHEN b.l_suppkey % 2 = 0 THEN a.home ELSE a.away END AS team FROM plays a JOIN plays b ON a.game = b.game WHERE (a.l_partkey + b.l_suppkey) % 3 <> 0),
@@ -66,11 +65,12 @@ t AS (SELECT game, team, count(*) FILTER (WHERE play_type IN ('PASS', 'RUSH') AN
 SELECT own.* REPLACE (CAST(team AS INTEGER) AS team), round(off / CAST(nullif(o, 0) AS DOUBLE), 4) AS off_share, round(def / CAST(nullif(d, 0) AS DOUBLE), 4) AS def_share FROM own LEFT JOIN t USING (game, team)""")
 def snap_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snaps of two in three pairs of a play and a supplier of its game, by situation."""
-    plays, games = plays_and_games(spark, sf_dir)
-    done = enriched(plays, games, "game", ("teams", "play_types"))
-    players = plays.select("game", F.col("l_suppkey").alias("player")).distinct()
-    # A game has a few plays and players; who was on the field for a play comes as rows in other feeds.
-    snaps = plays.select("game", "play", "l_partkey").join(players, "game").filter((F.col("l_partkey") + F.col("player")) % 3 != 0).join(games, "game")
-    snaps = snaps.select("game", "play", "player", F.when(F.col("player") % 2 == 0, F.col("home")).otherwise(F.col("away")).alias("team"))
-    # A play has about as many snaps as its game has players.
-    return snap_counts(snaps, done, "game", "play", 4 * tasks(table(spark, sf_dir, "lineitem")))
+    plays = enriched(plays_of_games(spark, sf_dir), None, "game", ("teams", "play_types"))
+    # Lines can share a play; each of them tells who was there. A game has a few plays and players.
+    # Both windows run over one order.
+    whole = Window.partitionBy("game").orderBy("play").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = F.collect_set(F.struct("l_partkey", "home", "away")).over(Window.partitionBy("game", "play"))
+    plays = plays.withColumns({"_told": told, "_players": F.collect_set("l_suppkey").over(whole)})
+    there = lambda p: F.transform(F.filter("_told", lambda t: (t["l_partkey"] + p) % 3 != 0), lambda t: F.struct(p.alias("player"), F.when(p % 2 == 0, t["home"]).otherwise(t["away"]).alias("team")))
+    on_field = F.when(F.col("play").isNotNull(), F.array_distinct(F.flatten(F.transform("_players", there))))
+    return snap_counts(plays.withColumn("on_field", on_field), "game")
