@@ -71,6 +71,8 @@ def snap_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = Window.partitionBy("game").orderBy("play").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     told = F.collect_set(F.struct("l_partkey", "home", "away")).over(Window.partitionBy("game", "play"))
     plays = plays.withColumns({"_told": told, "_players": F.collect_set("l_suppkey").over(whole)})
-    there = lambda p: F.transform(F.filter("_told", lambda t: (t["l_partkey"] + p) % 3 != 0), lambda t: F.struct(p.alias("player"), F.when(p % 2 == 0, t["home"]).otherwise(t["away"]).alias("team")))
-    on_field = F.when(F.col("play").isNotNull(), F.array_distinct(F.flatten(F.transform("_players", there))))
+    # Players are distinct, so only the teams told for one of them can repeat; distinct pairs of a long list would be compared two by two.
+    teams = lambda p: F.array_distinct(F.transform(F.filter("_told", lambda t: (t["l_partkey"] + p) % 3 != 0), lambda t: F.when(p % 2 == 0, t["home"]).otherwise(t["away"])))
+    there = lambda p: F.transform(teams(p), lambda team: F.struct(p.alias("player"), team.alias("team")))
+    on_field = F.when(F.col("play").isNotNull(), F.flatten(F.transform("_players", there)))
     return snap_counts(plays.withColumn("on_field", on_field), "game")
